@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, warc
+from . import chat, exact_dedup, pii, secret_scan, warc
 
 #: Registered queries, and SQL that gives the same rows where SQL can express them.
 QUERIES = {
     "op3_warc": warc.op3_warc,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op7_pii": pii.op7_pii,
     "op9_tool_call_linking": chat.op9_tool_call_linking,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
