@@ -61,3 +61,10 @@ def keep_rows(docs: DataFrame, decided: DataFrame, on: dict[str, Column]) -> Dat
     for c, expr in on.items():
         cond = cond & expr.eqNullSafe(keys[f"__key_{c}"])
     return docs.join(keys, cond, "left_semi")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold few rows, as these tables have long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))

@@ -28,11 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_of
+from .common import materialize, read, small_batches, text_of
 
 CAPACITY, END_ID = 4096, 1
-#: Length classes over the capacity, and documents in a pattern at most.
-CLASSES, DEPTH = 64, 4
+#: Length classes over the capacity, and documents in a pattern at most. The plan with the fewest
+#: sequences is used.
+GRIDS = ((64, 4), (128, 3), (512, 2), (32, 3))
 #: Pieces in a block that is ranked as one.
 BLOCK_ROWS = 50_000
 #: Words whose ids a worker keeps; beyond that it begins anew.
@@ -223,8 +224,6 @@ class _Plan:
                 return
             need = {x: held.count(x) for x in held}
             if any(self.left[x] < k for x, k in need.items()):
-                if repeats == 1 or len(need) == len(held):
-                    return
                 return
             times = min([repeats, *(int(self.left[x]) // k for x, k in need.items())])
             for x, k in need.items():
@@ -258,12 +257,21 @@ class _Plan:
                 n -= each * times
         self.lengths = []
 
-    def groups(self) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    def groups(self) -> Groups:
         return self.full + [x for room in self.rooms for x in self.open[room]]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+Groups = list[tuple[tuple[tuple[int, int], ...], int]]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, grids: tuple[tuple[int, int], ...] = GRIDS) -> Groups:
     """(((length, how often), ...), sequences): groups of sequences that hold the same lengths."""
+    tried = [planned(histogram, capacity, classes, depth) for classes, depth in grids]
+    return min(tried, key=lambda groups: sum(n for _, n in groups))
+
+
+def planned(histogram: dict[int, int], capacity: int, classes: int, depth: int) -> Groups:
+    """The plan of one grid of length classes."""
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
@@ -290,7 +298,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLA
     return own.groups()
 
 
-def slots(groups: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[str, np.ndarray]:
+def slots(groups: Groups) -> dict[str, np.ndarray]:
     """For each length its runs of ranks: ``length, rank, sequence, offset``, sorted."""
     rows, rank, base = [], {}, 0
     for held, times in groups:
@@ -348,4 +356,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack_documents(read(spark, sf_dir, "documents"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, text_of
+from .common import materialize, read, small_batches, text_of
 
 #: Hashed features, labelled rows in a fit at most, words whose hashes a worker keeps.
 BITS, MAX_ROWS, CACHED = 18, 10_000, 1_000_000
@@ -223,5 +223,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read(spark, sf_dir, "documents")
     return quality_scores(docs, fit(docs, read(spark, sf_dir, "labels")))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read, text_of
+from .common import read, small_batches, text_of
 
 KINDS = ["assign", "access", "hex"]
 
@@ -123,4 +123,5 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return find_secrets(read(spark, sf_dir, "documents"))
