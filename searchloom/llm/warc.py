@@ -1,36 +1,36 @@
 """WARC archives, index first.
 
-1. The index is computed before a byte is written: every record's length follows from its header
-   and payload, and its offset is a running sum over the records of its shard.
-2. Spark's text writer writes the shards: a WARC record ends with CR LF CR LF, so with that as the
-   line separator a file of records is a valid uncompressed archive. The committer makes it safe
-   to lose executors, and any file system that Spark writes to will do.
-3. Selected records are read by byte ranges: the index rows are sorted by file and offset, near
+1. Tasks write the archives where the pages lie, one gzip member for each record, and return an
+   index row (file, offset, length, url, digest) for each; the index is committed as a table
+   before anything is read. A task that is run again writes a file of another name, and only the
+   rows of the attempt that Spark committed are in the index, so lost executors leave nothing but
+   files that no index names.
+2. Selected records are read by byte ranges: the index rows are sorted by file and offset, near
    ranges are coalesced, and each range is read once.
 
-The html is shuffled once, to its shard, unless the revisits are too many to broadcast. Shards are
-dealt by a hash of the page and its digest.
-
 Revisits. Of records with equal payloads of at least ``min_bytes`` bytes that with the smallest
 page id is ``response``; the others refer to it and carry no payload. Their HTTP headers keep the
-length and the WARC header the digest, both of the full payload.
+length and the WARC header the digest, both of the full payload. Only digests are shuffled to find
+them; the pages meet the few revisits in a join that Spark broadcasts while they are small.
 
 Edge cases. A null html is an empty payload. Null urls give records without a target URI. A null
-page id is written as ``null``; it sorts after all others and reads back as null. Repeated rows are
-written as often as they occur; those with the smallest id are all ``response``. Line ends in an url
-are percent-encoded in its header. An empty table gives no archive and an empty result.
+page id is written as ``null``; it never comes before another id and reads back as null. Repeated
+rows are written as often as they occur; those with the smallest id are all ``response``. Line ends
+in an url are percent-encoded in its header. An empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, read
+from .common import fresh_path, materialize, read, small_batches
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -39,10 +39,6 @@ END = CRLF + CRLF
 SHARD_BYTES, RANGE_BYTES, GAP_BYTES = 32 << 20, 8 << 20, 64 << 10
 
 
-def _lines(*lines: Column) -> Column:
-    return F.concat(*[F.concat(x, F.lit(CRLF)) for x in lines])
-
-
 def planned(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """``page_id, url, payload_digest, payload_bytes, record_type, refers_to`` of each page."""
     payload = F.coalesce("html", F.lit(""))
@@ -74,35 +70,34 @@ def planned(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     )
 
 
-def header(date: str) -> Column:
-    """All bytes of a record before its payload, from the columns of ``planned``."""
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
-    http = _lines(
-        F.lit("HTTP/1.1 200 OK"),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.col("payload_bytes").cast("string")),
-        F.lit(""),
-    )
-    body = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
-    uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    return F.concat(
-        _lines(F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), "record_type")),
-        F.concat(F.lit("WARC-Record-ID: "), urn("page_id"), F.lit(CRLF)),
-        F.when(F.col("url").isNull(), "").otherwise(F.concat(F.lit("WARC-Target-URI: "), uri, F.lit(CRLF))),
-        _lines(F.lit(f"WARC-Date: {date}"), F.concat(F.lit("WARC-Payload-Digest: sha256:"), "payload_digest")),
-        F.when(F.col("record_type") == "response", "").otherwise(
-            _lines(
-                F.concat(F.lit("WARC-Refers-To: "), urn("refers_to")),
-                F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-            )
-        ),
-        _lines(
-            F.lit("Content-Type: application/http; msgtype=response"),
-            F.concat(F.lit("Content-Length: "), (F.octet_length(http) + body).cast("string")),
-            F.lit(""),
-        ),
-        http,
-    )
+INDEX = (
+    "file string, offset long, length long, url string, page_id long, payload_digest string, "
+    "payload_bytes long, record_type string, refers_to long"
+)
+
+
+def _urn(page: int | None) -> str:
+    return f"<urn:page:{'null' if page is None else page}>"
+
+
+def record(page: int | None, url: str | None, payload: bytes, digest: str, original: int | None, revisit: bool, date: str) -> bytes:
+    http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(payload)}{END}".encode()
+    block = http if revisit else http + payload
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page)}"]
+    if url is not None:
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+    lines += [f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
+    if revisit:
+        lines.append(f"WARC-Refers-To: {_urn(original)}")
+        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return CRLF.join(lines).encode() + END.encode() + block + END.encode()
+
+
+def member(data: bytes, level: int = 6) -> bytes:
+    """One gzip member, without a time or a name."""
+    own = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return own.compress(data) + own.flush()
 
 
 def write_archives(
@@ -112,67 +107,47 @@ def write_archives(
     shard_bytes: int = SHARD_BYTES,
     date: str = "1970-01-01T00:00:00Z",
 ) -> DataFrame:
-    """Write one record per page below ``path``; return the index.
+    """Write one record per page below ``path``; return the index, a committed table.
 
-    The index has ``file, offset, length, url, page_id, payload_digest, payload_bytes,
-    record_type, refers_to``; offset and length are those of the whole record.
+    Offset and length are those of a record's gzip member.
     """
-    spark = pages.sparkSession
-    meta = planned(pages, min_bytes).withColumn("header", header(date))
-    body = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
-    meta = meta.withColumn("length", F.octet_length("header") + body + F.lit(len(END)))
-    meta = materialize(meta, "planned")
-    total = meta.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    shard = F.pmod(F.hash("page_id", "payload_digest"), F.lit(shards))
-    order = ["page_id", "payload_digest", "url"]
-    # Only the few revisits are looked up; all else of a header follows from the row itself.
-    found = meta.filter("record_type = 'revisit'").select(
+    revisits = planned(pages, min_bytes).filter("record_type = 'revisit'").select(
         F.col("page_id").alias("__page"), F.col("payload_digest").alias("__digest"), "refers_to"
-    )
-    found = materialize(found.distinct(), "revisits")
-    payload = F.coalesce("html", F.lit(""))
-    joined = (
-        pages.select(
-            "page_id",
-            "url",
-            payload.alias("payload"),
-            F.sha2(payload, 256).alias("payload_digest"),
-            F.octet_length(payload).cast("long").alias("payload_bytes"),
-        )
-        .join(
-            found,
-            F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("payload_digest") == F.col("__digest")),
-            "left",
-        )
-        .withColumn("record_type", F.when(F.col("__digest").isNull(), "response").otherwise("revisit"))
-        .withColumn("header", header(date))
-    )
-    record = F.concat("header", F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit("")))
-    (
-        joined.select(*order, record.alias("value"), shard.alias("shard"))
-        .repartition(shards, "shard")
-        .sortWithinPartitions("shard", *order)
-        .select("value", "shard")
-        .write.partitionBy("shard")
-        .option("lineSep", END)
-        .text(path)
-    )
-    placed = meta.withColumn("shard", shard).withColumn(
-        "offset", F.sum("length").over(Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    )
-    placed = placed.withColumn("offset", F.coalesce("offset", F.lit(0)))
-    if not total:
-        return placed.withColumn("file", F.lit("")).drop("shard", "header")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.col("path").alias("file"), F.col("length").alias("file_bytes"),
-        F.regexp_extract("path", "shard=([0-9]+)", 1).cast("int").alias("shard"),
     )
-    expected = meta.withColumn("shard", shard).groupBy("shard").agg(F.sum("length").alias("bytes"))
-    odd = files.join(expected, "shard", "full_outer").filter("NOT file_bytes <=> bytes")
-    if not odd.isEmpty():
-        raise RuntimeError("an archive does not have the length that the index foretells")
-    return placed.join(files.select("shard", "file"), "shard").drop("shard", "header")
+    revisits = materialize(revisits.distinct(), "revisits")
+    payload = F.coalesce("html", F.lit(""))
+    joined = pages.select(
+        "page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest")
+    ).join(
+        revisits, F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest")), "left"
+    ).select("page_id", "url", "payload", "digest", "refers_to", F.col("__digest").isNotNull().alias("revisit"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, name, at = None, "", 0
+        for batch in batches:
+            rows = []
+            batch = batch.astype({"page_id": "Int64", "refers_to": "Int64"}).astype(object)
+            for page, url, text, digest, original, revisit in batch.itertuples(index=False):
+                page, original = (None if x is pd.NA else x for x in (page, original))
+                if out is None:
+                    name, at = f"{path}/{uuid.uuid4().hex}.warc.gz", 0
+                    system, where = _filesystem(name)
+                    system.create_dir(where.rpartition("/")[0])
+                    out = system.open_output_stream(where, compression=None)
+                raw = text.encode()
+                data = member(record(page, url, raw, digest, original, revisit, date))
+                out.write(data)
+                rows.append((name, at, len(data), url, page, digest, len(raw), "revisit" if revisit else "response", original))
+                at += len(data)
+                if at >= shard_bytes:
+                    out.close()
+                    out = None
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
+            yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+        if out is not None:
+            out.close()
+
+    return materialize(joined.mapInPandas(write, INDEX), "warc_index")
 
 
 def _filesystem(uri: str):
@@ -199,9 +174,9 @@ def coalesced(spans: list[tuple[int, int]], gap: int, most: int) -> Iterator[tup
         yield start, end, held
 
 
-def parsed(record: bytes) -> tuple[dict[str, str], int, bytes]:
+def parsed(data: bytes) -> tuple[dict[str, str], int, bytes]:
     """Header fields of a record, the payload's length by its HTTP headers, and the payload."""
-    head, _, block = record.partition(END.encode())
+    head, _, block = data.partition(END.encode())
     fields = dict(line.split(": ", 1) for line in head.decode().split(CRLF)[1:])
     if len(block) != int(fields["Content-Length"]) + len(END):
         raise ValueError(f"{fields['WARC-Record-ID']}: the block has another length than its header says")
@@ -227,7 +202,8 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
             for start, end, held in coalesced(spans, GAP_BYTES, RANGE_BYTES):
                 data = f.read_at(end - start, start)
                 for offset, length in held:
-                    fields, size, payload = parsed(data[offset - start : offset - start + length])
+                    packed = data[offset - start : offset - start + length]
+                    fields, size, payload = parsed(zlib.decompress(packed, 31))
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
                     kind = fields["WARC-Type"]
                     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
@@ -272,6 +248,7 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     index = write_archives(read(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
     return read_records(index, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
