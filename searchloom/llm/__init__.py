@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, packing, pii, quality, secret_scan, warc
+from . import chat, exact_dedup, html_text, packing, pii, quality, secret_scan, warc
 
 #: Registered queries, and SQL that gives the same rows where SQL can express them.
 QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_packing": packing.op4_packing,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_html_text": html_text.op6_html_text,
     "op7_pii": pii.op7_pii,
     "op8_quality": quality.op8_quality,
     "op9_tool_call_linking": chat.op9_tool_call_linking,
