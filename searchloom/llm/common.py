@@ -63,6 +63,23 @@ def keep_rows(docs: DataFrame, decided: DataFrame, on: dict[str, Column]) -> Dat
     return docs.join(keys, cond, "left_semi")
 
 
+def keep_one(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
+    """The rows of ``docs`` in ``kept`` (``doc_id, digest``), one of each id and digest."""
+    out = keep_rows(docs, kept, {"doc_id": docs["doc_id"], "digest": digest})
+    again = materialize(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return out
+    # Only rows whose id occurs again can have the id and digest of a row that stays.
+    marked = out.withColumn("__digest", digest).join(
+        again.select(F.col("doc_id").alias("__again"), F.lit(True).alias("__many")),
+        F.col("doc_id").eqNullSafe(F.col("__again")),
+        "left",
+    )
+    once = marked.filter("__many IS NULL").drop("__again", "__many", "__digest")
+    first = marked.filter("__many").dropDuplicates(["doc_id", "__digest"]).drop("__again", "__many", "__digest")
+    return once.unionByName(first)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Arrow batches hold few rows, as these tables have long texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, read, text_of
+from .common import keep_one, materialize, read, text_of
 
 #: Characters in a block.
 BLOCK = 2048
@@ -131,19 +131,7 @@ def exact_duplicates(docs: DataFrame, size: int = BLOCK, hashed=route) -> DataFr
 def drop_exact_duplicates(docs: DataFrame, size: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with the columns they had."""
     kept = materialize(exact_duplicates(docs, size).filter("kept").select("doc_id", "text_sha256"), "kept")
-    digest = F.sha2(normalised(text_of()), 256)
-    out = keep_rows(docs, kept, {"doc_id": docs["doc_id"], "text_sha256": digest})
-    # Only rows with an id that occurs again can still be copies of a row that stays.
-    again = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.isEmpty():
-        return out
-    twice = out.withColumn("__digest", digest).join(
-        again.select(F.col("doc_id").alias("__again")), F.col("doc_id").eqNullSafe(F.col("__again")), "left"
-    )
-    known = F.coalesce(F.col("__again").isNotNull(), F.lit(False)) | F.col("doc_id").isNull()
-    once = twice.filter(~known).drop("__again", "__digest")
-    first = twice.filter(known).drop("__again").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
-    return once.unionByName(first)
+    return keep_one(docs, kept.withColumnRenamed("text_sha256", "digest"), F.sha2(normalised(text_of()), 256))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
