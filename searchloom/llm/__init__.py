@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_text, minhash, packing, pii, quality, secret_scan, warc
+from . import chat, decontam, exact_dedup, html_text, minhash, packing, pii, quality, secret_scan, warc
 
 #: Registered queries, and SQL that gives the same rows where SQL can express them.
 QUERIES = {
+    "op1_decontamination": decontam.op1_decontamination,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op3_warc": warc.op3_warc,
     "op4_packing": packing.op4_packing,

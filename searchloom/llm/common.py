@@ -56,11 +56,20 @@ def keep_rows(docs: DataFrame, decided: DataFrame, on: dict[str, Column]) -> Dat
     ``on`` maps columns of ``decided`` to expressions over ``docs``. Nulls are equal. The keys
     carry names of their own, so that no column of ``docs`` can clash with them.
     """
+    return _filtered(docs, decided, on, "left_semi")
+
+
+def drop_rows(docs: DataFrame, decided: DataFrame, on: dict[str, Column]) -> DataFrame:
+    """The other rows of ``docs``."""
+    return _filtered(docs, decided, on, "left_anti")
+
+
+def _filtered(docs: DataFrame, decided: DataFrame, on: dict[str, Column], how: str) -> DataFrame:
     keys = decided.select(*[F.col(c).alias(f"__key_{c}") for c in on])
     cond = F.lit(True)
     for c, expr in on.items():
         cond = cond & expr.eqNullSafe(keys[f"__key_{c}"])
-    return docs.join(keys, cond, "left_semi")
+    return docs.join(keys, cond, how)
 
 
 def keep_one(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
