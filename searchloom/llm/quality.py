@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, read, small_batches, text_of
 
 #: Hashed features, labelled rows in a fit at most, words whose hashes a worker keeps.
-BITS, MAX_ROWS, CACHED = 18, 10_000, 1_000_000
+BITS, MAX_ROWS, CACHED = 18, 4_000, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = ((re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"))
 
@@ -181,7 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int
     size = 1 << bits
     rows = materialize(training_rows(docs, labels, max_rows, bits), "labelled").toPandas()
     y = rows["y"].to_numpy(int)
-    x = [np.asarray(f, np.int64) for f in rows["features"]]
+    x = [np.asarray(f, np.int32) for f in rows["features"]]
+    del rows
     order = sorted(range(len(x)), key=lambda i: (len(x[i]), x[i].tobytes(), y[i]))
     x, y = [x[i] for i in order], y[order]
     none = np.zeros(size)
@@ -192,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int
     ratios = log_count_ratios(x, y, size)
     values = []
     for f in x:
-        v = ratios[f]
-        values.append(v / max(np.sqrt(v @ v), 1e-9))
+        v = ratios[f].astype(np.float32)
+        values.append(v / max(float(np.sqrt(v @ v)), 1e-9))
     w = dual_coordinate_descent(x, values, y, size, c)
     margin = np.array([w[f] @ v + w[-1] for f, v in zip(x, values, strict=True)])
     return Model(w[:-1], ratios, float(w[-1]), *_curve(margin, y), bits)
