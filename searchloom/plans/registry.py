@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import search  # noqa: F401
+from .base import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
