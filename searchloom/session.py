@@ -9,7 +9,5 @@ def prepared(spark: SparkSession) -> SparkSession:
     """Spark 4.1 may take a union of two shuffled inputs for one shuffled input and leave out the
     shuffle before an aggregate over it, although adaptive execution gave the two different
     partitions. Rows of one key then stay apart. The setting turns that off."""
-    name = "spark.sql.unionOutputPartitioning"
-    if spark.conf.get(name, "false") != "false":
-        spark.conf.set(name, "false")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
