@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepared
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -42,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def text_of(column: str = "text") -> Column:
