@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import building, search  # noqa: F401
+from . import building, data, search, tables  # noqa: F401
 from .base import ORACLES, QUERIES
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Spark 4.1 may take a union of two shuffled inputs for one shuffled input and leave out the
@@ -11,3 +16,18 @@ def prepared(spark: SparkSession) -> SparkSession:
     partitions. Rows of one key then stay apart. The setting turns that off."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and all executors share.
+
+    It is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a
+    temporary folder is made.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        root = _LOCAL[app]
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
