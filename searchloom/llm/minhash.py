@@ -13,8 +13,8 @@ in no shared key, so such bands go before the pairs are formed.
 Verification, without all pairs of a bucket.
 1. Every class is checked against the first class of the bucket it shares with it most often: one
    pair for each class. Links make components.
-2. Buckets that still hold several components are checked exactly: classes are gathered in chunks
-   of a bounded number of shingles by their largest bucket, and chunks that share such a bucket
+2. Buckets that still hold several components are checked exactly: classes that share
+   buckets are gathered in chunks of a bounded number of shingles, and chunks that share a bucket
    meet in cells. A cell compares, class by class, the members of different components that agree
    in a band of either collection, and returns only links that join components.
 All links are confirmed on the full sets. Only a pair whose 160 minhashes agree in less than
@@ -251,13 +251,24 @@ def remaining_links(found: DataFrame, labels: DataFrame, sets: DataFrame, sizes:
     left = materialize(named.join(open_.select("key"), "key"), "open_buckets")
     if left.isEmpty():
         return left.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
-    # a class's home is its largest bucket; a home is cut into chunks by its number of shingles
+    # Classes that buckets chain together form a cluster. A cluster is cut by its number of
+    # shingles, and classes with the same largest bucket, their home, stay together if they can.
+    chain = left.join(left.groupBy("key").agg(F.min("cid").alias("a")), "key").select("a", F.col("cid").alias("b"))
+    clusters = connected_components(chain).select(F.col("node").alias("cid"), F.col("component").alias("cluster"))
     home = left.groupBy("cid").agg(F.max(F.struct("size", "key")).alias("h"), F.min("component").alias("component"))
-    home = home.select("cid", "component", F.col("h.key").alias("home")).join(sizes, "cid")
+    home = home.select("cid", "component", F.col("h.key").alias("home")).join(clusters, "cid").join(sizes, "cid")
     home = materialize(home, "homes")
-    weight = home.groupBy("home").agg(F.ceil(F.sum("n_shingles") / chunk).alias("parts"))
-    dealt = home.join(materialize(weight, "weights"), "home").select(
-        "cid", "component", F.xxhash64("home", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("chunk")
+    parts = lambda by, name: materialize(
+        home.groupBy(by).agg(F.ceil(F.sum("n_shingles") / chunk).alias(name)), name
+    )
+    dealt = home.join(parts("cluster", "cluster_parts"), "cluster").join(parts("home", "home_parts"), "home").select(
+        "cid",
+        "component",
+        F.xxhash64(
+            "cluster",
+            F.pmod(F.xxhash64("home"), F.col("cluster_parts")),
+            F.pmod(F.xxhash64("cid"), F.col("home_parts")),
+        ).alias("chunk"),
     )
     dealt = materialize(dealt, "chunks")
     meet = left.select("key", "cid").join(dealt.select("cid", "chunk"), "cid").select("key", "chunk").distinct()
