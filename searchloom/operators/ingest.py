@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import draw
 from ..functions.text import normal_query
+from .ordering import numbered
 
 
 def first_by(rows: DataFrame, key: list[Column | str], order: Column | str = "seq") -> DataFrame:
@@ -59,13 +60,12 @@ def new_queries(records: DataFrame, taken: DataFrame, prefix: str = "q-user-") -
     and taken ones that are not taken.
     """
     first = first_by(records, [F.lower("query")]).select("seq", F.col("query").alias("text"))
-    numbered = first.withColumn("n", F.row_number().over(Window.orderBy("seq")))
+    new = numbered(first, "n", "seq")
     number = F.expr(f"try_cast(substr(query_id, {len(prefix) + 1}) AS bigint)")
     used = taken.filter(F.col("query_id").startswith(prefix)).select(number.alias("id")).filter("id >= 1").distinct()
-    most = numbered.agg(F.count(F.lit(1)).alias("a")).crossJoin(used.agg(F.count(F.lit(1)).alias("b")))
-    ids = most.filter("a + b > 0").select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("a") + F.col("b"))).alias("id"))
-    free = ids.join(used, "id", "left_anti").withColumn("n", F.row_number().over(Window.orderBy("id")))
-    return numbered.join(free, "n").select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("query_id"), "text", "seq")
+    ids = records.sparkSession.range(1, first.count() + used.count() + 1)
+    free = numbered(ids.join(used, "id", "left_anti"), "n", "id")
+    return new.join(free, "n").select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("query_id"), "text", "seq")
 
 
 def judged(records: DataFrame, queries: DataFrame) -> DataFrame:
@@ -121,16 +121,16 @@ def split_by_document(pairs: DataFrame, fraction: float = 0.25, seed: int = 0) -
     """Add ``test``: whole documents held out, half of ties rounding to even."""
     docs = pairs.select("doc_id").distinct()
     total = docs.agg(F.bround(F.count(F.lit(1)) * F.lit(fraction), 0).cast("bigint").alias("held"))
-    order = Window.orderBy(draw(seed, F.col("doc_id")), "doc_id")
-    held = docs.withColumn("__n", F.row_number().over(order)).crossJoin(total).filter("__n <= held").select("doc_id", F.lit(True).alias("test"))
+    placed = numbered(docs, "__n", draw(seed, F.col("doc_id")), "doc_id")
+    held = placed.crossJoin(total).filter("__n <= held").select("doc_id", F.lit(True).alias("test"))
     return pairs.join(held, "doc_id", "left").withColumn("test", F.coalesce("test", F.lit(False)))
 
 
 def split_pairs(pairs: DataFrame, fraction: float = 0.2, seed: int = 0) -> DataFrame:
     """Add ``test``: at least one row, half of ties rounding to even."""
     total = pairs.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(fraction), 0)).cast("bigint").alias("held"))
-    order = Window.orderBy(draw(seed, F.col("seq")), "seq")
-    return pairs.withColumn("__n", F.row_number().over(order)).crossJoin(total).withColumn("test", F.col("__n") <= F.col("held")).drop("__n", "held")
+    placed = numbered(pairs, "__n", draw(seed, F.col("seq")), "seq")
+    return placed.crossJoin(total).withColumn("test", F.col("__n") <= F.col("held")).drop("__n", "held")
 
 
 def split_judgments(qrels: DataFrame, fraction: float = 0.3, seed: int = 0) -> DataFrame:
@@ -154,9 +154,8 @@ def haystack(corpus: DataFrame, gold: DataFrame, n: int, seed: int = 0) -> DataF
 
 def eval_set(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
     """Judged queries from pairs: ``page-i`` ids by corpus order; ids keep a pair's own number."""
-    pages = corpus.withColumn("doc_id", F.concat(F.lit("page-"), F.row_number().over(Window.orderBy("seq")).cast("string")))
-    numbered = pairs.withColumn("j", F.row_number().over(Window.orderBy("seq")))
-    return by_content(numbered, pages).select(
+    pages = numbered(corpus, "i", "seq").withColumn("doc_id", F.concat(F.lit("page-"), F.col("i").cast("string")))
+    return by_content(numbered(pairs, "j", "seq"), pages).select(
         F.concat(F.lit("q-test-"), F.col("j").cast("string")).alias("query_id"), "query", F.col("found_id").alias("doc_id")
     )
 

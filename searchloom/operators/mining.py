@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.draws import draw
 from ..functions.text import bigrams
 from .ingest import first_by
+from .ordering import numbered
 from .ranking import guarded_negatives, own_rank
 
 
@@ -83,11 +84,16 @@ def training_eval(test: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFra
     of first sight, then train positives as distractors. Pairs have seq, query, title, content."""
     both = test.withColumn("part", F.lit(0)).unionByName(train.withColumn("part", F.lit(1)))
     key = F.sha2(F.concat(F.coalesce("title", F.lit("")), F.lit("\x00"), "content"), 256)
-    place = F.struct("part", "seq").alias("place")
-    keyed = both.select(key.alias("key"), place, "title", "content")
-    docs = first_by(keyed, ["key"], "place")
-    docs = docs.withColumn("doc_id", F.concat(F.lit("d-"), (F.row_number().over(Window.orderBy("place")) - 1).cast("string")))
-    asked = test.withColumn("key", key).withColumn("query_id", F.concat(F.lit("q-"), (F.row_number().over(Window.orderBy("seq")) - 1).cast("string")))
+    keyed = both.select(key.alias("key"), F.struct("part", "seq").alias("place"), "title", "content")
+    first = first_by(keyed, ["key"], "place")
+    # test documents take the first numbers, train documents those after them
+    ahead = first.filter("place.part = 0")
+    n = ahead.count()
+    of = lambda df, start: numbered(df, "i", F.col("place.seq")).withColumn("i", F.col("i") + start)
+    docs = of(ahead, -1).unionByName(of(first.filter("place.part = 1"), n - 1))
+    docs = docs.withColumn("doc_id", F.concat(F.lit("d-"), F.col("i").cast("string")))
+    asked = numbered(test.withColumn("key", key), "j", "seq")
+    asked = asked.withColumn("query_id", F.concat(F.lit("q-"), (F.col("j") - 1).cast("string")))
     return docs.select("doc_id", "title", "content"), asked.join(docs.select("key", "doc_id"), "key").select("query_id", "query", "doc_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ingest import first_by
+from ..operators.ordering import numbered
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -160,8 +161,7 @@ def _number(pattern: str, group: int = 1, kind: str = "double") -> Column:
 def loss_points(lines: DataFrame) -> DataFrame:
     """``step, epoch, loss`` of each logged step; a missing epoch is the step."""
     found = lines.select("line_no", _number(LOSS).alias("loss"), _number(EPOCH).alias("epoch")).filter("loss IS NOT NULL")
-    step = F.row_number().over(Window.orderBy("line_no"))
-    return found.withColumn("step", step).select("step", F.coalesce("epoch", F.col("step").cast("double")).alias("epoch"), "loss")
+    return numbered(found, "step", "line_no").select(F.col("step").cast("int").alias("step"), F.coalesce("epoch", F.col("step").cast("double")).alias("epoch"), "loss")
 
 
 def epoch_points(lines: DataFrame) -> DataFrame:
