@@ -112,6 +112,15 @@ def truncated(vector: Column, dim: Column | int) -> Column:
     return unit(F.slice(vector, 1, dim))
 
 
+def dimension_ladder(requested: Column, dim: Column, least: int = 64) -> Column:
+    """Dimensions to keep, descending: those requested that the model has, else ``dim`` and its
+    halves down to ``least``."""
+    usable = F.sort_array(F.array_distinct(F.filter(requested, lambda d: (d > 0) & (d <= dim))), asc=False)
+    halves = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.floor(dim / F.pow(F.lit(2.0), i)).cast("int"))
+    halves = F.filter(halves, lambda d: d >= least)
+    return F.when(F.coalesce(F.size(usable), F.lit(0)) > 0, usable).otherwise(halves)
+
+
 def resolved_profiles(models: DataFrame) -> DataFrame:
     """Add ``profile`` and ``guessed`` to rows of ``model, override, recorded, base_model``.
 

@@ -134,6 +134,14 @@ def comparison(a: DataFrame, b: DataFrame, flips: int = 10_000, tolerance: float
     return counts.join(permutation_test(pairs, flips), "metric")
 
 
+def same_judgments(runs: DataFrame, a: str, b: str) -> None:
+    """An error unless both runs (run_id, fingerprint) were scored on the same judgments: scores on
+    others do not compare."""
+    prints = {r[0] for r in runs.filter(F.col("run_id").isin(a, b)).select("fingerprint").distinct().limit(3).collect()}
+    if len(prints - {None}) > 1:
+        raise ValueError(f"{a} and {b} were scored on different judgments")
+
+
 def group_deltas(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Mean differences of each slice or topic, if there are two or more groups."""
     tagged = pairs.join(groups.filter("slice IS NOT NULL").select("query_id", "slice"), "query_id")

@@ -249,6 +249,33 @@ def judgment_splits(spark, d):
     return S.split_rows(S.read_judgments(spark, path), "dev").drop("split")
 
 
+@query("kept_splits", oracle("fx_vec_qrels", "SELECT CASE WHEN query_id % 20 = 0 THEN 'dev' ELSE 'final' END AS split, count(*) AS n FROM fx_vec_qrels WHERE query_id % 50 <> 10 OR query_id % 20 = 0 GROUP BY 1"))
+def kept_splits(spark, d):
+    stale = F.when(F.col("query_id") % 20 == 0, "dev").when(F.col("query_id") % 50 == 10, "old").otherwise("final")
+    rows = S.kept_splits(fx(spark, d, "fx_vec_qrels").withColumn("split", stale), ["dev", "final"])
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bench_registry", oracle("fx_latency", "SELECT phase, count(*) AS n, round(max(ms), 6) AS slowest FROM fx_latency WHERE hardware_key = 'click' GROUP BY phase"))
+def bench_registry(spark, d):
+    """Appended in two parts; one hardware's records are read."""
+    path, rows = scratch(spark, "bench"), fx(spark, d, "fx_latency")
+    S.append_bench(rows.filter("phase = 'embed'"), path)
+    S.append_bench(rows.filter("phase = 'search'"), path)
+    return rounded(S.load_bench(spark, path, "click").groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.max("ms").alias("slowest")))
+
+
+@query("dimension_ladders", oracle("", """r AS (SELECT DISTINCT o_custkey % 700 AS dim, o_orderkey % 3 AS k FROM orders),
+ l AS (SELECT dim, k, CASE WHEN k > 0 THEN list_reverse_sort(list_distinct(list_filter([300, k * 100, 32], lambda d: d <= dim))) ELSE [] END AS usable FROM r)
+ SELECT CAST(dim AS INTEGER) AS dim, k, array_to_string(CASE WHEN len(usable) > 0 THEN usable ELSE list_filter(list_transform(range(0, 31), lambda i: CAST(floor(dim / pow(2, i)) AS INTEGER)), lambda d: d >= 64) END, ' ') AS ladder FROM l"""))
+def dimension_ladders(spark, d):
+    from ..functions.text import dimension_ladder
+
+    rows = fx(spark, d, "orders").select((F.col("o_custkey") % 700).cast("int").alias("dim"), (F.col("o_orderkey") % 3).alias("k")).distinct()
+    asked = F.when(F.col("k") > 0, F.array(F.lit(300), (F.col("k") * 100).cast("int"), F.lit(32)))
+    return rows.select("dim", "k", F.array_join(F.transform(dimension_ladder(asked, F.col("dim")), lambda x: x.cast("string")), " ").alias("ladder"))
+
+
 @query("run_registry", oracle("fx_runs", "SELECT CAST(run_id AS VARCHAR) AS id, config AS model, CASE WHEN seed = 0 THEN config ELSE 'seed ' || seed END AS label, round(ndcg, 6) AS ndcg FROM fx_runs WHERE run_id <> 7"))
 def run_registry(spark, d):
     """Appended in two parts beside lines that are no records; one run is deleted."""

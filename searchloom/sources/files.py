@@ -116,6 +116,21 @@ def split_rows(judgments: DataFrame, split: str) -> DataFrame:
     return judgments.filter(F.col("split") == name)
 
 
+def kept_splits(judgments: DataFrame, names: list[str]) -> DataFrame:
+    """Judgments of the named splits; the rest is stale."""
+    return judgments.filter(F.col("split").isin(names))
+
+
+def append_bench(records: DataFrame, path: str) -> None:
+    """Bench records, partitioned by ``hardware_key``, so that a scan reads one hardware's alone."""
+    records.write.mode("append").partitionBy("hardware_key").parquet(path)
+
+
+def load_bench(spark: SparkSession, path: str, hardware: str | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if hardware is None else rows.filter(F.col("hardware_key") == hardware)
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").json(path)
 
