@@ -61,6 +61,7 @@ class Shingler:
         n = 2 * SIDE * ROWS
         self.times = rng.integers(1 << 20, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
         self.plus = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        self.held = np.empty((256, n), np.uint32)  # small enough for a core's cache
 
     def _learn(self, word: str) -> int:
         if len(self.known) >= CACHED:
@@ -86,8 +87,12 @@ class Shingler:
     def sketch(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
         out = np.full(len(self.times), 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(x), 4096):
-            np.minimum(out, (self.times[:, None] * x[None, at : at + 4096] + self.plus[:, None]).min(axis=1), out)
+        for at in range(0, len(x), len(self.held)):
+            part = x[at : at + len(self.held)]
+            hashes = self.held[: len(part)]
+            np.multiply(part[:, None], self.times, out=hashes)
+            hashes += self.plus
+            np.minimum(out, hashes.min(axis=0), out)
         return out
 
 
