@@ -44,7 +44,7 @@ from .components import connected_components
 SIDE, ROWS = 20, 4
 #: Shingles of a chunk, about; share of equal minhashes below which a pair is not read.
 CHUNK, FLOOR = 1_000_000, 0.64
-CACHED = 1_000_000
+CACHED = 250_000
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}

@@ -37,7 +37,7 @@ GRIDS = ((64, 4), (128, 3), (512, 2), (32, 3))
 #: Pieces in a block that is ranked as one.
 BLOCK_ROWS = 50_000
 #: Words whose ids a worker keeps; beyond that it begins anew.
-CACHED = 1_500_000
+CACHED = 400_000
 
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 

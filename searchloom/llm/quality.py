@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import materialize, read, small_batches, text_of
 
 #: Hashed features, labelled rows in a fit at most, words whose hashes a worker keeps.
-BITS, MAX_ROWS, CACHED = 18, 4_000, 1_000_000
+BITS, MAX_ROWS, CACHED = 18, 4_000, 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = ((re.compile(r"[^\W\d_]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "9"))
 
