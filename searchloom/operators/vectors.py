@@ -8,14 +8,21 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, shortened
+from ..functions.text import norm, shortened, unit
 from .ingest import first_by
 from .metrics import means, per_query
+from .ranking import _per_block as per_block
+from .ranking import _types as pair_types
 from .ranking import dot, top_k
 
+#: Queries that a batch of documents is scored with at once.
+QUERIES = 1024
+
 
 def version_name(prefix: str, model: str, dim: int, fingerprint: str | None) -> str:
     token = re.sub("[^a-z0-9]+", "-", model.lower()).strip("-") or "model"
@@ -132,20 +139,35 @@ def cells(vectors: DataFrame, k: int, seed: int = 1):
     return model, lambda df: model.transform(prepared(df)).drop("__v")
 
 
-def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int = 16, probes: int = 4) -> DataFrame:
+def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int = 32, probes: int = 24) -> DataFrame:
     """Cosine top-k within the ``probes`` nearest cells of each query.
 
-    Documents are joined by cell, so a query meets its cells alone; nothing is broadcast but the
-    cell centres, whose number is a parameter.
+    Cells are fitted on unit vectors, as the score is a cosine. Queries come in blocks of bounded
+    size with the cell centres; a batch of documents meets, cell by cell, the queries that probe
+    the cell, and keeps the best ``k`` of each query before anything is shuffled. A test holds the
+    recall against ``dense_top_k``.
     """
-    model, assigned = cells(corpus, n_cells)
-    centres = F.array(*[F.struct(F.lit(i).alias("cell"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in enumerate(model.clusterCenters())])
-    squared = lambda c: F.aggregate(F.zip_with("embedding", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = F.slice(F.array_sort(F.transform(centres, lambda e: F.struct(squared(e["c"]).alias("d"), e["cell"].alias("cell")))), 1, probes)
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.explode(F.transform(near, lambda e: e["cell"])).alias("cell"))
-    held = assigned(corpus).select("doc_id", F.col("embedding").alias("x"), "cell")
-    cosine = dot(F.col("q"), F.col("x")) / (norm(F.col("q")) * norm(F.col("x")) + 1e-12)
-    return top_k(asked.join(held, "cell").select("query_id", "doc_id", cosine.alias("score")), k)
+    model, _ = cells(corpus.select(unit(F.col("embedding")).alias("embedding")), n_cells)
+    centres = np.array(model.clusterCenters())
+
+    def nearest(x: np.ndarray, n: int) -> np.ndarray:
+        return np.argsort((centres**2).sum(axis=1) - 2 * x @ centres.T, axis=1, kind="stable")[:, :n]
+
+    def best(ids, q, docs, x) -> pd.DataFrame:
+        own, out = nearest(x, 1)[:, 0], []
+        for at in range(0, len(q), QUERIES):
+            part = q[at : at + QUERIES]
+            asked, scores = nearest(part, probes), np.full((len(part), len(x)), -np.inf)
+            for cell in np.unique(own):
+                rows, cols = np.flatnonzero((asked == cell).any(axis=1)), np.flatnonzero(own == cell)
+                scores[np.ix_(rows, cols)] = part[rows] @ x[cols].T
+            n = min(k, len(x))
+            floor = np.partition(scores, len(x) - n, axis=1)[:, len(x) - n]
+            row, col = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+            out.append(pd.DataFrame({"query_id": ids[at + row], "doc_id": docs[col], "score": scores[row, col]}))
+        return pd.concat(out)
+
+    return top_k(per_block(queries, corpus, best, pair_types(queries, corpus) + ", score double"), k)
 
 
 def approximation_loss(exact: DataFrame, approximate: DataFrame, qrels: DataFrame) -> DataFrame:
