@@ -1,11 +1,14 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
-Novelty. A candidate is a long unbroken string with a letter and a digit, after a word that names
+Novelty. A candidate is an unbroken string of 12 characters or more after a word that names
 something secret. A raw zstandard dictionary is made of common identifiers and of the code around
 the candidate. What the candidate adds to the compressed size, over its own length, tells how new
 it is: identifiers, paths, words and repeated values compress well against what surrounds them;
-keys do not. Candidates at or above ``NOVELTY`` that no fixed pattern covers are spans of the kind
-``novel``.
+keys do not. A compressor has little to go by in a short string, and in one of letters alone a new
+word is as new as a key. So a candidate of under ``LONG`` characters, or without a digit or without
+a letter, must also have a share of ``STRANGE`` trigrams that occur neither in the dictionary, nor in
+common words, nor around it. Candidates at or above ``NOVELTY`` that no fixed pattern covers are
+spans of the kind ``novel``.
 
 Texts are scanned whole, in Arrow batches, where they lie: nothing is shuffled.
 
@@ -34,13 +37,15 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SENSITIVE = re.compile(
     r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|auth|bearer|credential|private|signature|access[_-]?key", re.I | re.A
 )
 #: Characters before a candidate that may name it, and around it that prime the compressor.
 NAMED_WITHIN, AROUND = 40, 1024
 NOVELTY = 0.7
+#: Characters from which a string of letters and digits needs no more; share of unknown trigrams.
+LONG, STRANGE = 20, 0.7
 
 #: Words that identifiers and paths are made of.
 IDENTIFIERS = (
@@ -54,6 +59,32 @@ IDENTIFIERS = (
     "DEFAULT_TIMEOUT_SECONDS MAX_RETRY_COUNT get_current_user set_access_token create_session "
 ).encode()
 
+#: Common words, for their trigrams.
+WORDS = (
+    "about above after again against although always another application available because before being "
+    "between business called certain change children community company complete condition consider "
+    "control country describe development different during education effect english especially "
+    "everything example experience following general government however human important include increase "
+    "information interest international knowledge language learning management material mechanism "
+    "meeting member method national natural necessary never nothing number object operation opportunity "
+    "organization particular people performance perhaps person picture political position possible "
+    "potential practice present president principle problem process product production program project "
+    "property provide public quality question reason relationship representation research resource "
+    "responsible result right school science section security several should significant similar simple "
+    "situation social something special standard statement strategy structure student subject success "
+    "support system technology themselves therefore thing think though thought through together toward "
+    "training treatment understand understanding university usually various weather whether which while "
+    "within without woman world would write young "
+)
+
+
+def trigrams(text: str) -> list[str]:
+    low = text.lower()
+    return [low[i : i + 3] for i in range(len(low) - 2)]
+
+
+KNOWN = frozenset(trigrams(IDENTIFIERS.decode()) + trigrams(WORDS))
+
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, kind's number, ``kind:start:end``), in order."""
@@ -79,6 +110,13 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(compress(raw)) - len(compress(b""))) / max(1, len(raw))
 
 
+def strange(candidate: str, before: str, after: str) -> float:
+    """Share of the candidate's trigrams that are not known and not around it."""
+    around = KNOWN.union(trigrams(before), trigrams(after))
+    own = trigrams(candidate)
+    return sum(t not in around for t in own) / max(1, len(own))
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     taken = sorted((s, int(x.rsplit(":", 1)[1])) for s, _, x in base)
     out, at, reach = [], 0, 0
@@ -89,10 +127,11 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             at += 1
         if reach > s or not SENSITIVE.search(text, max(0, s - NAMED_WITHIN), s):
             continue
-        word = m[0]
-        if not any(c.isdigit() for c in word) or not any(c.isalpha() for c in word):
+        word, before, after = m[0], text[max(0, s - AROUND) : s], text[e : e + AROUND]
+        plain = len(word) >= LONG and any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+        if not plain and strange(word, before, after) < STRANGE:
             continue
-        if novelty(word, text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= NOVELTY:
+        if novelty(word, before, after) >= NOVELTY:
             out.append((s, len(KINDS), f"novel:{s}:{e}"))
     return out
 
