@@ -18,10 +18,12 @@ are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -34,12 +36,14 @@ CAPACITY, END_ID = 4096, 1
 #: Length classes over the capacity, and documents in a pattern at most. The plan with the fewest
 #: sequences is used.
 GRIDS = ((64, 4), (128, 3), (512, 2), (32, 3))
-#: Pieces in a block that is ranked as one.
-BLOCK_ROWS = 50_000
-#: Words whose ids a worker keeps; beyond that it begins anew.
-CACHED = 400_000
+#: Bytes of words and their ids that a worker keeps, twice over and besides those of one batch.
+CACHED = 64 << 20
 
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Printable ASCII and Latin letters whose lower case is one letter, how the tokenizer
+#: cuts a lower-case word of these, and how its special tokens begin.
+LATIN = re.compile("[!-~À-ÖØ-öø-įıĲ-ſ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^a-z0-9ß-öø-ſ]+")
+SPECIAL = "<|"
 
 
 def default_tokenizer() -> str:
@@ -52,59 +56,76 @@ class WordTokenizer:
     """Ids of texts, as the tokenizer file gives them, from a cache of words.
 
     The tokenizer never joins characters across white space, so a text's ids are those of its
-    words. Words of letters alone end with exactly one token that ends a word, so many of them
-    can be encoded in one call and told apart afterwards.
+    words. New words take the tokenizer's own steps one by one (normalise, cut into pieces, spell
+    bytes, merge). Latin letters take the first steps by table. Words that may hold a special token
+    are encoded whole. ``test_packing`` holds all ways against the plain call.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
-
-    def _raw(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(self.cores) > CACHED:
-            self.words, self.cores = {"": b""}, {"": b""}
-        parts, cores = {}, set()
+        self.merge = self.tokenizer.model.tokenize
+        plain, cut = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = {c: cut(plain(chr(c)))[0][0] for c in range(0x80, 0x180) if LATIN.fullmatch(chr(c))}
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.cached, self.held = cached, 0
+        #: Words met of late, and those met before; a word of the second is moved over when met again.
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _raw(self, text: str) -> bytes:
+        return b"".join(self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece as the tokenizer cuts and spells it."""
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.pieces[piece] = b"".join([self.packed[t.id] for t in self.merge(piece)])
+        return found
+
+    def _learn(self, words: Iterable[str]) -> None:
+        foreign, piece = [], self._piece
         for w in words:
-            core = w.rstrip(PUNCTUATION)
-            if core.isascii():
-                core = core.lower()
-            tail = w[len(core) :]
-            if core.isalpha():
-                parts[w] = (core, tail)
-                cores.update(x for x in (core, tail) if x not in self.cores)
+            if w.isascii() and w.isalpha():
+                self.young[w] = piece(w.lower())
+            elif SPECIAL in w:
+                self.young[w] = self._raw(w)
+            elif LATIN.fullmatch(w):
+                self.young[w] = b"".join([piece(p.translate(self.spelling)) for p in PIECES.findall(w.lower())])
             else:
-                self.words[w] = self._raw(w).tobytes()
-        alpha = [c for c in cores if c.isalpha()]
-        for at in range(0, len(alpha), 2000):
-            group = alpha[at : at + 2000]
-            ids = self._raw(" ".join(group))
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(group):
-                self.cores.update(zip(group, (x.tobytes() for x in np.split(ids, ends[:-1])), strict=True))
-            else:
-                self.cores.update((c, self._raw(c).tobytes()) for c in group)
-        self.cores.update((c, self._raw(c).tobytes()) for c in cores if not c.isalpha())
-        for w, (core, tail) in parts.items():
-            self.words[w] = self.cores[core] + self.cores[tail]
+                foreign.append(w)
+        for at in range(0, len(foreign), 1000):
+            self._learn_foreign(foreign[at : at + 1000])
+
+    def _learn_foreign(self, words: list[str]) -> None:
+        """Words beyond Latin letters, normalised and cut in one call and told apart by their places."""
+        joined = self.tokenizer.normalizer.normalize_str(" ".join(words))
+        plain = joined.split(" ")
+        if len(plain) != len(words):  # white space that is no blank within a word
+            self.young.update((w, self._raw(w)) for w in words)
+            return
+        ends = np.cumsum([len(w) + 1 for w in plain]).tolist()
+        ids = [b""] * len(words)
+        at = 0
+        for spelt, (start, _) in self.tokenizer.pre_tokenizer.pre_tokenize_str(joined):
+            while start >= ends[at]:
+                at += 1
+            ids[at] += self._piece(spelt)
+        self.young.update(zip(words, ids, strict=True))
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {w for ws in split for w in ws if w not in self.words}
-        if new:
-            whole = set().union(*split) if len(self.words) + len(self.cores) > CACHED else new
-            self._learn(whole)
-        known = self.words
+        if self.held > self.cached:
+            self.young, self.old, self.pieces, self.held = {"": b""}, self.young, {}, 0
+        new = set().union(*split).difference(self.young)
+        self.held += 300 * len(new) + 8 * sum(map(len, new))
+        back = new & self.old.keys()
+        self.young.update((w, self.old[w]) for w in back)
+        self._learn(new - back)
+        known = self.young
         return [b"".join([known[w] for w in ws]) for ws in split]
 
 
@@ -315,10 +336,13 @@ def slots(groups: Groups) -> dict[str, np.ndarray]:
     return {k: table[:, n] for n, k in enumerate(("length", "rank", "sequence", "offset"))}
 
 
-def ranked(pieces_: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``rank``: the place of a piece among those of its length, from 0."""
-    total = pieces_.count()
-    blocks = max(1, -(-total // block_rows))
+def ranked(pieces_: DataFrame) -> DataFrame:
+    """Add ``rank``: the place of a piece among those of its length, from 0.
+
+    Pieces are ranked in blocks: as many blocks as each has pieces, so that neither a block of the
+    commonest length nor the table of block sizes grows as fast as the input.
+    """
+    blocks = max(1, isqrt(pieces_.count()))
     block = F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)).cast("int")
     dealt = pieces_.withColumn("block", block)
     sizes = materialize(dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")), "block_sizes")

@@ -9,15 +9,33 @@ from tokenizers import Tokenizer
 from searchloom.llm import packing
 
 TEXTS = [None, "", " ", "Hello, World! it's", "naïve café İstanbul ΣΑΣ", "áb \x1c\x85\xa0x", "<|endoftext|> is text", "don't we'll 12 3.5 %%% a###", "日本語 テキスト", "word " * 9000, "x"]
+#: Beyond those: words that mix letters, digits, marks and foreign letters, and letters of late Unicode versions.
+WORDS = ["a'sb't", "O'Brien's,", "x1y22z", "(918)", "“Quoted”", "ß.ẞ", "e\u0301té", "\u0301x", "ǅabc", "\U0001e4d0\U00016d40", "a\u200bb", "tab\x0bx", "DEL\x7f", "a<|startoftext|>b", "é<|endoftext|>", "𝒳𝒴", "½", "٣٤", "ﬁn", "İ", "''s", "<|", "|>"]
 
 
 def test_ids_are_those_of_the_tokenizer(spark):
     own = packing.WordTokenizer(packing.default_tokenizer())
     whole = Tokenizer.from_file(packing.default_tokenizer())
     docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    texts = [t or "" for t in TEXTS] + docs
-    for got, text in zip(own.encoded(texts), texts, strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:50]
+    texts = [t or "" for t in TEXTS] + WORDS + [" ".join(WORDS)] + docs
+    few = packing.WordTokenizer(packing.default_tokenizer(), cached=10_000)
+    want = [whole.encode(text, add_special_tokens=False).ids for text in texts]
+    for part in (slice(30), slice(30, None), slice(None)):
+        for tokenizer in (own, few):
+            for got, ids, text in zip(tokenizer.encoded(texts[part]), want[part], texts[part], strict=True):
+                assert np.frombuffer(got, "<u4").tolist() == ids, text[:50]
+
+
+def test_ids_of_random_words():
+    """Words of random code points, one by one and all in one batch."""
+    rng = random.Random(5)
+    alphabets = ["aé'", "abc123.,'", "äßÉñ", "αΣς", "日本語x", "\u0301\u0308ae", "".join(map(chr, range(1, 0x250)))]
+    words = ["".join(rng.choice(a) for _ in range(rng.randint(1, 9))) for a in alphabets for _ in range(300)]
+    words += [chr(c) for c in range(0x250, 0x30000, 37) if not 0xD800 <= c < 0xE000]
+    words += [x for c in range(1, 0x250) for x in (chr(c), f"a{chr(c)}b", f"{chr(c)}'s.")]
+    own, whole = packing.WordTokenizer(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    for got, word in zip(own.encoded(words), words, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(word, add_special_tokens=False).ids, repr(word)
 
 
 def test_pieces_and_places(spark):
