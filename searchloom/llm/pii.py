@@ -1,15 +1,22 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction.
 
 Everything is DataFrame functions. Java's ``split`` and ``regexp_extract_all`` walk the same
-matches, so the pieces between the matches give every match's place; only lengths leave the row
-that holds the text, and one pass reads the texts.
-
-Bootstrapping. Spans of the fixed patterns are the seed entities. Every token with a digit is an
-instance; the word before it together with its shape is a lexical pattern. Patterns and instances
-form a graph: a pattern's confidence is the mean score of its instances (with one doubtful one
-added), an instance's score is that of its best pattern, and seeds keep the score 1. After
-``ROUNDS`` rounds, patterns with enough seeds and confidence mark the instances that no seed
-covers as spans of the kind ``context``.
+matches, so the pieces between the matches give every match's place.
+
+Bootstrapping. The first words of the fixed patterns' spans are the seed entities. The words around
+an entity are lexical patterns: the word before it, the two words before it, and the word before
+together with the word after; each for any word in the place and for words with a digit or a mark
+inside. A pattern without a word does not exist.
+
+1. Patterns that ``min_seeds`` different seeds stand in are candidates. One pass over all words
+   counts how often each candidate occurs; those with seeds in less than ``START`` of their places
+   leave, so the graph is at most ``1 / START`` times as large as the seeds are many.
+2. A second pass collects the instances of the remaining patterns. Patterns and instances form a
+   graph that is scored in rounds: a pattern's confidence is the mean score of its instances, by how
+   often each occurs (with one doubtful one added), an instance's score is that of its best pattern,
+   and seeds keep 1.
+3. Patterns with confidence ``min_confidence`` after ``ROUNDS`` rounds mark the words they hold, by
+   place, as spans of the kind ``context`` unless a fixed pattern's span is there.
 
 The fixed patterns are written with possessive quantifiers and with look-behinds that let a search
 begin only where a run of characters begins (or where the last match ended). They match the same
@@ -17,10 +24,11 @@ spans as the plain forms, in linear time and without deep recursion on long runs
 
 A window runs over the spans of one document, never over more. Patterns and instances meet in
 aggregates with partial sums, so a pattern with any share of all instances is no bottleneck.
+Seeds that make a pattern a candidate are different entities, so copies of a text are one.
 
 Edge cases. A null text is empty and gives a row without spans. Null and repeated ids are kept:
-rows are told apart by a generated number. Tokens of over 64 characters are no instances; the fixed
-patterns have no such bound. An empty table gives an empty result. Extra columns are not read.
+rows are told apart by a generated number. Words may have any length. Ties do not arise: spans are
+in the order of place and kind. An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -40,11 +48,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SPACE = r"\x20\x09-\x0D"
-TOKEN = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
 
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 5, 0.75
-#: Characters of a token, and characters before it in which its context is looked for.
-TOKEN_LENGTH, CONTEXT = (6, 64), 64
+ROUNDS, MIN_SEEDS, START, MIN_CONFIDENCE = 3, 5, 0.25, 0.75
 
 
 def luhn(digits: Column) -> Column:
@@ -71,125 +76,188 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str, gate: Column, made) -> Column:
-    """For each match ``made(match, gap before it, its number)``."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(found, F.split(text, pattern, -1)).cast("array<struct<m:string,g:string>>")
-    rows = F.transform(
-        F.filter(both, lambda x: x["m"].isNotNull()), lambda x, i: made(x["m"], x["g"], i)
-    )
-    return F.when(gate, rows)
-
-
-def _base(kind: str):
-    def made(match: Column, gap: Column, i: Column) -> Column:
-        none = F.lit(None).cast("string")
+def core(word: Column) -> Column:
+    """A word without the marks around it."""
+    return F.regexp_replace(F.regexp_replace(word, r"^[^\p{L}\p{N}+]+", ""), r"[^\p{L}\p{N}]+$", "")
+
+
+def _matches(text: Column, kind: str, gate: Column) -> Column:
+    """For each match of a kind its place in the row of matches, lengths, and its surroundings.
+
+    ``value`` is the first word of the entity, ``p1`` and ``p2`` are the words before it and ``nx``
+    the one after its first word, as far as they stand between this match and its neighbours.
+    """
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    gaps = F.split(text, PATTERNS[kind], -1)
+    both = F.arrays_zip(found, gaps, F.slice(gaps, 2, F.size(found))).cast("array<struct<m:string,g:string,t:string>>")
+    n = KINDS.index(kind)
+
+    def made(x: Column, i: Column) -> Column:
+        match, gap, tail = x["m"], x["g"], F.lower(x["t"])
+        before = F.regexp_replace(F.lower(F.concat(F.when(i == 0, " ").otherwise(""), gap)), f"[{SPACE}]+", " ")
+        blanks = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+        last = F.split(F.substring_index(before, " ", -3), " ")  # the last is what stands before it in its own word
+        head = lambda k: F.element_at(last, -k)
+        bare = ~head(1).rlike(r"[\p{L}\p{N}+]")
+        rest = F.regexp_extract(tail, f"^[^{SPACE}]*", 0)
+        first = F.regexp_extract(F.lower(match), f"^[^{SPACE}]*", 0)
+        whole = F.length(first) == F.length(match)
+        after = F.when(whole, F.regexp_extract(tail, f"^[^{SPACE}]*[{SPACE}]+([^{SPACE}]+)", 1)).otherwise(
+            F.concat(F.regexp_extract(F.lower(match), f"^[^{SPACE}]*[{SPACE}]+([^{SPACE}]+)", 1),
+                     F.when(F.regexp_count(match, F.lit(f"[{SPACE}]+")) == 1, rest).otherwise(""))
+        )
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"),
-            F.length(gap).alias("gap"), F.length(match).alias("len"), holds(kind, match).alias("ok"),
-            F.lit(0).alias("lead"), none.alias("core"), none.alias("left"),
+            F.lit(n).alias("kind"), i.alias("i"), F.length(gap).alias("gap"), F.length(match).alias("len"), holds(kind, match).alias("ok"),
+            core(F.when(whole, F.concat(first, rest)).otherwise(first)).alias("value"),
+            F.when(bare & (blanks >= 2), head(2)).otherwise("").alias("p1"),
+            F.when(bare & (blanks >= 3), head(3)).otherwise("").alias("p2"),
+            after.alias("nx"),
         )
 
-    return made
+    rows = F.transform(F.filter(both, lambda x: x["m"].isNotNull()), made)
+    return F.when(gate, rows)
 
 
-def _instance(match: Column, gap: Column, i: Column) -> Column:
-    short = F.length(match) <= TOKEN_LENGTH[1]
-    bare = F.when(short, F.regexp_replace(match, r"^[^A-Za-z0-9+]+", ""))
-    core = F.regexp_replace(bare, r"[^A-Za-z0-9]+$", "")
-    words = F.rtrim(F.translate(F.substring(gap, -CONTEXT, CONTEXT), "\t\n\v\f\r", "     "))
-    return F.struct(
-        F.lit(INSTANCE).alias("kind"), i.alias("i"), F.length(gap).alias("gap"), F.length(match).alias("len"),
-        (F.length(core) >= TOKEN_LENGTH[0]).alias("ok"),
-        (F.length(match) - F.length(bare)).alias("lead"),
-        core.alias("core"),
-        F.lower(F.substring_index(words, " ", -1)).alias("left"),
-    )
+HIT = "struct<kind:int,i:int,gap:int,len:int,ok:boolean,value:string,p1:string,p2:string,nx:string>"
 
 
-def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``row, doc_id``) of all rows, and their matches with places."""
+def located(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, text, hits``: all rows with their matches, a table."""
     text, some = F.col("text"), F.col("text").rlike("[0-9]")
     gates = {"email": F.contains(text, F.lit("@")), "ip": some, "card": some, "phone": F.contains(text, F.lit("+"))}
-    hits = [_matches(text, PATTERNS[k], gates[k], _base(k)) for k in KINDS]
-    hits.append(_matches(text, TOKEN, some, _instance))
-    empty = F.array().cast(
-        "array<struct<kind:int,i:int,gap:int,len:int,ok:boolean,lead:int,core:string,left:string>>"
-    )
-    rows = materialize(
+    empty = F.array().cast(f"array<{HIT}>")
+    return materialize(
         docs.select("doc_id", text_of().alias("text")).select(
             F.monotonically_increasing_id().alias("row"),
             "doc_id",
-            F.concat(*[F.coalesce(h, empty) for h in hits]).alias("hits"),
+            "text",
+            F.concat(*[F.coalesce(_matches(text, k, gates[k]), empty) for k in KINDS]).alias("hits"),
         ),
         "pii_hits",
     )
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``row, kind, start, end, value, p1, p2, nx`` of the matches that count."""
     order = Window.partitionBy("row", "kind").orderBy("i")
     before = F.sum(F.col("gap") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     whole = rows.select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    placed = whole.withColumn("start", F.coalesce(before, F.lit(0)) + F.col("gap")).filter("ok")
-    placed = placed.withColumn("start", F.col("start") + F.col("lead"))
-    length = F.when(F.col("kind") == INSTANCE, F.length("core")).otherwise(F.col("len"))
-    return rows.select("row", "doc_id"), placed.select(
-        "row", "kind", "start", (F.col("start") + length).alias("end"), "core", "left"
+    start = F.coalesce(before, F.lit(0)) + F.col("gap")
+    return whole.withColumn("start", start).filter("ok").select(
+        "row", "kind", "start", (F.col("start") + F.col("len")).alias("end"), "value", "p1", "p2", "nx"
     )
 
 
-def _covered(placed: DataFrame) -> DataFrame:
-    """Add ``seed``: whether a span of a fixed pattern meets this one."""
-    base = F.col("kind") < INSTANCE
-    until = (Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("row").orderBy("start", "kind", "end").rowsBetween(*until)
-    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(*until)
-    ends = F.max(F.when(base, F.col("end"))).over(ahead)
-    starts = F.min(F.when(base, F.col("start"))).over(back)
-    met = F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
-    return placed.withColumn("seed", base | met)
-
-
-def shape(core: Column) -> Column:
-    return F.when(core.rlike("^[0-9]+$"), "9").otherwise(F.regexp_replace(core, "[A-Za-z0-9]+", "w"))
-
-
-def bootstrap(
-    instances: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE
-) -> DataFrame:
-    """Confident patterns (``left, shape``) of ``instances`` (``left, shape, core, seed``)."""
-    edges = materialize(
-        instances.groupBy("left", "shape", "core").agg(F.max(F.col("seed").cast("int")).alias("seed")), "edges"
+def lexical(value: Column) -> Column:
+    """The patterns of an entity with the words ``p1``, ``p2``, ``nx`` around it."""
+    contexts = F.filter(
+        F.array(
+            F.concat(F.lit("1 "), "p1"),
+            F.when(F.col("p2") != "", F.concat(F.lit("2 "), "p2", F.lit(" "), "p1")),
+            F.when(F.col("nx") != "", F.concat(F.lit("3 "), "p1", F.lit(" _ "), "nx")),
+        ),
+        lambda c: c.isNotNull(),
     )
-    scores = edges.groupBy("core").agg(F.max("seed").cast("double").alias("score"))
+    marked = value.rlike(r"[0-9]|[\p{L}][^\p{L}\p{N}]+[\p{L}]")
+    return F.when(marked, F.concat(contexts, F.transform(contexts, lambda c: F.concat(F.lit("#"), c)))).otherwise(contexts)
+
+
+def words(rows: DataFrame, lefts: DataFrame) -> DataFrame:
+    """``row, at, value, pattern``: every word after one of the words ``lefts`` (``p1``), by pattern."""
+    split = F.split(F.lower("text"), f"[{SPACE}]+", -1)
+    blank = F.array(F.lit(""))
+    around = F.arrays_zip(
+        F.col("w"), F.concat(blank, "w"), F.concat(blank, blank, "w"), F.slice("w", 2, F.size("w"))
+    ).cast("array<struct<word:string,p1:string,p2:string,nx:string>>")
+    spread = rows.select("row", split.alias("w")).select("row", F.posexplode(around).alias("at", "x"))
+    spread = spread.select("row", "at", "x.word", "x.p1", "x.p2", F.coalesce("x.nx", F.lit("")).alias("nx"))
+    near = spread.filter("word <> '' AND p1 <> ''").join(lefts, "p1", "left_semi")
+    valued = near.withColumn("value", core(F.col("word"))).filter("value <> ''")
+    return valued.select("row", "at", "value", F.explode(lexical(F.col("value"))).alias("pattern"))
+
+
+def candidates(seeds: DataFrame, min_seeds: int) -> DataFrame:
+    """``pattern, seeds, p1`` of patterns that enough different seeds stand in."""
+    own = seeds.filter("p1 <> ''").select("value", "p1", F.explode(lexical(F.col("value"))).alias("pattern"))
+    each = own.groupBy("pattern", "p1", "value").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("pattern", "p1").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("seeds")).filter(
+        F.col("kinds") >= min_seeds
+    ).drop("kinds")
+
+
+def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Confident patterns of the graph ``edges`` (``pattern, value, n, seed``: 0 or 1), each edge once."""
+    scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
     for r in range(rounds):
-        patterns = materialize(
-            edges.join(scores, "core")
-            .groupBy("left", "shape")
-            .agg(
-                (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("confidence"),
-                F.sum("seed").alias("seeds"),
-            ),
+        found = materialize(
+            edges.join(scores, "value").groupBy("pattern").agg((F.sum(F.col("score") * F.col("n")) / (F.sum("n") + 1)).alias("confidence")),
             f"patterns_{r}",
         )
-        trusted = patterns.filter((F.col("seeds") >= min_seeds) & (F.col("confidence") >= min_confidence))
+        trusted = found.filter(F.col("confidence") >= min_confidence)
         if r + 1 == rounds:
-            return trusted.select("left", "shape")
-        scores = materialize(
-            edges.join(trusted.select("left", "shape", "confidence"), ["left", "shape"], "left")
-            .groupBy("core")
-            .agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score")),
-            f"scores_{r}",
-        )
+            return trusted.select("pattern")
+        best = F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("confidence"), F.lit(0.0)))
+        scores = materialize(edges.join(trusted, "pattern", "left").groupBy("value").agg(best.alias("score")), f"scores_{r}")
     raise ValueError("at least one round")
 
 
+def discovered(
+    rows: DataFrame, spans: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, start: float = START,
+    min_confidence: float = MIN_CONFIDENCE,
+) -> DataFrame:
+    """``row, at``: the words that trusted patterns hold and that are no seeds, ``at`` their number."""
+    seeds = spans.select("value", "p1", "p2", "nx").filter("value <> ''")
+    possible = materialize(candidates(seeds, min_seeds), "pii_candidates")
+    if possible.isEmpty():
+        return rows.select("row", F.lit(0).alias("at")).limit(0)
+    counted = words(rows, possible.select("p1").distinct()).join(possible.select("pattern"), "pattern", "left_semi")
+    counted = counted.groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
+    kept = possible.join(counted, "pattern").filter(F.col("seeds") >= start * F.col("places")).select("pattern", "p1")
+    kept = materialize(kept, "pii_patterns")
+    if kept.isEmpty():
+        return rows.select("row", F.lit(0).alias("at")).limit(0)
+    held = words(rows, kept.select("p1").distinct()).join(kept.select("pattern"), "pattern", "left_semi")
+    held = materialize(held, "pii_instances")
+    known = seeds.select("value").distinct().withColumn("seed", F.lit(1))
+    values = held.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"))
+    edges = materialize(values.join(known, "value", "left").select("pattern", "value", "n", F.coalesce("seed", F.lit(0)).alias("seed")), "edges")
+    trusted = trusted_patterns(edges, rounds, min_confidence)
+    unseen = held.join(trusted, "pattern", "left_semi").join(known.select("value"), "value", "left_anti")
+    return unseen.select("row", "at").distinct()
+
+
+def context_spans(rows: DataFrame, spans: DataFrame, found: DataFrame) -> DataFrame:
+    """``row, start, end`` of the found words, but for those that a fixed pattern's span meets."""
+    held = found.groupBy("row").agg(F.collect_list("at").alias("ats"))
+    base = spans.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("base"))
+    texts = rows.select("row", "text").join(held, "row").join(base, "row", "left")
+    parts, blanks = F.split("text", f"[{SPACE}]+", -1), F.regexp_extract_all("text", F.lit(f"[{SPACE}]+"), F.lit(0))
+    length = lambda pieces, n: F.length(F.array_join(F.slice(pieces, 1, n), ""))
+    each = texts.select("row", "base", parts.alias("parts"), blanks.alias("blanks"), "ats").select(
+        "row", "base",
+        F.explode(F.transform("ats", lambda n: F.struct(
+            (length(F.col("parts"), n) + length(F.col("blanks"), n)).alias("at"), F.get("parts", n).alias("word")
+        ))).alias("x"),
+    )
+    lead = F.length("x.word") - F.length(F.regexp_replace("x.word", r"^[^\p{L}\p{N}+]+", ""))
+    each = each.select("row", "base", (F.col("x.at") + lead).alias("start"), F.length(core(F.col("x.word"))).alias("n"))
+    each = each.withColumn("end", F.col("start") + F.col("n"))
+    met = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    return each.filter(~F.coalesce(met, F.lit(False))).select("row", "start", "end")
+
+
 def personal_data(docs: DataFrame, **bounds) -> DataFrame:
-    """One row per document: counts of the base kinds, their digest, and all spans."""
-    rows, placed = located(docs)
-    placed = materialize(_covered(placed), "pii_spans")
-    instances = placed.filter(F.col("kind") == INSTANCE).withColumn("shape", shape(F.col("core")))
-    trusted = bootstrap(instances.select("left", "shape", "core", "seed"), **bounds)
-    found = instances.filter("NOT seed").join(trusted, ["left", "shape"], "left_semi")
-    spans = placed.filter(F.col("kind") < INSTANCE).select("row", "kind", "start", "end")
-    spans = spans.unionByName(found.select("row", "kind", "start", "end"))
+    """One row per document: counts of the base kinds, their digest, and all spans.
+
+    ``bounds`` are those of ``discovered``.
+    """
+    rows = located(docs)
+    spans = materialize(placed(rows), "pii_spans")
+    found = materialize(discovered(rows, spans, **bounds), "pii_found")
+    more = context_spans(rows, spans.select("row", "start", "end"), found)
+    spans = spans.select("row", "kind", "start", "end").unionByName(
+        more.select("row", F.lit(INSTANCE).alias("kind"), "start", "end")
+    )
     names = F.array(*[F.lit(k) for k in [*KINDS, "context"]])
     one = F.struct("start", "kind", F.concat_ws(":", names[F.col("kind")], "start", "end").alias("span"))
     joined = lambda c: F.array_join(F.transform(c, lambda x: x["span"]), ",")
@@ -198,7 +266,7 @@ def personal_data(docs: DataFrame, **bounds) -> DataFrame:
         F.array_sort(F.collect_list(one)).alias("all"),
     )
     base = F.coalesce(joined(F.filter("all", lambda x: x["kind"] < INSTANCE)), F.lit(""))
-    return rows.join(by_row, "row", "left").select(
+    return rows.select("row", "doc_id").join(by_row, "row", "left").select(
         "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS],
         F.sha2(base, 256).alias("base_sha256"),

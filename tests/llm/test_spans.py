@@ -1,6 +1,7 @@
 """PII and secret scans against plain regular expressions."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -92,19 +93,52 @@ def test_whole_table_and_repeats(spark):
     assert secret_scan.find_secrets(twice.limit(0)).count() == 0
 
 
+def learnt(rows):
+    return {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("context:")] for r in rows}
+
+
+def marked(rows, texts):
+    """(document, text of a span) of the spans that the method adds."""
+    out = set()
+    for i, spans in learnt(rows).items():
+        for x in spans:
+            _, a, b = x.split(":")
+            out.add((i, texts[i][int(a) : int(b)]))
+    return out
+
+
 def test_context_is_learnt(spark):
-    seeds = [f"mail me at address u{i}@example.org now" for i in range(12)]
-    unseen = ["mail me at address z9@localhost:77 now", "nothing near 123456789 here"]
-    rows = {r["doc_id"]: r["spans"] for r in pii.personal_data(frame(spark, seeds + unseen)).collect()}
-    assert rows[12] == "" or rows[12].startswith("context:")
-    assert rows[13] == ""
-    learnt = [f"account id-{i}x4 mail u{i}@example.org" for i in range(3)]
-    assert all("email" in r["spans"] for r in pii.personal_data(frame(spark, learnt)).collect())
-    cards = [f"card: 411111111111{i:04d} end" for i in range(400)]
-    valid = sum(luhn(c.split()[1]) for c in cards)
-    assert valid
-    rows = pii.personal_data(frame(spark, cards), min_confidence=0.05).collect()
-    assert all(r["spans"] for r in rows) and sum(r["n_card"] for r in rows) == valid
+    """Unseen identifiers after learnt words are found; look-alikes elsewhere are left alone."""
+    rng = random.Random(2)
+    word = lambda n=6: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    fill = lambda: " ".join(word(rng.randint(2, 8)) for _ in range(rng.randint(3, 9)))
+    seeds = [f"{fill()} write to my address: {word()}@{word()}.org {fill()}" for _ in range(40)]
+    seeds += [f"{fill()} login from host ({rng.randint(1, 255)}.7.8.{i}), {fill()}" for i in range(40)]
+    unseen = {f"{word()}@intranet": "write to my address:  {}\n", f"{word()}_{word()}": "write to\tmy address: {}!", "host-x9": "login from host ({}),", word(12) + "9" * 90: "login from host {}"}
+    unseen |= {f"{word()}@box{i}": "mail my address: <{}>" for i in range(8)}
+    texts = seeds + [f"é {fill()} {shown.format(x)} {fill()}" for x, shown in unseen.items()]
+    plain = [f"{fill()} {rng.choice(('room', 'chapter', 'the address of', 'a host of'))} {word()}{rng.randint(1, 99)} {fill()} {word()}@home {fill()}" for _ in range(60)]
+    texts += plain
+    got = marked(pii.personal_data(frame(spark, texts)).collect(), texts)
+    want = {(len(seeds) + i, x) for i, x in enumerate(unseen)}
+    assert got == want, (want - got, got - want)
+
+
+def test_second_round(spark):
+    """A pattern with few seeds is trusted once another has vouched for its other instances."""
+    texts = [f"user name is u{i}@corp.net ok" for i in range(30)]  # teaches 'name is'
+    texts += [f"user name is id-{i} ok" for i in range(6)]  # instances without a pattern of their own
+    texts += [f"welcome back u{i}@corp.net !" for i in range(5)] + [f"welcome back id-{i} !" for i in range(6)]
+    texts += ["welcome back zz-77 !"]
+    once = marked(pii.personal_data(frame(spark, texts), rounds=1).collect(), texts)
+    more = marked(pii.personal_data(frame(spark, texts), rounds=3).collect(), texts)
+    assert (len(texts) - 1, "zz-77") in more and (len(texts) - 1, "zz-77") not in once
+    assert {x for _, x in more} == {"zz-77", *(f"id-{i}" for i in range(6))}
+
+
+def test_copies_teach_once(spark):
+    texts = ["reply to a@b.cd now"] * 50 + ["reply to zz9 now"]
+    assert not marked(pii.personal_data(frame(spark, texts)).collect(), texts)
 
 
 def test_novelty_reports_keys_and_leaves_names(spark):
