@@ -101,9 +101,12 @@ class WordTokenizer:
 
     def _learn_foreign(self, words: list[str]) -> None:
         """Words beyond Latin letters, normalised and cut in one call and told apart by their places."""
+        # The normaliser turns any white space into blanks, so words that have some go by themselves.
+        self.young.update((w, self._raw(w)) for w in words if w.split() != [w])
+        words = [w for w in words if w.split() == [w]]
         joined = self.tokenizer.normalizer.normalize_str(" ".join(words))
         plain = joined.split(" ")
-        if len(plain) != len(words):  # white space that is no blank within a word
+        if len(words) != len(plain) or not words:
             self.young.update((w, self._raw(w)) for w in words)
             return
         ends = np.cumsum([len(w) + 1 for w in plain]).tolist()

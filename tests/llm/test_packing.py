@@ -86,3 +86,36 @@ def test_nnls():
     a, x = rng.random((20, 30)), np.maximum(rng.normal(size=30), 0)
     got = packing.nnls(a, a @ x)
     assert (got >= 0).all() and np.linalg.norm(a @ got - a @ x) < 1e-6
+
+
+def test_extra_columns_and_small_optima(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, None)], "doc_id long, text string")
+    docs = docs.selectExpr("*", "5 AS row", "'x' AS piece", "7 AS length", "8 AS rank", "9 AS offset")
+    rows = packing.pack_documents(docs).collect()
+    assert len(rows) == 3 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3 and len({r["sequence_id"] for r in rows}) == 1
+
+    def optimum(lengths, capacity):
+        best = [len(lengths)]
+
+        def grow(i, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if i == len(lengths):
+                best[0] = len(rooms)
+                return
+            for k in {r: n for n, r in enumerate(rooms) if r >= lengths[i]}.values():
+                grow(i + 1, [r - lengths[i] if n == k else r for n, r in enumerate(rooms)])
+            grow(i + 1, [*rooms, capacity - lengths[i]])
+
+        grow(0, [])
+        return best[0]
+
+    rng, more = random.Random(9), 0
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 40) for _ in range(9)), reverse=True)
+        histogram = {n: lengths.count(n) for n in lengths}
+        used = sum(n for _, n in packing.plan(histogram, 40, ((40, 3), (10, 2))))
+        least = optimum(lengths, 40)
+        assert used <= least + 1
+        more += used - least
+    assert more <= 6
