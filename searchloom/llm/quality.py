@@ -6,14 +6,16 @@ indicator is scaled by the log of the ratio of its smoothed class counts, rows a
 length, and a linear hinge-loss model is fitted by dual coordinate descent. A logistic curve over
 the fitted margins turns a margin into a score.
 
-The fit uses at most ``max_rows`` labelled rows, those with the smallest hash of their id; that
+The fit uses at most ``max_rows`` labelled documents, those with the smallest hash of their id; that
 bound is why their ids may be broadcast and their features may come to the driver. Every text is
 scored whole, where it lies, and nothing is shuffled.
 
 Edge cases. Null texts are empty; an empty text has one feature of its own. Labels that are null
 are not used; of several labels of a document the mean counts, half rounding up. Without labels of
 both classes every score is the share of label 1 (0.5 without labels). A null ``doc_id`` is not
-held out. An empty table gives an empty result. Extra columns are not read.
+held out. Of several texts with one labelled id the first in order is learnt from; repeated rows
+are scored one by one. Words and texts may have any length. A score of exactly 0.5 is predicted 1.
+An empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ def _hash(text: str) -> int:
 def shape(word: str) -> str:
     for pattern, mark in _RUNS:
         word = pattern.sub(mark, word)
-    return word[:12]
+    return word
 
 
 class Features:
@@ -91,7 +93,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS) -> DataFrame:
-    """``y, features`` of at most ``max_rows`` labelled documents that are not held out."""
+    """``y, features`` of at most ``max_rows`` labelled documents that are not held out, one of each."""
     chosen = (
         labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL")
         .filter(~held_out(F.col("doc_id")))
@@ -107,7 +109,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
             yield pd.DataFrame({"y": batch["y"], "features": [own.of(t).astype(np.int32) for t in batch["text"]]})
 
     found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    return found.select("y", "text").mapInPandas(rows, "y int, features array<int>").limit(2 * max_rows)
+    once = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return once.select("y", "text").mapInPandas(rows, "y int, features array<int>")
 
 
 def log_count_ratios(x: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
