@@ -1,7 +1,7 @@
 """WARC archives, index first.
 
-1. Tasks write the archives where the pages lie, one gzip member for each record, and return an
-   index row (file, offset, length, url, digest) for each; the index is committed as a table
+1. Tasks write the archives where the pages lie, one gzip member for each record after a
+   ``warcinfo`` record that begins each file, and return an index row (file, offset, length, url, digest) for each; the index is committed as a table
    before anything is read. A task that is run again writes a file of another name, and only the
    rows of the attempt that Spark committed are in the index, so lost executors leave nothing but
    files that no index names.
@@ -15,8 +15,10 @@ them; the pages meet the few revisits in a join that Spark broadcasts while they
 
 Edge cases. A null html is an empty payload. Null urls give records without a target URI. A null
 page id is written as ``null``; it never comes before another id and reads back as null. Repeated
-rows are written as often as they occur; those with the smallest id are all ``response``. Line ends
-in an url are percent-encoded in its header. An empty table gives no archive and an empty result.
+rows are written as often as they occur, with one record id, which is the page's; those with the
+smallest id are all ``response``. A payload larger than a range is read at once. Line ends in an url
+are percent-encoded in its header. An empty table gives no archive and an empty result. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ END = CRLF + CRLF
 #: Bytes of a shard, about; of a range read at once, at most unless one record is larger; and of a
 #: gap between two ranges that is read over.
 SHARD_BYTES, RANGE_BYTES, GAP_BYTES = 32 << 20, 8 << 20, 64 << 10
+#: Reading tasks at most; beyond that each reads more ranges.
+TASKS = 20_000
 
 
 def planned(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
@@ -94,6 +98,14 @@ def record(page: int | None, url: str | None, payload: bytes, digest: str, origi
     return CRLF.join(lines).encode() + END.encode() + block + END.encode()
 
 
+def info(date: str) -> bytes:
+    """The record that begins an archive."""
+    block = f"software: searchloom{CRLF}format: WARC File Format 1.1{CRLF}".encode()
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}"]
+    lines += ["Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return CRLF.join(lines).encode() + END.encode() + block + END.encode()
+
+
 def member(data: bytes, level: int = 6) -> bytes:
     """One gzip member, without a time or a name."""
     own = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -134,6 +146,9 @@ def write_archives(
                     system, where = _filesystem(name)
                     system.create_dir(where.rpartition("/")[0])
                     out = system.open_output_stream(where, compression=None)
+                    head = member(info(date))
+                    out.write(head)
+                    at = len(head)
                 raw = text.encode()
                 data = member(record(page, url, raw, digest, original, revisit, date))
                 out.write(data)
@@ -234,8 +249,11 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
 
     block = F.floor(F.col("offset") / RANGE_BYTES)
     dealt = index.select("file", "offset", "length").withColumn("block", block)
+    total = index.agg(F.sum("length")).first()[0] or 0
+    # as many tasks as there are ranges of payload, whatever little the index itself weighs
+    tasks = max(1, -(-total // max(RANGE_BYTES, total // TASKS)))
     return (
-        dealt.repartition("file", "block")
+        dealt.repartition(tasks, "file", "block")
         .sortWithinPartitions("file", "offset")
         .select("file", "offset", "length")
         .mapInPandas(rows, COLUMNS)

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 
 from searchloom.llm import warc
 from searchloom.llm.common import fresh_path
@@ -57,3 +58,20 @@ def test_empty(spark):
 def test_coalesced():
     assert [(a, b, len(x)) for a, b, x in warc.coalesced([(0, 5), (5, 5), (30, 5), (200, 5)], 20, 1000)] == [(0, 35, 3), (200, 205, 1)]
     assert [(a, b) for a, b, _ in warc.coalesced([(0, 5), (5, 5), (10, 50)], 20, 10)] == [(0, 10), (10, 60)]
+
+
+def test_large_payloads_and_file_heads(spark):
+    rng = random.Random(1)
+    large = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(warc.RANGE_BYTES * 3 // 2))
+    rows = [(1, "u", large), (2, "u", "small"), (3, "v", large)]
+    index = warc.write_archives(frame(spark, rows), fresh_path(spark, "t"))
+    got = {r["page_id"]: r for r in warc.read_records(index).collect()}
+    assert got[1]["payload"] == large and got[3]["refers_to"] == 1 and got[3]["payload_bytes"] == len(large)
+    for name in {r["file"] for r in index.collect()}:
+        with gzip.open(name.removeprefix("file://")) as f:
+            assert f.read(200).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+
+
+def test_reading_is_dealt_out_by_bytes(spark):
+    index = spark.range(4000).selectExpr("concat('f', id % 7) AS file", "id div 7 * 100000 AS offset", "100000L AS length")
+    assert warc.read_records(index).rdd.getNumPartitions() == -(-4000 * 100000 // warc.RANGE_BYTES)
