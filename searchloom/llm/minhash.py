@@ -17,13 +17,13 @@ Verification, without all pairs of a bucket.
    buckets are gathered in chunks of a bounded number of shingles, and chunks that share a bucket
    meet in cells. A cell compares, class by class, the members of different components that agree
    in a band of either collection, and returns only links that join components.
-All links are confirmed on the full sets. Only a pair whose 160 minhashes agree in less than
-``FLOOR`` of cases is left out unread: at a similarity of 0.8 that is five standard deviations away.
+All links are confirmed on the full sets.
 
 Edge cases. A text with fewer words has its whole sequence as one shingle; without words or text
 the set is empty and linked with nothing. A null ``doc_id`` sorts after all others; a component of
-such rows alone has a null name. Repeated rows are copies like any others. An empty table gives an
-empty result. Extra columns are not read.
+such rows alone has a null name. Repeated rows are copies like any others. Texts and words may have
+any length; a set larger than a chunk is a chunk of its own. An empty table gives an empty result.
+Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,8 +42,9 @@ from .common import keep_one, materialize, read, small_batches, text_of
 from .components import connected_components
 
 SIDE, ROWS = 20, 4
-#: Shingles of a chunk, about; share of equal minhashes below which a pair is not read.
-CHUNK, FLOOR = 1_000_000, 0.64
+#: Shingles of a chunk, about, and what a class weighs besides its shingles; pairs of one class that
+#: one task checks, about.
+CHUNK, CLASS, PAIRS = 1_000_000, 1_000, 500
 CACHED = 250_000
 
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -190,9 +191,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def check(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([linked(p, q) for p, q in zip(x, y, strict=True)], dtype="bool")
 
-    one = sets.select(F.col("cid").alias("a"), F.col("set").alias("x"))
+    # A class that many others are checked against is dealt out to as many tasks as it needs.
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
+    parts = materialize(parts, "pair_parts")
+    dealt = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    one = sets.select(F.col("cid").alias("a"), F.col("set").alias("x")).join(parts, "a")
+    one = one.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "x")
     two = sets.select(F.col("cid").alias("b"), F.col("set").alias("y"))
-    return pairs.join(two, "b").join(one, "a").filter(check("x", "y")).select("a", "b")
+    return dealt.join(two, "b").join(one, ["a", "part"]).filter(check("x", "y")).select("a", "b")
 
 
 def first_links(found: DataFrame, sets: DataFrame) -> DataFrame:
@@ -239,7 +245,7 @@ def cell_links(cell: pd.DataFrame) -> pd.DataFrame:
         if not len(near):
             continue
         alike = (sketch[near] == sketch[i]).mean(axis=1)
-        for j in near[(alike >= FLOOR)][np.argsort(-alike[alike >= FLOOR], kind="stable")]:
+        for j in near[np.argsort(-alike, kind="stable")]:
             a, b = root(component[i]), root(component[j])
             if a != b and linked(sets[i], sets[j]):
                 parent[max(a, b)] = min(a, b)
@@ -264,7 +270,7 @@ def remaining_links(found: DataFrame, labels: DataFrame, sets: DataFrame, sizes:
     home = home.select("cid", "component", F.col("h.key").alias("home")).join(clusters, "cid").join(sizes, "cid")
     home = materialize(home, "homes")
     parts = lambda by, name: materialize(
-        home.groupBy(by).agg(F.ceil(F.sum("n_shingles") / chunk).alias(name)), name
+        home.groupBy(by).agg(F.ceil(F.sum(F.col("n_shingles") + CLASS) / chunk).alias(name)), name
     )
     dealt = home.join(parts("cluster", "cluster_parts"), "cluster").join(parts("home", "home_parts"), "home").select(
         "cid",

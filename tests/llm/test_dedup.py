@@ -139,3 +139,20 @@ def test_sketch_estimates(spark):
             y = np.unique(np.concatenate((x[:common], rng.integers(0, 1 << 63, 400 - common, dtype=np.uint64))))
             got.append((own.sketch(x) == own.sketch(y)).mean())
         assert abs(np.mean(got) - share) < 0.02
+
+
+def test_long_texts_and_a_hot_class(spark, monkeypatch):
+    """One class that most others link to, sets larger than a chunk, and small parts of checks."""
+    monkeypatch.setattr(minhash, "PAIRS", 7)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = list(base)
+        w[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    long = [f"v{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows += [(100, " ".join(long)), (101, " ".join(long[:-3])), (102, "y" * 400_000), (103, "y" * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 5, chunk=20_000).collect()}
+    assert got == {i: c for i, (_, c) in brute(rows, 5).items()}
