@@ -13,8 +13,10 @@ and extra menus, notices, forms and comments made of its own words, so that the
 than one template. The fitted trees are a few numbers; pages are read whole, where they lie.
 
 Edge cases. A null html is empty and gives an empty text. Unclosed and misplaced tags are mended
-as browsers mend the common cases. Ids may be null or repeated. Without a page to learn from, all
-pages are decoded by class names and tags alone. An empty table gives an empty result. Extra
+as browsers mend the common cases: a script, style, text area, title or comment without an end runs
+to the end of the page, other unseen elements without an end lose their tag alone. Ids and urls may
+be null or repeated; every row has its own result. Without a page to learn from ``fit`` is an error:
+fit on other pages and give ``extract`` the trees. An empty table gives an empty result. Extra
 columns are not read.
 """
 
@@ -38,7 +40,8 @@ from .common import materialize, read, small_batches
 MAX_PAGES, RENDERINGS, TREES, DEPTH = 200, 4, 12, 4
 
 UNSEEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|title)\b.*?(?:</\1\s*>|\Z)", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\Z)|<(noscript|template|svg|iframe|object|select)\b.*?</\2\s*>",
+    re.S | re.I,
 )
 TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""")
 NAMED = re.compile(r"""(?:class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -270,14 +273,6 @@ def exported(model) -> Trees:
     return Trees(out)
 
 
-def by_names() -> Trees:
-    """What stands in for fitted trees where no page names its article."""
-    k = len(TAGS)
-    bad, kin, size = k + 13, k + 22, k + 1
-    stump = lambda f, t, low, high: [(f, t, 1, 2, 0.0), (-1, 0.0, 0, 0, low), (-1, 0.0, 0, 0, high)]
-    return Trees([(1.0, stump(bad, 0.5, 0.2, -2.0)), (1.0, stump(bad + 2, 0.5, 0.2, -2.0)), (1.0, stump(kin, -1.0, -2.0, 0.3)), (1.0, stump(size, 3.0, -0.3, 0.5))])
-
-
 ARTICLE = re.compile(r"<article\b([^>]*)>(.*)</article\s*>", re.S | re.I)
 BLOCKS = re.compile(r"<(nav|footer|header|aside|form)\b[^>]*>(.*?)</\1\s*>|<div class=\"ad\">(.*?)</div>", re.S | re.I)
 
@@ -349,6 +344,7 @@ def rendered(source: str, seed: int) -> str | None:
 
 
 def fit(pages: DataFrame, max_pages: int = MAX_PAGES, renderings: int = RENDERINGS) -> Trees:
+    """Trees fitted on ``pages`` (``page_id, html``), which must have some that name their article."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
@@ -372,7 +368,9 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES, renderings: int = RENDERIN
 
     labelled = materialize(chosen.mapInPandas(rows, "x array<double>, label double"), "nodes")
     if labelled.select("label").distinct().count() < 2:
-        return by_names()
+        if pages.isEmpty():
+            return Trees([])
+        raise ValueError("no page names its article with a tag: give labelled pages, or trees fitted on others")
     frame = labelled.coalesce(4).select(array_to_vector("x").alias("features"), "label")
     return exported(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(frame))
 
