@@ -16,12 +16,16 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is made, once for each application.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, a local session (as in tests)
+    gets a temporary folder, once for each application; on a cluster it is an error, as executors
+    would each write to a disk of their own. Tables of finished jobs stay there until the folder is
+    cleared: they are what a lost executor's work is repeated from.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="spark-")

@@ -1,10 +1,11 @@
 """Exact deduplication by deterministic block naming.
 
 Each normalised text is cut into blocks of a fixed number of characters. The distinct blocks are
-sorted, and a block's integer name is its place in that order. Then adjacent names are paired,
-the distinct pairs are sorted and named the same way, and so on until one name is left of each
-document. Two texts are equal exactly if they took equally many rounds and ended with the same
-name: names are places in a sorted list of distinct values, so they cannot collide.
+sorted within the partitions that ``distinct`` made, and a block's integer name is its partition's
+number with its place there. Then adjacent names are paired, the distinct pairs are sorted and named
+the same way, and so on until one name is left of each document. Two texts are equal exactly if they
+took equally many rounds and ended with the same name: a name stands for one distinct value, so
+names cannot collide. Names depend on the number of partitions; what is equal does not.
 
 Only the first round moves text, and it moves each distinct block once. Documents find their
 blocks' names by a 128-bit routing hash; the table of names is checked to have no two blocks with
@@ -48,7 +49,7 @@ def blocks_of(text: Column, size: int) -> Column:
 
 
 def named(distinct: DataFrame, *keys: str) -> DataFrame:
-    """Give each row of ``distinct`` an integer name: its place among the sorted keys."""
+    """Give each row of ``distinct`` an integer name: its partition and its place among the keys there."""
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 

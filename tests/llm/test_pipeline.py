@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from searchloom.llm import quality
 
@@ -33,3 +35,25 @@ def test_stages(spark):
     assert after == {i for i, t in before.items() if not any(x in " ".join(re.findall(r"\w+", t.lower())) for x in items)}
     packed = corpus_pipeline.STAGES[4][1](spark, docs, d)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == after
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated texts, repeated ids, long texts, extra columns and empty tables go through all stages."""
+    d = "/root/testdata/sf0.001"
+    base = spark.read.parquet(f"{d}/documents.parquet").limit(40)
+    rows = [(None, None), (None, None), (None, ""), (1, None), (1, "twice the same"), (1, "twice the same"), (1, "another text of this id"), (2, "word " * 200_000)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "'s' AS source", "CAST(0 AS bigint) AS n_chars")
+    docs = base.unionByName(odd.select(*[F.col(c).cast(t) for c, t in base.dtypes]))
+    docs = docs.selectExpr("*", "1 AS row", "2 AS digest", "3 AS kept", "4 AS component", "5 AS length", "6 AS name")
+    for table in (docs, docs.limit(0)):
+        table.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, now, d)
+            assert out.columns == now.columns
+            held = spark.createDataFrame(out.collect(), out.schema)
+            assert held.exceptAll(now).count() == 0
+            now = held
+        packed = corpus_pipeline.STAGES[4][1](spark, now, d)
+        pieces = packed.filter("piece = 0").select("doc_id")
+        assert pieces.exceptAll(now.select("doc_id")).count() == 0 and pieces.count() == now.count()
