@@ -8,9 +8,11 @@ an entity are lexical patterns: the word before it, the two words before it, and
 together with the word after; each for any word in the place and for words with a digit or a mark
 inside. A pattern without a word does not exist.
 
-1. Patterns that ``min_seeds`` different seeds stand in are candidates. One pass over all words
+1. Patterns that ``min_seeds`` different seeds stand in are candidates. A pass over all words
    counts how often each candidate occurs; those with seeds in less than ``START`` of their places
-   leave, so the graph is at most ``1 / START`` times as large as the seeds are many.
+   leave, so the graph is at most ``1 / START`` times as large as the seeds are many. Words without
+   a digit or mark are many, so patterns of any word are counted in the texts with seeds first: what
+   is too common there is so in all, and where nothing remains no pass over all words is needed.
 2. A second pass collects the instances of the remaining patterns. Patterns and instances form a
    graph that is scored in rounds: a pattern's confidence is the mean score of its instances, by how
    often each occurs (with one doubtful one added), an instance's score is that of its best pattern,
@@ -148,38 +150,57 @@ def placed(rows: DataFrame) -> DataFrame:
     )
 
 
-def lexical(value: Column) -> Column:
-    """The patterns of an entity with the words ``p1``, ``p2``, ``nx`` around it."""
+#: A word with a digit, or with a mark that identifiers have between two letters.
+MARKED = r"[0-9]|\p{L}[@._:/+#=~\\]+\p{L}"
+
+
+def lexical(value: Column, marked: bool) -> Column:
+    """The patterns of an entity with the words ``p1``, ``p2``, ``nx`` around it; those for marked
+    words alone begin with ``#``."""
+    sign = F.lit("#" if marked else "")
     contexts = F.filter(
         F.array(
-            F.concat(F.lit("1 "), "p1"),
-            F.when(F.col("p2") != "", F.concat(F.lit("2 "), "p2", F.lit(" "), "p1")),
-            F.when(F.col("nx") != "", F.concat(F.lit("3 "), "p1", F.lit(" _ "), "nx")),
+            F.concat(sign, F.lit("1 "), "p1"),
+            F.when(F.col("p2") != "", F.concat(sign, F.lit("2 "), "p2", F.lit(" "), "p1")),
+            F.when(F.col("nx") != "", F.concat(sign, F.lit("3 "), "p1", F.lit(" _ "), "nx")),
         ),
         lambda c: c.isNotNull(),
     )
-    marked = value.rlike(r"[0-9]|[\p{L}][^\p{L}\p{N}]+[\p{L}]")
-    return F.when(marked, F.concat(contexts, F.transform(contexts, lambda c: F.concat(F.lit("#"), c)))).otherwise(contexts)
+    return F.when(value.rlike(MARKED), contexts) if marked else contexts
+
+
+def words(rows: DataFrame, patterns: DataFrame, marked: bool) -> DataFrame:
+    """``row, at, value, pattern``: the words (or marked words) that stand in one of ``patterns``
+    (``pattern, p1``); ``at`` is a word's number in its text."""
+    if marked:
+        rows = rows.filter(F.lower("text").rlike(MARKED))
+    split = rows.select("row", F.split(F.lower("text"), f"[{SPACE}]+", -1).alias("w"))
+    at = F.sequence(F.lit(0), F.size("w") - 1)
+    if marked:
+        at = F.filter(at, lambda i: F.get("w", i).rlike(MARKED))
+    near = lambda i: F.coalesce(F.get("w", i), F.lit(""))
+    around = F.transform(
+        at, lambda i: F.struct(i.alias("at"), near(i).alias("word"), near(i - 1).alias("p1"), near(i - 2).alias("p2"), near(i + 1).alias("nx"))
+    )
+    spread = split.select("row", F.explode(around).alias("x")).select("row", "x.*").filter("word <> '' AND p1 <> ''")
+    spread = spread.join(patterns.select("p1").distinct(), "p1", "left_semi")
+    valued = spread.withColumn("value", core(F.col("word"))).filter("value <> ''")
+    held = valued.select("row", "at", "value", F.explode(lexical(F.col("value"), marked)).alias("pattern"))
+    return held.join(patterns.select("pattern"), "pattern", "left_semi")
 
 
-def words(rows: DataFrame, lefts: DataFrame) -> DataFrame:
-    """``row, at, value, pattern``: every word after one of the words ``lefts`` (``p1``), by pattern."""
-    split = F.split(F.lower("text"), f"[{SPACE}]+", -1)
-    blank = F.array(F.lit(""))
-    around = F.arrays_zip(
-        F.col("w"), F.concat(blank, "w"), F.concat(blank, blank, "w"), F.slice("w", 2, F.size("w"))
-    ).cast("array<struct<word:string,p1:string,p2:string,nx:string>>")
-    spread = rows.select("row", split.alias("w")).select("row", F.posexplode(around).alias("at", "x"))
-    spread = spread.select("row", "at", "x.word", "x.p1", "x.p2", F.coalesce("x.nx", F.lit("")).alias("nx"))
-    near = spread.filter("word <> '' AND p1 <> ''").join(lefts, "p1", "left_semi")
-    valued = near.withColumn("value", core(F.col("word"))).filter("value <> ''")
-    return valued.select("row", "at", "value", F.explode(lexical(F.col("value"))).alias("pattern"))
+def frequent_enough(possible: DataFrame, rows: DataFrame, marked: bool, start: float) -> DataFrame:
+    """The patterns of ``possible`` with seeds in a share ``start`` of the places that ``rows`` have."""
+    places = words(rows, possible, marked).groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
+    kept = possible.join(places, "pattern").filter(F.col("seeds") >= start * F.col("places")).select(*possible.columns)
+    return materialize(kept, "pii_patterns")
 
 
 def candidates(seeds: DataFrame, min_seeds: int) -> DataFrame:
-    """``pattern, seeds, p1`` of patterns that enough different seeds stand in."""
-    own = seeds.filter("p1 <> ''").select("value", "p1", F.explode(lexical(F.col("value"))).alias("pattern"))
-    each = own.groupBy("pattern", "p1", "value").agg(F.count(F.lit(1)).alias("n"))
+    """``pattern, p1, seeds`` of patterns that enough different seeds stand in."""
+    own = seeds.filter("p1 <> ''")
+    both = F.concat(lexical(F.col("value"), False), F.coalesce(lexical(F.col("value"), True), F.array().cast("array<string>")))
+    each = own.select("value", "p1", F.explode(both).alias("pattern")).groupBy("pattern", "p1", "value").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("pattern", "p1").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("seeds")).filter(
         F.col("kinds") >= min_seeds
     ).drop("kinds")
@@ -208,15 +229,17 @@ def discovered(
     """``row, at``: the words that trusted patterns hold and that are no seeds, ``at`` their number."""
     seeds = spans.select("value", "p1", "p2", "nx").filter("value <> ''")
     possible = materialize(candidates(seeds, min_seeds), "pii_candidates")
-    if possible.isEmpty():
-        return rows.select("row", F.lit(0).alias("at")).limit(0)
-    counted = words(rows, possible.select("p1").distinct()).join(possible.select("pattern"), "pattern", "left_semi")
-    counted = counted.groupBy("pattern").agg(F.count(F.lit(1)).alias("places"))
-    kept = possible.join(counted, "pattern").filter(F.col("seeds") >= start * F.col("places")).select("pattern", "p1")
-    kept = materialize(kept, "pii_patterns")
-    if kept.isEmpty():
+    held = None
+    for marked in (True, False):
+        kept = possible.filter(F.col("pattern").startswith("#") == marked)
+        if not marked and not kept.isEmpty():
+            kept = frequent_enough(kept, rows.filter(F.exists("hits", lambda h: h["ok"])), marked, start)
+        if not kept.isEmpty():
+            kept = frequent_enough(kept, rows, marked, start)
+            own = words(rows, kept, marked)
+            held = own if held is None else held.unionByName(own)
+    if held is None:
         return rows.select("row", F.lit(0).alias("at")).limit(0)
-    held = words(rows, kept.select("p1").distinct()).join(kept.select("pattern"), "pattern", "left_semi")
     held = materialize(held, "pii_instances")
     known = seeds.select("value").distinct().withColumn("seed", F.lit(1))
     values = held.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"))
