@@ -39,13 +39,19 @@ def normal_query(query: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(query), r"\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def clean_line(line: Column) -> Column:
-    """A generated line without list marks and quotes around it."""
-    bare = F.regexp_replace(line, r"^\s*(?:\d+[.)]\s*|[-*•]\s*)?", "")
-    bare = F.regexp_replace(bare, r"\s+$", "")
+    """A generated line without a list mark before it and quotes around it."""
+    bare = stripped(line)
+    mark = F.coalesce(F.length(F.regexp_extract(bare, "^([0-9]+[).]|[•*-])", 0)), F.lit(0))
+    bare = stripped(F.substring(bare, mark + 1, F.length(bare)))
     for quote in ('"', "'"):
         bare = F.regexp_replace(bare, f"^{quote}+|{quote}+$", "")
-    return F.regexp_replace(bare, r"^\s+|\s+$", "")
+    return stripped(bare)
 
 
 def tidy(text: Column) -> Column:
@@ -83,9 +89,9 @@ def document_key(url: Column, doc_id: Column, title: Column, content: Column) ->
 
 
 def topic(query_id: Column) -> Column:
-    """``q-3-1`` -> ``3``; null for other ids."""
+    """``q-3-1`` and ``q-3-1-2`` -> ``3``; null for ids of fewer parts or another first one."""
     parts = F.split(query_id, "-")
-    return F.when((F.size(parts) == 3) & (parts[0] == "q"), parts[1])
+    return F.when((F.size(parts) >= 3) & (parts[0] == "q"), parts[1])
 
 
 def slug(name: Column) -> Column:

@@ -10,22 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_pii
+from ..functions.text import has_pii, stripped
 
 MIN_DWELL, SKIP_ABOVE = 20.0, 2
 
 
+def asked(events: DataFrame) -> DataFrame:
+    """Events whose query is not blank, without white space around it."""
+    return events.withColumn("query", stripped(F.col("query"))).filter("query <> ''")
+
+
 def marked(events: DataFrame, min_dwell: float = MIN_DWELL) -> DataFrame:
     """Events with a query: personal data, satisfied clicks, the document that settled each, and
-    what its session ended with."""
-    known = events.filter("query <> ''")
+    what its session ended with. An event with a null or empty session is a session of its own."""
+    known = asked(events)
     good = F.filter(
         F.coalesce("clicks", F.array().cast(dict(events.dtypes)["clicks"])),
         lambda c: (c["doc_id"] != "") & (F.coalesce(c["dwell_sec"], F.lit(0.0)) >= min_dwell),
     )
     known = known.select(
         "seq",
-        F.coalesce("session", F.concat(F.lit("\x00solo-"), F.col("seq").cast("string"))).alias("session"),
+        F.coalesce(F.nullif("session", F.lit("")), F.concat(F.lit("\x00solo-"), F.col("seq").cast("string"))).alias("session"),
         "query",
         "results",
         F.coalesce(F.size("clicks"), F.lit(0)).alias("n_clicks"),
@@ -107,7 +112,7 @@ def report(events: DataFrame, min_dwell: float = MIN_DWELL, skip_above: int = SK
 
 def naive_pairs(events: DataFrame) -> DataFrame:
     """Every click on a document as a pair: the control."""
-    clicks = events.filter("query <> ''").select("seq", "query", F.posexplode("clicks").alias("i", "c"))
+    clicks = asked(events).select("seq", "query", F.posexplode("clicks").alias("i", "c"))
     return clicks.filter("c.doc_id <> ''").select("seq", "i", "query", "c.doc_id")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
-from ..functions.text import normal_query
+from ..functions.text import normal_query, stripped
+from ..session import stored
 from .ordering import numbered
 
 
@@ -24,7 +28,10 @@ def resolved_pairs(records: DataFrame, corpus: DataFrame) -> DataFrame:
     """Records (seq, query, doc_id, title, content) as pairs, or with the reason why not.
 
     A document id wins even if it leads nowhere; else the record's own content is the positive.
+    White space around fields does not count.
     """
+    for field in ("query", "doc_id", "content"):
+        records = records.withColumn(field, stripped(F.col(field)))
     found = corpus.select(
         F.col("doc_id").alias("__id"), F.col("title").alias("__title"), F.col("text").alias("__text")
     )
@@ -38,7 +45,7 @@ def resolved_pairs(records: DataFrame, corpus: DataFrame) -> DataFrame:
         .when(~named & ~inline, "no document")
     )
     positive = F.struct(
-        F.when(named, F.col("__title")).otherwise(F.col("title")).alias("title"),
+        F.when(named, F.col("__title")).otherwise(F.nullif("title", F.lit(""))).alias("title"),
         F.when(named, F.col("__text")).otherwise(F.col("content")).alias("content"),
     )
     return joined.select("seq", "query", "doc_id", F.when(reason.isNull(), positive).alias("positive"), reason.alias("reason"))
@@ -52,6 +59,12 @@ def known_negatives(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
+def judgable(records: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Records that can be judgments: with a query and a document that the corpus has."""
+    bare = records.withColumn("query", stripped(F.col("query"))).withColumn("doc_id", stripped(F.col("doc_id")))
+    return bare.filter("query <> '' AND doc_id <> ''").join(corpus.select("doc_id"), "doc_id", "left_semi")
+
+
 def new_queries(records: DataFrame, taken: DataFrame, prefix: str = "q-user-") -> DataFrame:
     """``query_id, text, seq`` for each distinct lower-cased query of ``records``, in order of first
     sight; numbers count up and skip those that ``taken`` (query_id) has.
@@ -63,7 +76,7 @@ def new_queries(records: DataFrame, taken: DataFrame, prefix: str = "q-user-") -
     new = numbered(first, "n", "seq")
     number = F.expr(f"try_cast(substr(query_id, {len(prefix) + 1}) AS bigint)")
     used = taken.filter(F.col("query_id").startswith(prefix)).select(number.alias("id")).filter("id >= 1").distinct()
-    ids = records.sparkSession.range(1, first.count() + used.count() + 1)
+    ids = records.sparkSession.range(1, new.count() + used.count() + 1)
     free = numbered(ids.join(used, "id", "left_anti"), "n", "id")
     return new.join(free, "n").select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("query_id"), "text", "seq")
 
@@ -93,6 +106,21 @@ def committed_judgments(choices: DataFrame, corpus: DataFrame) -> DataFrame:
     return whole.select("query", F.when(F.col("unknown") == 0, F.col("chosen")).otherwise(0).alias("committed"), "unknown")
 
 
+def commit(choices: DataFrame, corpus: DataFrame, queries: DataFrame, qrels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(new queries, all judgments, new training pairs) after a batch of choices (seq, query, doc_id).
+
+    A query with a document that the corpus does not have adds nothing. ``queries`` (query_id) are
+    those that exist, ``qrels`` and ``pairs`` (query, content) what is there already.
+    """
+    whole = committed_judgments(choices, corpus).filter("committed > 0").select("query")
+    good = judgable(choices.join(whole, "query", "left_semi"), corpus)
+    fresh = new_queries(good, queries)
+    empty = F.lit(None).cast("string")
+    resolved = resolved_pairs(good.select("seq", "query", "doc_id", empty.alias("title"), empty.alias("content")), corpus)
+    trained = resolved.select("seq", "query", F.col("positive.content").alias("content"))
+    return fresh, merged_judgments(qrels, judged(good, fresh)), appended(pairs, trained)
+
+
 def appended(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New pairs (seq, query, content) whose key is in neither ``existing`` nor an earlier new row."""
     key = lambda df: df.withColumn("__q", F.trim(F.lower("query"))).withColumn("__c", F.trim("content"))
@@ -121,7 +149,7 @@ def split_by_document(pairs: DataFrame, fraction: float = 0.25, seed: int = 0) -
     """Add ``test``: whole documents held out, half of ties rounding to even."""
     docs = pairs.select("doc_id").distinct()
     total = docs.agg(F.bround(F.count(F.lit(1)) * F.lit(fraction), 0).cast("bigint").alias("held"))
-    placed = numbered(docs, "__n", draw(seed, F.col("doc_id")), "doc_id")
+    placed = numbered(docs, "__n", draw(seed, F.col("doc_id")), F.col("doc_id"))
     held = placed.crossJoin(total).filter("__n <= held").select("doc_id", F.lit(True).alias("test"))
     return pairs.join(held, "doc_id", "left").withColumn("test", F.coalesce("test", F.lit(False)))
 
@@ -129,7 +157,7 @@ def split_by_document(pairs: DataFrame, fraction: float = 0.25, seed: int = 0) -
 def split_pairs(pairs: DataFrame, fraction: float = 0.2, seed: int = 0) -> DataFrame:
     """Add ``test``: at least one row, half of ties rounding to even."""
     total = pairs.agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * F.lit(fraction), 0)).cast("bigint").alias("held"))
-    placed = numbered(pairs, "__n", draw(seed, F.col("seq")), "seq")
+    placed = numbered(pairs, "__n", draw(seed, F.col("seq")), F.col("seq"))
     return placed.crossJoin(total).withColumn("test", F.col("__n") <= F.col("held")).drop("__n", "held")
 
 
@@ -160,12 +188,47 @@ def eval_set(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
+#: Bytes of searched strings in one automaton.
+NEEDLES = 16 << 20
+
+
+def containing(needles: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(needle, doc_id) where a text of ``corpus`` (doc_id, text) holds a string of ``needles`` (needle).
+
+    Strings go in blocks of bounded size, each one pass: a text is read once for all strings of a
+    block, by an automaton, so the work is that of the texts and the finds, not their product. An
+    empty string is nowhere.
+    """
+    import ahocorasick
+
+    some = stored(needles.filter("needle <> ''").select("needle").distinct(), "needles")
+    blocks = max(1, -(-(some.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // NEEDLES))
+    schema = f"needle string, doc_id {dict(corpus.dtypes)['doc_id']}"
+    out = None
+    for n in range(blocks):
+        shared = corpus.sparkSession.sparkContext.broadcast(
+            [r[0] for r in some.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == n).collect()]
+        )
+
+        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            machine = ahocorasick.Automaton()
+            for needle in shared.value:
+                machine.add_word(needle, needle)
+            machine.make_automaton()
+            for batch in batches:
+                found = [(x, doc) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) if text for x in {y for _, y in machine.iter(text)}] if shared.value else []
+                yield pd.DataFrame(found, columns=["needle", "doc_id"]).astype({"doc_id": batch["doc_id"].dtype})
+
+        one = corpus.select("doc_id", "text").mapInPandas(find, schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def leaks(aliases: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(alias, doc_id) where a text holds an alias. Aliases are few words of a test set: their
-    number is checked before they are broadcast; beyond it Spark chooses the join."""
-    few = aliases.select("alias").distinct()
-    side = F.broadcast(few) if few.limit(100_001).count() <= 100_000 else few
-    return corpus.select("doc_id", "text").join(side, F.contains(F.lower("text"), F.lower("alias"))).select("alias", "doc_id")
+    """(alias, doc_id) where a text holds an alias, in any case."""
+    lower = aliases.select("alias", F.lower("alias").alias("needle")).distinct()
+    found = containing(lower, corpus.select("doc_id", F.lower("text").alias("text")))
+    return found.join(lower, "needle").select("alias", "doc_id")
 
 
 def overlap(train: DataFrame, test: DataFrame) -> DataFrame:

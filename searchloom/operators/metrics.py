@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
+from .ordering import numbered
 
 CUTOFFS = (1, 3, 5, 10)
 
@@ -69,9 +70,8 @@ def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 0) -> DataFr
     Draws are rows: draw (b, j) names the j-th query's stand-in, so counts of how often a query is
     drawn in a resample meet the scores in one join and partial sums go ahead of the shuffle.
     """
-    order = Window.orderBy("query_id")
     ids = scores.select("query_id").distinct()
-    placed = ids.withColumn("at", F.row_number().over(order) - 1)
+    placed = numbered(ids, "at", "query_id").withColumn("at", F.col("at") - 1)
     total = ids.agg(F.count(F.lit(1)).alias("n"))
     draws = (
         placed.select(F.col("at").alias("j"))
@@ -134,6 +134,18 @@ def comparison(a: DataFrame, b: DataFrame, flips: int = 10_000, tolerance: float
     return counts.join(permutation_test(pairs, flips), "metric")
 
 
+def sweep_test(scores: DataFrame, flips: int = 10_000, metric: str = "ndcg@10") -> DataFrame:
+    """One row: the weight of a sweep's per-query scores (alpha, query_id, metric, value) with the
+    best mean (the smallest among equals) against the dense run alone (alpha 1)."""
+    own = scores.filter(F.col("metric") == metric)
+    means_ = own.groupBy("alpha").agg(F.round(F.avg("value"), 9).alias("mean"))
+    best = means_.agg(F.max_by("alpha", F.struct("mean", -F.col("alpha"))).alias("best"))
+    chosen = own.crossJoin(best).filter("alpha = best").select("query_id", "metric", "value", "best")
+    alone = own.filter("alpha = 1").select("query_id", "metric", "value")
+    out = comparison(alone, chosen, flips)
+    return out.crossJoin(best).select("best", "n", F.col("mean_a").alias("dense"), F.col("mean_b").alias("fused"), "delta", "wins", "losses", "ties", "p")
+
+
 def same_judgments(runs: DataFrame, a: str, b: str) -> None:
     """An error unless both runs (run_id, fingerprint) were scored on the same judgments: scores on
     others do not compare."""

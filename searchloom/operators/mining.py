@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
-from ..functions.text import bigrams
+from ..session import stored
 from .ingest import first_by
 from .ordering import numbered
-from .ranking import guarded_negatives, own_rank
+from .ranking import forward_index, guarded_negatives, own_rank
 
 
 def round_trip(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -36,31 +35,26 @@ def mined(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, n: int, margi
     return out.withColumn("negatives", F.coalesce("negatives", empty))
 
 
-def padded(rows: DataFrame, cap: int | None = None, seed: int = 13, probes: int = 4) -> DataFrame:
+def padded(rows: DataFrame, cap: int | None = None, seed: int = 13) -> DataFrame:
     """Rows (seq, positive, negatives: document keys) with as many negatives as the row with the
-    most, at most ``cap``. Short rows borrow distinct documents of other rows, never their own;
+    most, at most ``cap``. Short rows borrow distinct documents of other rows, never their own; only
     if those run out they repeat their own. ``padded`` tells which rows were filled.
 
-    A row draws numbered places of the pool by hash, more than it needs, so the pool is joined by
-    an equal key and never paired with all rows.
+    The pool is numbered in an order drawn by hash. A row takes the numbers from a place drawn by
+    hash on, as many as it needs and owns, so it finds enough if the pool has enough; the pool is
+    joined by an equal key and never paired with all rows.
     """
     size = F.size("negatives")
     target = rows.agg(F.max(size).alias("t")).select(F.least("t", F.lit(cap if cap is not None else 1 << 30)).alias("target"))
     pool = rows.select(F.explode(F.concat("negatives", F.array("positive"))).alias("doc")).distinct()
-    blocks = 64
-    block = F.pmod(F.xxhash64("doc"), F.lit(blocks))
-    sizes = pool.groupBy(block.alias("block")).agg(F.count(F.lit(1)).alias("n"))
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = pool.withColumn("block", block).withColumn("own", F.row_number().over(Window.partitionBy("block").orderBy("doc")) - 1)
-    placed = placed.join(F.broadcast(base), "block").select((F.col("base") + F.col("own")).alias("place"), "doc")
-    total = sizes.agg(F.sum("n").alias("pool"))
+    placed = stored(numbered(pool, "place", F.xxhash64(F.lit(seed), "doc"), F.col("doc")).withColumn("place", F.col("place") - 1), "pool")
+    total = placed.agg(F.count(F.lit(1)).alias("pool"))
     whole = rows.crossJoin(target).crossJoin(total).withColumn("need", F.greatest(F.col("target") - size, F.lit(0)))
-    tries = F.sequence(F.lit(0), F.col("need") * probes + 8)
-    drawn = whole.filter("need > 0").select(
-        "seq", "need", F.concat("negatives", F.array("positive")).alias("mine"), F.explode(tries).alias("i"), "pool"
-    )
-    drawn = drawn.withColumn("place", draw(seed, F.col("seq"), F.col("i")) % F.col("pool")).join(placed, "place")
-    fresh = drawn.filter(~F.array_contains("mine", F.col("doc"))).groupBy("seq", "doc", "need").agg(F.min("i").alias("i"))
+    mine = F.array_distinct(F.concat("negatives", F.array("positive")))
+    tries = F.sequence(F.lit(0), F.least(F.col("pool"), (F.col("need") + F.size("mine")).cast("bigint")).cast("int") - 1)
+    drawn = whole.filter("need > 0").withColumn("mine", mine).select("seq", "need", "mine", F.explode(tries).alias("i"), "pool")
+    drawn = drawn.withColumn("place", (draw(seed, F.col("seq")) + F.col("i")) % F.col("pool")).join(placed, "place")
+    fresh = drawn.filter(~F.array_contains("mine", F.col("doc")))
     taken = fresh.withColumn("n", F.row_number().over(Window.partitionBy("seq").orderBy("i"))).filter("n <= need")
     borrowed = taken.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc"))), lambda x: x["doc"]).alias("more"))
     out = whole.join(borrowed, "seq", "left")
@@ -89,7 +83,7 @@ def training_eval(test: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFra
     # test documents take the first numbers, train documents those after them
     ahead = first.filter("place.part = 0")
     n = ahead.count()
-    of = lambda df, start: numbered(df, "i", F.col("place.seq")).withColumn("i", F.col("i") + start)
+    of = lambda df, start: numbered(df, "i", "place.seq").withColumn("i", F.col("i") + start)
     docs = of(ahead, -1).unionByName(of(first.filter("place.part = 1"), n - 1))
     docs = docs.withColumn("doc_id", F.concat(F.lit("d-"), F.col("i").cast("string")))
     asked = numbered(test.withColumn("key", key), "j", "seq")
@@ -98,15 +92,18 @@ def training_eval(test: DataFrame, train: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def hashed_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """The built-in encoder: counts of hashed character trigrams at unit length."""
+    """The built-in encoder: counts of hashed trigrams of bytes at unit length; bits of a hash
+    choose the dimension and the sign."""
+    mix = np.uint32(2654435761)
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float32)
         for n, text in enumerate(texts):
-            raw = f" {text.lower()} ".encode()
-            for i in range(len(raw) - 2):
-                h = zlib.crc32(raw[i : i + 3])
-                out[n, h % dim] += 1 if h & 0x80000000 else -1
+            raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8).astype(np.uint32)
+            h = (raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * mix
+            at = (h >> np.uint32(8)) % np.uint32(dim)
+            plus = h >> np.uint32(31) == 1
+            out[n] = np.bincount(at[plus], minlength=dim) - np.bincount(at[~plus], minlength=dim)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode
@@ -131,9 +128,9 @@ def embedded(rows: DataFrame, factory: Callable[[], Callable[[list[str]], np.nda
     return rows.mapInPandas(encode, schema)
 
 
-def synthesized(corpus: DataFrame, generator: Callable[[str | None, str], list[str]], n: int, retries: int = 2) -> DataFrame:
-    """``doc_id, i, query``: up to ``n`` queries of each document by an injected generator; a
-    document whose generator keeps failing has none."""
+def synthesized(corpus: DataFrame, generator: Callable[[str | None, str], list[str]], n: int, retries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(``doc_id, i, query``: up to ``n`` queries of each document by an injected generator;
+    ``doc_id, error`` of documents whose generator failed ``retries`` times more)."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -141,19 +138,22 @@ def synthesized(corpus: DataFrame, generator: Callable[[str | None, str], list[s
             for doc, title, text in zip(frame["doc_id"], frame["title"], frame["text"], strict=True):
                 for attempt in range(retries + 1):
                     try:
-                        rows += [(doc, i, q) for i, q in enumerate(generator(title, text)[:n])]
+                        rows += [(doc, i, q, None) for i, q in enumerate(generator(title, text)[:n])]
                         break
-                    except Exception:  # noqa: BLE001  a generator may fail in any way
+                    except Exception as e:  # noqa: BLE001  a generator may fail in any way
                         if attempt == retries:
-                            break
-            yield pd.DataFrame(rows, columns=["doc_id", "i", "query"])
+                            rows.append((doc, -1, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "i", "query", "error"])
 
-    return corpus.select("doc_id", "title", "text").mapInPandas(make, f"doc_id {dict(corpus.dtypes)['doc_id']}, i int, query string")
+    made = corpus.select("doc_id", "title", "text").mapInPandas(make, f"doc_id {dict(corpus.dtypes)['doc_id']}, i int, query string, error string")
+    made = stored(made, "synthesized")
+    return made.filter("error IS NULL").drop("error"), made.filter("error IS NOT NULL").select("doc_id", "error")
 
 
 def default_queries(corpus: DataFrame, n: int = 3) -> DataFrame:
     """Without a generator: the ``n`` terms of each document with the highest tf-idf."""
-    terms = corpus.select("doc_id", F.explode(bigrams(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    index = forward_index(corpus.withColumn("title", F.lit(None).cast("string")))
+    terms = index.select("doc_id", F.explode(F.arrays_zip("terms", "tfs")).alias("t")).select("doc_id", F.col("t.terms").alias("term"), F.col("t.tfs").alias("tf"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = corpus.agg(F.count(F.lit(1)).alias("n_docs"))
     weight = F.round(F.col("tf") * F.log((F.col("n_docs") + 1) / F.col("df")), 9)

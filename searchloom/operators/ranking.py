@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams
+from ..session import stored
 
-#: Bytes of query vectors that one block may hold.
-BLOCK_BYTES = 32 << 20
+#: Bytes of query vectors that one block may hold, and of scores that are computed at once.
+BLOCK_BYTES, TILE_BYTES = 32 << 20, 32 << 20
 
 
 def top_k(scored: DataFrame, k: int | Column, by: list[str] | None = None) -> DataFrame:
@@ -38,7 +41,8 @@ def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def _per_block(queries: DataFrame, corpus: DataFrame, rows_of, schema: str) -> DataFrame:
-    """Run ``rows_of(ids, vectors, doc ids, unit doc vectors)`` on each batch of documents."""
+    """Run ``rows_of(ids, vectors, doc ids, unit doc vectors)`` on each batch of documents, in tiles
+    of so many that a block's scores of them stay within ``TILE_BYTES``."""
     out = None
     for ids, vectors in _query_blocks(queries):
         shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
@@ -49,7 +53,9 @@ def _per_block(queries: DataFrame, corpus: DataFrame, rows_of, schema: str) -> D
                 if len(batch):
                     x = np.stack(batch["embedding"].to_list()).astype(np.float64)
                     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-                    yield rows_of(ids, vectors, batch["doc_id"].to_numpy(), x)
+                    docs, step = batch["doc_id"].to_numpy(), max(1, TILE_BYTES // (8 * len(ids)))
+                    for at in range(0, len(x), step):
+                        yield rows_of(ids, vectors, docs[at : at + step], x[at : at + step])
 
         found = corpus.select("doc_id", "embedding").mapInPandas(kernel, schema)
         out = found if out is None else out.unionByName(found)
@@ -135,44 +141,90 @@ def guarded_negatives(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, n
     return top_k(found, n, by=["query_id", "own_doc"])
 
 
-def postings(corpus: DataFrame) -> DataFrame:
-    """``doc_id, term, tf, doc_len`` of titled or untitled documents."""
+def forward_index(corpus: DataFrame) -> DataFrame:
+    """``doc_id, doc_len, terms, tfs`` of titled or untitled documents, a table: every text is cut
+    into terms once, whatever is asked of it later."""
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text"))
     terms = corpus.select("doc_id", bigrams(text).alias("terms"))
-    spread = terms.select("doc_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
-    return spread.groupBy("doc_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    spread = terms.select("doc_id", F.explode("terms").alias("term"))
+    each = spread.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    lists = each.groupBy("doc_id").agg(
+        F.sum("tf").cast("int").alias("doc_len"), F.collect_list(F.struct("term", "tf")).alias("t")
+    )
+    found = lists.select("doc_id", "doc_len", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs"))
+    # documents without terms count in the mean length
+    return stored(corpus.select("doc_id").join(found, "doc_id", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0))), "terms")
 
 
-def bm25_statistics(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(``term, df, idf``) and one row (``n_docs, avg_len``)."""
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text"))
-    totals = corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(bigrams(text))).alias("avg_len"))
-    df = postings(corpus).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def bm25_statistics(corpus: DataFrame | None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(``term, df, idf``) and one row (``n_docs, avg_len``), of a corpus or its ``forward_index``."""
+    index = forward_index(corpus) if index is None else index
+    totals = index.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     return df.crossJoin(totals.select("n_docs")).select("term", "df", idf.alias("idf")), totals
 
 
-def bm25_top_k(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over an inverted index. Repeated terms of a query count repeatedly; documents that
-    share no term are no candidates. Only postings of terms that queries use are kept, and partial
-    sums of a document go ahead of the shuffle.
+def bm25_top_k(queries: DataFrame, corpus: DataFrame | None, k: int, k1: float = 1.2, b: float = 0.75, index: DataFrame | None = None) -> DataFrame:
+    """BM25 of a corpus or its ``forward_index``. Repeated terms of a query count repeatedly;
+    documents that share no term are no candidates.
+
+    Queries come in blocks whose matrix of term weights stays within ``BLOCK_BYTES``. A batch of
+    documents becomes a matrix over the block's terms, in tiles, and keeps its best ``k`` of each
+    query before anything is shuffled.
     """
+    index = forward_index(corpus) if index is None else index
     asked = queries.select("query_id", F.explode(bigrams(F.col("text"))).alias("term"))
     asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = asked.select("term").distinct()
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text"))
-    totals = corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(bigrams(text))).alias("avg_len"))
-    used = postings(corpus).join(terms, "term", "left_semi")
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(df, "term").crossJoin(totals).select(
-        "query_id", "term", (F.col("qtf") * idf).alias("weight"), "avg_len"
-    )
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
-    scored = used.join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * tf).alias("score"))
+    statistics, totals = bm25_statistics(None, index)
+    weights = stored(asked.join(statistics, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "weights")
+    size = weights.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("term").alias("t")).first()
+    mean = totals.first()["avg_len"] or 0.0
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(index.dtypes)['doc_id']}, score double"
+    out = None
+    # a block of few queries uses few terms, so this is the most that blocks can hold
+    blocks = max(1, -(-size["q"] * min(size["t"], 1 << 20) * 8 // BLOCK_BYTES))
+    for n in range(blocks):
+        own = weights.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toPandas()
+        if not len(own):
+            continue
+        row, ids = pd.factorize(own["query_id"])
+        col, terms = pd.factorize(own["term"])
+        matrix = np.zeros((len(terms), len(ids)))
+        matrix[col, row] = own["weight"].to_numpy()
+        shared = index.sparkSession.sparkContext.broadcast((ids.to_numpy(), pa.array(terms), matrix))
+
+        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, terms, matrix = shared.value
+            step = max(1, TILE_BYTES // (8 * max(len(terms), len(ids))))
+            names = pa.array(ids)
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    lists = part.column("terms")
+                    doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+                    term = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=terms), -1).to_numpy(zero_copy_only=False)
+                    tf = pc.list_flatten(part.column("tfs")).to_numpy(zero_copy_only=False)
+                    some = term >= 0
+                    doc, term, tf = doc[some], term[some], tf[some]
+                    length = part.column("doc_len").to_numpy(zero_copy_only=False)[doc]
+                    tiles = np.zeros((part.num_rows, len(terms)))
+                    tiles[doc, term] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+                    scores = (tiles @ matrix).T
+                    m = min(k, part.num_rows)
+                    # a little under the k-th, so that scores equal after rounding stay
+                    floor = np.partition(scores, part.num_rows - m, axis=1)[:, part.num_rows - m] - 1e-8
+                    q, d = np.nonzero((scores >= floor[:, None]) & (scores > 0))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(q)), part.column("doc_id").take(pa.array(d)), pa.array(scores[q, d])], ["query_id", "doc_id", "score"]
+                    )
+
+        found = index.mapInArrow(score, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = index.sparkSession.createDataFrame([], schema)
     # sums in another order differ in the last digits; a rounded score makes ties stable
-    scored = scored.withColumn("score", F.round("score", 9)).filter("score > 0")
-    return top_k(scored, k)
+    return top_k(out.withColumn("score", F.round("score", 9)).filter("score > 0"), k)
 
 
 def rrf(rankings: list[tuple[DataFrame, float]], k: int = 60, depth: int = 50) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NAMESPACE_OID, uuid5
+from ..session import stored
+from .ordering import numbered
 
 WARM_UP, FIRST_EPOCH, MARGIN = 3, 2, 1e-4
 
@@ -20,16 +22,34 @@ def best_per_metric(runs: DataFrame, fingerprint: str | None = None) -> DataFram
 
 def leaderboard(runs: DataFrame) -> DataFrame:
     """Runs by score within their fingerprint, with the difference to the base (label ``base``, else
-    the oldest), the one before in time, and whether they tie with the champion."""
-    scope = Window.partitionBy("fingerprint")
-    by_score = scope.orderBy(F.desc("ndcg"), "run_id")
-    by_time = scope.orderBy("created_at", "run_id")
-    base = F.first_value("ndcg").over(scope.orderBy(F.when(F.col("label") == "base", 0).otherwise(1), "created_at", "run_id"))
+    the oldest), the one before in time, and whether they tie with the champion.
+
+    One fingerprint may hold most runs, so places are numbers of the whole table less those of the
+    fingerprints before, and base and champion are aggregates.
+    """
+    runs = stored(runs, "runs")
+    oldest = F.struct(F.when(F.col("label") == "base", 0).otherwise(1), "created_at", "run_id")
+    scope = runs.groupBy(F.col("fingerprint").alias("__f")).agg(
+        F.min_by("ndcg", oldest).alias("__base"), F.max("ndcg").alias("__top")
+    )
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+
+    def placed(*order: Column | str) -> DataFrame:
+        at = stored(numbered(runs.select("fingerprint", "created_at", "ndcg", "run_id"), "__n", "fingerprint", *order), "placed")
+        first = at.groupBy(F.col("fingerprint").alias("__g")).agg(F.min("__n").alias("__first"))
+        return at.join(first, same("fingerprint", "__g")).withColumn("__n", F.col("__n") - F.col("__first") + 1)
+
+    by_score = placed(F.desc("ndcg"), "run_id").select(F.col("run_id").alias("__id"), F.col("__n").cast("int").alias("place"))
+    by_time = placed("created_at", "run_id").select("run_id", "fingerprint", "ndcg", "__n")
+    before = by_time.select(F.col("fingerprint").alias("__g"), (F.col("__n") + 1).alias("__next"), F.col("ndcg").alias("__before"))
+    trend = by_time.join(before, same("fingerprint", "__g") & (F.col("__n") == F.col("__next")), "left")
+    trend = trend.select(F.col("run_id").alias("__run"), (F.col("ndcg") - F.col("__before")).alias("trend"))
+    out = runs.join(by_score, F.col("run_id") == F.col("__id")).join(trend, F.col("run_id") == F.col("__run"))
     return (
-        runs.withColumn("place", F.row_number().over(by_score))
-        .withColumn("delta", F.col("ndcg") - base)
-        .withColumn("trend", F.col("ndcg") - F.lag("ndcg").over(by_time))
-        .withColumn("champion", F.col("ndcg") >= F.max("ndcg").over(scope) - 1e-9)
+        out.join(scope, same("fingerprint", "__f"))
+        .withColumn("delta", F.col("ndcg") - F.col("__base"))
+        .withColumn("champion", F.col("ndcg") >= F.col("__top") - 1e-9)
+        .select(*runs.columns, "place", "delta", "trend", "champion")
     )
 
 
@@ -63,24 +83,34 @@ def prune_verdicts(epochs: DataFrame, metric: str = "ndcg") -> DataFrame:
     """Whether a run at an epoch trails the median of its finished peers.
 
     The median runs over each finished run's best value through that epoch; for runs that ended
-    before, their last best counts.
+    before, their last best counts. Each finished run has one value for each epoch, ranked within
+    the epoch; the median without a run's own value is told from the ranks around the middle, so
+    runs never meet in pairs.
     """
-    best = best_so_far(epochs)
     value = "best_ndcg" if metric == "ndcg" else "best_loss"
-    done = best.filter(F.col("status").isin("trained", "evaluated"))
-    agg = F.max if metric == "ndcg" else F.min
-    peers = (
-        best.select("run_idx", "epoch")
-        .join(done.select(F.col("run_idx").alias("peer"), F.col("epoch").alias("at"), F.col(value).alias("v")), (F.col("at") <= F.col("epoch")) & (F.col("peer") != F.col("run_idx")))
-        .groupBy("run_idx", "epoch", "peer")
-        .agg(agg("v").alias("v"))
-        .groupBy("run_idx", "epoch")
-        .agg(F.count("v").alias("peers"), F.percentile("v", F.lit(0.5)).alias("median"))
+    best = stored(best_so_far(epochs).select("run_idx", "epoch", "status", F.col(value).alias("v")), "best_so_far")
+    steps = stored(numbered(best.select("epoch").distinct(), "step", "epoch"), "steps")
+    done = best.filter(F.col("status").isin("trained", "evaluated")).join(steps, "epoch")
+    # a value holds from its epoch until the run's next one, the last until the end
+    until = F.coalesce(F.lead("step").over(Window.partitionBy("run_idx").orderBy("step")) - 1, F.col("last"))
+    dense = done.crossJoin(steps.agg(F.max("step").alias("last"))).withColumn("until", until)
+    dense = dense.select("run_idx", "v", F.explode(F.sequence("step", "until")).alias("step")).filter("v IS NOT NULL")
+    order = Window.partitionBy("step").orderBy("v", "run_idx")
+    ranked = stored(dense.withColumn("at", F.row_number().over(order)), "ranked")
+    sizes = ranked.groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    half = F.floor(F.col("n") / 2)
+    middle = ranked.join(sizes, "step").filter(F.col("at").between(half - 1, half + 2)).groupBy("step").agg(
+        F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("middle")
     )
-    trails = F.col(value) < F.col("median") - MARGIN if metric == "ndcg" else F.col(value) > F.col("median") + MARGIN
-    verdict = (F.col("epoch") >= FIRST_EPOCH) & (F.col("peers") >= WARM_UP) & F.col(value).isNotNull() & trails
-    out = best.join(peers, ["run_idx", "epoch"], "left")
-    return out.select("run_idx", "epoch", F.col(value).alias("best"), "median", F.coalesce(verdict, F.lit(False)).alias("prune"))
+    own = ranked.select("run_idx", "step", F.col("at").alias("mine"))
+    rows = best.join(steps, "epoch").join(middle, "step", "left").join(own, ["run_idx", "step"], "left")
+    peers = F.coalesce("n", F.lit(0)) - F.when(F.col("mine").isNotNull(), 1).otherwise(0)
+    skip = lambda k: F.col("middle")[(k + F.when(F.col("mine") <= k, 1).otherwise(0)).cast("int")]
+    low, high = F.floor((F.col("peers") + 1) / 2), F.floor(F.col("peers") / 2) + 1
+    rows = rows.withColumn("peers", peers).withColumn("median", F.when(F.col("peers") > 0, (skip(low) + skip(high)) / 2))
+    trails = F.col("v") < F.col("median") - MARGIN if metric == "ndcg" else F.col("v") > F.col("median") + MARGIN
+    verdict = (F.col("epoch") >= FIRST_EPOCH) & (F.col("peers") >= WARM_UP) & F.col("v").isNotNull() & trails
+    return rows.select("run_idx", "epoch", F.col("v").alias("best"), "median", F.coalesce(verdict, F.lit(False)).alias("prune"))
 
 
 def latency_summary(samples: DataFrame, *by: str) -> DataFrame:

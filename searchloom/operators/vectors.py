@@ -1,12 +1,15 @@
 """Versioned vector tables, approximate search, parity checks.
 
-A version is a Parquet folder named after its model, dimension and corpus; a pointer table of one
-row names the live one and moves last, so readers see a whole version or the one before.
+A version is a Parquet folder named after its model, dimension and corpus; a pointer names the live
+one and moves last. Both are written as numbered folders, and a reader takes the highest number that
+Spark has committed (``_SUCCESS``), so it sees a whole version and one pointer at any time, whatever
+is being written or has been left unfinished.
 """
 
 from __future__ import annotations
 
 import re
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -14,14 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm, shortened, unit
-from .ingest import first_by
+from .ingest import first_by, hits_to_ids
 from .metrics import means, per_query
 from .ranking import _per_block as per_block
 from .ranking import _types as pair_types
-from .ranking import dot, top_k
+from .ranking import dense_top_k, dot, top_k
 
-#: Queries that a batch of documents is scored with at once.
-QUERIES = 1024
+#: Queries that a batch of documents is scored with at once, rows that cells are fitted on at most.
+QUERIES, FIT_ROWS = 1024, 100_000
 
 
 def version_name(prefix: str, model: str, dim: int, fingerprint: str | None) -> str:
@@ -56,47 +59,65 @@ class VectorStore:
         root = path(f"{self.root}/versions")
         return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
 
-    def upsert(self, name: str, points: DataFrame) -> None:
-        """Write points (point_id, embedding, ...); of equal ids the last by ``seq`` stays."""
-        first_by(points, ["point_id"], F.desc("seq")).write.mode("overwrite").parquet(self._path(name))
+    def _numbers(self, folder: str, whole: bool = True) -> list[int]:
+        """Numbers of what was written below ``folder``, in order; only what is committed, if ``whole``."""
+        fs, path = self._fs()
+        if not fs.exists(path(folder)):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path(folder))]
+        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and (not whole or fs.exists(path(f"{p}/_SUCCESS"))))
+
+    def _next(self, folder: str) -> str:
+        return f"{folder}/{max(self._numbers(folder, whole=False), default=0) + 1}"
+
+    def upsert(self, name: str, points: DataFrame, recreate: bool = False) -> None:
+        """Add points (point_id, embedding, ...) to a version, or make it of them alone. Of equal ids
+        the last written stays, of those written together the last by ``seq``."""
+        fresh = first_by(points, ["point_id"], F.desc("seq"))
+        if not recreate and self._numbers(self._path(name)):
+            fresh = self.scan(name).join(fresh.select("point_id"), "point_id", "left_anti").unionByName(fresh, True)
+        fresh.write.parquet(self._next(self._path(name)))
 
     def scan(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        return self.spark.read.parquet(f"{self._path(name)}/{self._numbers(self._path(name))[-1]}")
 
     def live(self, prefix: str) -> str | None:
-        fs, path = self._fs()
-        if not fs.exists(path(f"{self.root}/live/{prefix}")):
+        pointers = self._numbers(f"{self.root}/live/{prefix}")
+        if not pointers:
             return None
-        return self.spark.read.schema("name string").json(f"{self.root}/live/{prefix}").first()[0]
+        return self.spark.read.schema("name string").json(f"{self.root}/live/{prefix}/{pointers[-1]}").first()[0]
 
     def point(self, prefix: str, name: str) -> None:
         """Make ``name`` live. A version of another family or that does not exist is an error."""
-        if name not in self.versions() or not name.startswith(prefix + "__"):
+        if not self._numbers(self._path(name)) or not name.startswith(prefix + "__"):
             raise ValueError(f"no version {name} of {prefix}")
-        fs, path = self._fs()
-        fresh = f"{self.root}/live/.{prefix}"
-        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(fresh)
-        fs.delete(path(f"{self.root}/live/{prefix}"), True)
-        fs.rename(path(fresh), path(f"{self.root}/live/{prefix}"))
+        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.json(self._next(f"{self.root}/live/{prefix}"))
 
     def publish(self, prefix: str, model: str, dim: int, fingerprint: str | None, points, expected: int, recreate: bool = False) -> tuple[str, bool]:
         """Write a version unless it is there in full, then make it live; ``points()`` gives its
         rows. Returns the name and whether it was written."""
         name = version_name(prefix, model, dim, fingerprint)
-        full = not recreate and name in self.versions() and self.scan(name).count() == expected
+        full = not recreate and bool(self._numbers(self._path(name))) and self.scan(name).count() == expected
         if not full:
-            self.upsert(name, points())
+            self.upsert(name, points(), recreate=True)
             if self.scan(name).count() != expected:
                 raise RuntimeError(f"{name} holds another number of points than {expected}")
         self.point(prefix, name)
         return name, not full
 
     def prune(self, prefix: str) -> list[str]:
-        """Delete all versions of a family but the live one."""
+        """Delete all versions of a family but the live one, and what writes and pointers before the
+        last have left."""
         fs, path = self._fs()
-        gone = [n for n in self.versions() if n.startswith(prefix + "__") and n != self.live(prefix)]
+        live = self.live(prefix)
+        gone = [n for n in self.versions() if n.startswith(prefix + "__") and n != live]
         for name in gone:
             fs.delete(path(self._path(name)), True)
+        for folder in (f"{self.root}/live/{prefix}", *([self._path(live)] if live else [])):
+            last = max(self._numbers(folder), default=0)
+            for n in self._numbers(folder, whole=False):
+                if n < last:
+                    fs.delete(path(f"{folder}/{n}"), True)
         return gone
 
     def status(self, prefix: str, dim: int, model: str) -> DataFrame:
@@ -139,15 +160,20 @@ def cells(vectors: DataFrame, k: int, seed: int = 1):
     return model, lambda df: model.transform(prepared(df)).drop("__v")
 
 
-def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int = 32, probes: int = 24) -> DataFrame:
-    """Cosine top-k within the ``probes`` nearest cells of each query.
+def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int | None = None, probed: float = 0.75) -> DataFrame:
+    """Cosine top-k within the nearest cells of each query, a share ``probed`` of them.
 
-    Cells are fitted on unit vectors, as the score is a cosine. Queries come in blocks of bounded
+    There are as many cells as a cell has vectors, unless ``n_cells`` says otherwise. They are fitted
+    on unit vectors, as the score is a cosine, of at most ``FIT_ROWS`` rows, those with the smallest
+    hashes; every row is assigned to its cell and searched. Queries come in blocks of bounded
     size with the cell centres; a batch of documents meets, cell by cell, the queries that probe
     the cell, and keeps the best ``k`` of each query before anything is shuffled. A test holds the
     recall against ``dense_top_k``.
     """
-    model, _ = cells(corpus.select(unit(F.col("embedding")).alias("embedding")), n_cells)
+    count = n_cells or max(16, isqrt(corpus.count()))
+    probes = max(1, round(probed * count))
+    some = corpus.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    model, _ = cells(some.select(unit(F.col("embedding")).alias("embedding")), count)
     centres = np.array(model.clusterCenters())
 
     def nearest(x: np.ndarray, n: int) -> np.ndarray:
@@ -183,3 +209,24 @@ def judging_list(ranking: DataFrame, corpus: DataFrame, n: int = 10, length: int
     first = ranking.filter(F.col("rank") <= n)
     text: Column = shortened(F.col("text"), length)
     return first.join(corpus, "doc_id").select("query_id", "doc_id", "rank", "score", text.alias("text"))
+
+
+def judging_search(
+    queries: DataFrame, vectors: DataFrame, corpus: DataFrame, n: int = 10, length: int = 200,
+    store: VectorStore | None = None, prefix: str = "", model: str = "", dim: int = 0,
+) -> DataFrame:
+    """The ``n`` most similar documents of each query (query_id, embedding), for a reader to judge.
+
+    If the store's live version is of this model and dimension its vectors are searched, more than
+    are asked for (``max(3 n, 30)``), as it may hold other documents; its payloads (title, content)
+    are mapped to the corpus by content. Otherwise ``vectors`` (doc_id, embedding) are.
+    """
+    live = store.live(prefix) if store else None
+    if live and live.startswith(version_name(prefix, model, dim, None).removesuffix("nofp")):
+        points = store.searchable(prefix, dim)
+        hits = dense_top_k(queries, points.select(F.col("point_id").alias("doc_id"), "embedding"), max(3 * n, 30))
+        named = hits.join(points.select(F.col("point_id").alias("doc_id"), "title", "content"), "doc_id")
+        ranked = hits_to_ids(named.select("query_id", "rank", "title", "content"), corpus, n)
+    else:
+        ranked = dense_top_k(queries, vectors, n).select("query_id", "doc_id", "rank")
+    return ranked.join(corpus.select("doc_id", "title", shortened(F.col("text"), length).alias("text")), "doc_id")

@@ -13,7 +13,8 @@ from .fixtures import fx, oracle
 
 PII = r"(regexp_matches(query, '[\w.+-]+@[\w-]+\.[\w.]+') OR regexp_matches(query, '0\d{1,2}[ -]?\d{3,4}[ -]?\d{4}') OR regexp_matches(query, '\d{6}[ -]\d{7}'))"
 
-LOG = f"""kept AS (SELECT * FROM fx_searches WHERE query <> '' AND NOT {PII}),
+LOG = f"""asked AS (SELECT * REPLACE (trim(query) AS query, coalesce(nullif(session, ''), 'solo-' || seq) AS session) FROM fx_searches WHERE trim(query) <> ''),
+kept AS (SELECT * FROM asked WHERE NOT {PII}),
 sat AS (SELECT seq, doc_id, rnk, row_number() OVER (PARTITION BY seq ORDER BY rnk DESC) AS n FROM fx_clicks WHERE dwell_sec >= 20),
 ev AS (SELECT k.*, s.doc_id AS last_doc, s.rnk AS last_rank FROM kept k LEFT JOIN sat s ON s.seq = k.seq AND s.n = 1),
 ses AS (SELECT session, min(seq) AS first_seq, max_by(last_doc, seq) FILTER (last_doc IS NOT NULL) AS final FROM ev GROUP BY session),
@@ -65,7 +66,7 @@ def clicklog_pairs_min_count(spark, d):
 
 @query(
     "clicklog_report",
-    oracle(LOG_VIEWS, LOG + f""" SELECT (SELECT count(*) FROM fx_searches) AS events, (SELECT count(*) FROM fx_searches WHERE query <> '' AND {PII}) AS dropped_pii,
+    oracle(LOG_VIEWS, LOG + f""" SELECT (SELECT count(*) FROM fx_searches) AS events, (SELECT count(*) FROM asked WHERE {PII}) AS dropped_pii,
  (SELECT count(*) FROM fx_clicks SEMI JOIN kept USING (seq)) - (SELECT count(*) FROM sat SEMI JOIN kept USING (seq)) AS bounces_ignored,
  (SELECT count(*) FROM ses WHERE final IS NULL) AS abandoned_sessions, (SELECT count(*) FROM ses) AS sessions, (SELECT count(*) FROM direct) AS direct_pairs,
  (SELECT count(*) FROM moved) AS transferred_pairs, (SELECT count(*) FROM negs) AS hard_negatives,
@@ -75,12 +76,12 @@ def clicklog_report(spark, d):
     return C.report(events(spark, d), min_count=2)
 
 
-@query("naive_click_pairs", oracle(LOG_VIEWS, "SELECT c.seq, s.query, c.doc_id FROM fx_clicks c JOIN fx_searches s USING (seq) WHERE s.query <> ''"))
+@query("naive_click_pairs", oracle(LOG_VIEWS, "SELECT c.seq, trim(s.query) AS query, c.doc_id FROM fx_clicks c JOIN fx_searches s USING (seq) WHERE trim(s.query) <> ''"))
 def naive_click_pairs(spark, d):
     return C.naive_pairs(events(spark, d)).select("seq", "query", "doc_id")
 
 
-TRUTH = "truth AS (SELECT DISTINCT lower(query) AS query, concat('d', seq % 40) AS doc_id, CASE WHEN seq % 2 = 0 THEN 'even' ELSE 'odd' END AS slice FROM fx_searches)"
+TRUTH = "truth AS (SELECT DISTINCT lower(trim(query)) AS query, concat('d', seq % 40) AS doc_id, CASE WHEN seq % 2 = 0 THEN 'even' ELSE 'odd' END AS slice FROM fx_searches)"
 
 
 @query(
@@ -91,7 +92,7 @@ TRUTH = "truth AS (SELECT DISTINCT lower(query) AS query, concat('d', seq % 40)
 )
 def label_quality(spark, d):
     truth = fx(spark, d, "fx_searches").select(
-        "query", F.concat(F.lit("d"), F.col("seq") % 40).alias("doc_id"), F.when(F.col("seq") % 2 == 0, "even").otherwise("odd").alias("slice")
+        F.trim("query").alias("query"), F.concat(F.lit("d"), F.col("seq") % 40).alias("doc_id"), F.when(F.col("seq") % 2 == 0, "even").otherwise("odd").alias("slice")
     )
     return rounded(C.label_quality(C.pairs(C.labels(events(spark, d))), truth, "odd"))
 
@@ -103,8 +104,8 @@ def pii_queries(spark, d):
 
 @query(
     "records_to_pairs",
-    oracle("fx_records fx_corpus", """SELECT r.seq, CASE WHEN r.doc_id <> '' AND c.doc_id IS NULL THEN 'unknown document' WHEN coalesce(r.doc_id, '') = '' AND coalesce(content, '') = '' THEN 'no document' END AS reason,
- md5(CASE WHEN r.doc_id <> '' THEN c.text ELSE content END) AS positive FROM fx_records r LEFT JOIN fx_corpus c ON r.doc_id = c.doc_id"""),
+    oracle("fx_records fx_corpus", """SELECT r.seq, CASE WHEN trim(query) = '' THEN 'no query' WHEN r.doc_id <> '' AND c.doc_id IS NULL THEN 'unknown document' WHEN coalesce(r.doc_id, '') = '' AND coalesce(content, '') = '' THEN 'no document' END AS reason,
+ md5(CASE WHEN trim(query) = '' THEN NULL WHEN r.doc_id <> '' THEN c.text ELSE content END) AS positive FROM fx_records r LEFT JOIN fx_corpus c ON r.doc_id = c.doc_id"""),
 )
 def records_to_pairs(spark, d):
     out = I.resolved_pairs(fx(spark, d, "fx_records"), fx(spark, d, "fx_corpus"))
@@ -123,7 +124,8 @@ def known_negatives(spark, d):
 
 
 TAKEN = "taken AS (SELECT CAST(event_id AS BIGINT) AS id FROM events WHERE event_id % 3 = 1 AND event_id < 3000)"
-NEWQ = f"""{TAKEN}, firsts AS (SELECT min(seq) AS seq, arg_min(query, seq) AS text FROM fx_records GROUP BY lower(query)),
+NEWQ = f"""{TAKEN}, good AS (SELECT r.seq, trim(query) AS query, r.doc_id FROM fx_records r JOIN documents c ON r.doc_id = CAST(c.doc_id AS VARCHAR) WHERE trim(query) <> ''),
+firsts AS (SELECT min(seq) AS seq, arg_min(query, seq) AS text FROM good GROUP BY lower(query)),
 nums AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM firsts),
 free AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT range AS id FROM range(1, 1 + (SELECT count(*) FROM firsts) + (SELECT count(*) FROM taken))) WHERE id NOT IN (SELECT id FROM taken)),
 newq AS (SELECT concat('q-user-', id) AS query_id, text, seq FROM nums JOIN free USING (n))"""
@@ -135,15 +137,15 @@ def taken_ids(spark, d):
 
 @query("new_query_ids", oracle("fx_records", NEWQ + " SELECT query_id, text, seq FROM newq"))
 def new_query_ids(spark, d):
-    return I.new_queries(fx(spark, d, "fx_records"), taken_ids(spark, d))
+    return I.new_queries(I.judgable(fx(spark, d, "fx_records"), fx(spark, d, "fx_corpus")), taken_ids(spark, d))
 
 
 @query(
     "records_to_judgments",
-    oracle("fx_records", NEWQ + " SELECT DISTINCT query_id, doc_id, 1.0::DOUBLE AS gain FROM fx_records r JOIN newq n ON lower(r.query) = lower(n.text) WHERE doc_id <> ''"),
+    oracle("fx_records", NEWQ + " SELECT DISTINCT query_id, doc_id, 1.0::DOUBLE AS gain FROM good r JOIN newq n ON lower(r.query) = lower(n.text)"),
 )
 def records_to_judgments(spark, d):
-    records = fx(spark, d, "fx_records")
+    records = I.judgable(fx(spark, d, "fx_records"), fx(spark, d, "fx_corpus"))
     return I.judged(records, I.new_queries(records, taken_ids(spark, d)))
 
 
@@ -168,6 +170,38 @@ def committed_judgments(spark, d):
     return I.committed_judgments(chosen, fx(spark, d, "fx_corpus"))
 
 
+CHOSEN = f"""chosen AS (SELECT seq, query, doc_id FROM fx_records WHERE doc_id <> '' AND seq % 5 < 2),
+whole AS (SELECT query FROM chosen c LEFT JOIN fx_corpus d USING (doc_id) GROUP BY query HAVING count(*) FILTER (d.doc_id IS NULL) = 0),
+good AS (SELECT seq, trim(query) AS query, doc_id FROM chosen WHERE query IN (SELECT query FROM whole) AND trim(query) <> ''),
+{NEWQ.split("firsts AS", 1)[0].split("good AS", 1)[0].rstrip().rstrip(",")}, firsts AS {NEWQ.split("firsts AS", 1)[1]},
+added AS (SELECT DISTINCT query_id, doc_id FROM good g JOIN newq n ON lower(g.query) = lower(n.text)),
+old AS (SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, 2.0::DOUBLE AS gain FROM fx_vec_qrels)"""
+
+
+def committed(spark, d):
+    rows = fx(spark, d, "fx_records")
+    chosen = rows.filter("doc_id <> '' AND seq % 5 < 2").select("seq", "query", "doc_id")
+    qrels = fx(spark, d, "fx_vec_qrels").select(F.col("query_id").cast("string"), F.col("doc_id").cast("string"), F.lit(2.0).alias("gain"))
+    there = rows.filter("content IS NOT NULL").select("seq", "query", "content")
+    return I.commit(chosen, fx(spark, d, "fx_corpus"), taken_ids(spark, d), qrels, there)
+
+
+@query("committed_rows", oracle("fx_records fx_corpus fx_vec_qrels", CHOSEN + " SELECT * FROM old UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE AS gain FROM added"))
+def committed_rows(spark, d):
+    """All judgments after a batch of choices."""
+    return committed(spark, d)[1]
+
+
+@query(
+    "committed_pairs",
+    oracle("fx_records fx_corpus fx_vec_qrels", CHOSEN + """ SELECT min(g.seq) AS seq, lower(g.query) AS query, md5(trim(c.text)) AS content FROM good g JOIN fx_corpus c ON c.doc_id = g.doc_id
+ WHERE NOT EXISTS (SELECT 1 FROM fx_records o WHERE o.content IS NOT NULL AND lower(trim(o.query)) = lower(g.query) AND trim(o.content) = trim(c.text)) GROUP BY lower(g.query), trim(c.text)"""),
+)
+def committed_pairs(spark, d):
+    """Training pairs that a batch of choices adds."""
+    return committed(spark, d)[2].select("seq", F.lower("query").alias("query"), F.md5(F.trim("content")).alias("content"))
+
+
 @query(
     "appended_pairs",
     oracle("fx_records", """new AS (SELECT * FROM fx_records WHERE seq % 2 = 0 AND content IS NOT NULL), old AS (SELECT * FROM fx_records WHERE seq % 10 = 1 AND content IS NOT NULL)
@@ -234,13 +268,13 @@ def split_pairs(spark, d):
 
 
 SPLIT = f"""marked AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY {draw_sql("'5'", "doc_id", "query_id")}, query_id) AS place FROM fx_vec_qrels),
-final AS (SELECT DISTINCT query_id FROM marked WHERE n > 1 AND place <= greatest(1, round_even(n * 0.02, 0))),
+final AS (SELECT DISTINCT query_id FROM marked WHERE n > 1 AND place <= greatest(1, round_even(n * 0.3, 0))),
 splitted AS (SELECT q.query_id, q.doc_id, CASE WHEN f.query_id IS NULL THEN 'dev' ELSE 'final' END AS split FROM fx_vec_qrels q LEFT JOIN final f USING (query_id))"""
 
 
 @query("split_judgments", oracle("fx_vec_qrels", SPLIT + " SELECT * FROM splitted"))
 def split_judgments(spark, d):
-    return I.split_judgments(fx(spark, d, "fx_vec_qrels"), fraction=0.02, seed=5).select("query_id", "doc_id", "split")
+    return I.split_judgments(fx(spark, d, "fx_vec_qrels"), fraction=0.3, seed=5).select("query_id", "doc_id", "split")
 
 
 @query(
@@ -263,10 +297,10 @@ def eval_set(spark, d):
 
 @query(
     "alias_leaks",
-    oracle("fx_corpus", "SELECT q.alias, d.doc_id FROM (SELECT DISTINCT substr(text, 1, 40) AS alias FROM benchmark) q JOIN fx_corpus d ON contains(lower(d.text), lower(q.alias))"),
+    oracle("fx_corpus", "SELECT q.alias, d.doc_id FROM (SELECT DISTINCT text AS alias FROM benchmark) q JOIN fx_corpus d ON contains(lower(d.text), lower(q.alias))"),
 )
 def alias_leaks(spark, d):
-    return I.leaks(fx(spark, d, "benchmark").select(F.substring("text", 1, 40).alias("alias")), fx(spark, d, "fx_corpus"))
+    return I.leaks(fx(spark, d, "benchmark").select(F.col("text").alias("alias")), fx(spark, d, "fx_corpus"))
 
 
 @query(

@@ -26,10 +26,10 @@ def trio(spark, d):
 @query(
     "round_trip_filter",
     oracle(VEC, SIMS + """ SELECT o.query_id, o.doc_id FROM own o WHERE (SELECT count(*) FROM sims s WHERE s.query_id = o.query_id AND s.doc_id <> o.doc_id
- AND (s.s > o.own + 1e-12 OR (abs(s.s - o.own) < 1e-12 AND s.doc_id < o.doc_id))) < 100"""),
+ AND (s.s > o.own + 1e-12 OR (abs(s.s - o.own) < 1e-12 AND s.doc_id < o.doc_id))) < 200"""),
 )
 def round_trip_filter(spark, d):
-    return N.round_trip(*trio(spark, d), k=100)
+    return N.round_trip(*trio(spark, d), k=200)
 
 
 @query(
@@ -99,10 +99,27 @@ def default_queries(spark, d):
     return N.default_queries(fx(spark, d, "fx_corpus"))
 
 
-@query("synthesized_queries", oracle("fx_corpus", "SELECT doc_id, CAST(0 AS INTEGER) AS i, split_part(text, chr(10), 1) AS query FROM fx_corpus"))
+def lines_of(title: str | None, text: str) -> list[str]:
+    """A generator: the lines of a text. It fails on texts of one line."""
+    found = text.split("\n")
+    if len(found) < 2:
+        raise ValueError("one line")
+    return found
+
+
+@query(
+    "synthesized_queries",
+    oracle("fx_corpus", """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS query, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM fx_corpus WHERE contains(text, chr(10)))
+ SELECT doc_id, CAST(i AS INTEGER) AS i, query FROM l WHERE i < 3"""),
+)
 def synthesized_queries(spark, d):
-    """The injected generator here gives a document's first line."""
-    return N.synthesized(fx(spark, d, "fx_corpus"), lambda title, text: [text.split("\n")[0]], 3)
+    """The first three that a generator gives for each document."""
+    return N.synthesized(fx(spark, d, "fx_corpus"), lines_of, 3)[0]
+
+
+@query("failed_generations", oracle("fx_corpus", "SELECT doc_id, 'ValueError: one line' AS error FROM fx_corpus WHERE NOT contains(text, chr(10))"))
+def failed_generations(spark, d):
+    return N.synthesized(fx(spark, d, "fx_corpus"), lines_of, 3, retries=1)[1]
 
 
 @query("embedded_documents")
@@ -176,6 +193,27 @@ def judging_list(spark, d):
     return rounded(V.judging_list(bm25_top_k(fx(spark, d, "fx_queries"), corpus, 10), corpus))
 
 
+@query(
+    "judging_search",
+    oracle("fx_vec_queries fx_corpus", """s AS (SELECT q.query_id, v.vec_id, row_number() OVER (PARTITION BY q.query_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, 'p' || lpad(CAST(v.vec_id AS VARCHAR), 9, '0')) AS place
+ FROM fx_vec_queries q CROSS JOIN embeddings v QUALIFY place <= 30), last AS (SELECT text, arg_max(doc_id, seq) AS doc_id FROM fx_corpus GROUP BY text),
+ b AS (SELECT query_id, l.doc_id, min(place) AS place FROM s JOIN documents d ON d.doc_id = s.vec_id JOIN last l ON l.text = d.text GROUP BY ALL),
+ r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM b QUALIFY rank <= 10)
+ SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS text FROM r JOIN fx_corpus USING (doc_id)"""),
+)
+def judging_search(spark, d):
+    """Through the live version, whose payloads lead to the corpus by content."""
+    store, n = V.VectorStore(spark, scratch(spark, "store")), F.col("vec_id").cast("string")
+    none = F.lit(None).cast("string")
+    texts = fx(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), none.alias("title"), F.col("text").alias("content"))
+    held = fx(spark, d, "embeddings").join(texts, "vec_id", "left").select(
+        F.concat(F.lit("p"), F.lpad(n, 9, "0")).alias("point_id"), F.col("vec_id").alias("seq"), "title", "content", "embedding"
+    )
+    store.publish("site", "encoder", 64, "aaaa", lambda: held, held.count())
+    out = V.judging_search(fx(spark, d, "fx_vec_queries"), held, fx(spark, d, "fx_corpus"), store=store, prefix="site", model="encoder", dim=64)
+    return out.select("query_id", "doc_id", "rank", "text")
+
+
 @query("jsonl_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
 def jsonl_round_trip(spark, d):
     path = scratch(spark, "jsonl")
@@ -224,34 +262,69 @@ def trec_errors(spark, d):
     return S.trec_run(trec_lines(spark, d))[1].select("line_no")
 
 
-@query("log_records_json", oracle("fx_records", "SELECT seq AS line_no, query, doc_id, content FROM fx_records WHERE seq % 13 <> 5"))
+def json_lines(spark, d):
+    """Records as JSON lines; some are broken, some are no objects, some have no query."""
+    n = F.col("seq") % 13
+    row = F.to_json(F.struct(F.when(n != 7, F.col("query")).alias("query"), "doc_id", "content"))
+    value = F.when(n == 5, "{broken").when(n == 6, '["a"]').when(n == 8, '{"query":"a"} {"query":"b"}').otherwise(row)
+    return fx(spark, d, "fx_records").select(F.col("seq").alias("line_no"), value.alias("value"))
+
+
+@query("log_records_json", oracle("fx_records", "SELECT seq AS line_no, CASE WHEN seq % 13 <> 7 THEN query END AS query, doc_id, content FROM fx_records WHERE seq % 13 NOT IN (5, 6, 8)"))
 def log_records_json(spark, d):
-    row = F.to_json(F.struct("query", "doc_id", "content"))
-    lines = fx(spark, d, "fx_records").select(F.col("seq").alias("line_no"), F.when(F.col("seq") % 13 == 5, "{broken").otherwise(row).alias("value"))
-    return S.log_records(lines)[0].select("line_no", "query", "doc_id", "content")
+    return S.log_records(json_lines(spark, d))[0].select("line_no", "query", "doc_id", "content")
+
+
+@query("log_errors_json", oracle("fx_records", "SELECT seq AS line_no FROM fx_records WHERE seq % 13 IN (5, 6, 8)"))
+def log_errors_json(spark, d):
+    return S.log_records(json_lines(spark, d))[1].select("line_no")
+
+
+def csv_lines(spark, d, head: str | None):
+    """Records as CSV: quoted cells, some over two lines, some without a query, some without anything."""
+    n, q = F.col("seq") % 13, F.coalesce(F.col("query"), F.lit(""))
+    row = F.concat(F.lit('" '), q, F.lit('"" said"  , '), F.coalesce("doc_id", F.lit("")), F.lit(" "))
+    first = F.when(n == 5, " ,nothing").when(n == 6, ' ," "').when(n == 7, F.concat(F.lit('"two,'), q)).otherwise(row)
+    lines = fx(spark, d, "fx_records").select((F.col("seq") * 2).alias("line_no"), first.alias("value"))
+    more = fx(spark, d, "fx_records").filter("seq % 13 = 7").select((F.col("seq") * 2 + 1).alias("line_no"), F.lit('lines",d7').alias("value"))
+    lines = lines.unionByName(more)
+    if head:
+        lines = lines.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), F.lit(head).alias("value")))
+    return lines
+
 
+def csv_sql(where: str) -> str:
+    return oracle("fx_records", f"""SELECT seq * 2 AS line_no, CASE WHEN seq % 13 = 7 THEN trim('two,' || query || chr(10) || 'lines') ELSE trim(' ' || query || '" said') END AS query,
+ CASE WHEN seq % 13 = 7 THEN 'd7' ELSE coalesce(doc_id, '') END AS doc_id FROM fx_records WHERE {where}""")
 
-@query("log_records_csv", oracle("fx_records", "SELECT seq AS line_no, query, doc_id FROM fx_records WHERE seq % 13 <> 5"))
+
+@query("log_records_csv", csv_sql("seq % 13 NOT IN (5, 6)"))
 def log_records_csv(spark, d):
-    value = F.when(F.col("seq") % 13 == 5, ",nothing").otherwise(F.concat_ws(",", F.col("query"), F.coalesce("doc_id", F.lit(""))))
-    lines = fx(spark, d, "fx_records").select(F.col("seq").alias("line_no"), value.alias("value"))
-    head = spark.range(1).select(F.lit(-1).cast("bigint").alias("line_no"), F.lit("query,doc_id").alias("value"))
-    out = S.log_records(head.unionByName(lines))[0]
-    return out.select("line_no", "query", F.when(F.col("doc_id") != "", F.col("doc_id")).alias("doc_id"))
+    return S.log_records(csv_lines(spark, d, ' Query , doc_id'))[0].select("line_no", "query", "doc_id")
+
+
+@query("log_records_csv_without_header", csv_sql("seq % 13 NOT IN (5, 6)"))
+def log_records_csv_without_header(spark, d):
+    return S.log_records(csv_lines(spark, d, None))[0].select("line_no", "query", "doc_id")
+
+
+@query("log_errors_csv", oracle("fx_records", "SELECT seq * 2 AS line_no FROM fx_records WHERE seq % 13 = 5"))
+def log_errors_csv(spark, d):
+    return S.log_records(csv_lines(spark, d, "query,doc_id"))[1].select("line_no")
 
 
-@query("judgment_splits", oracle("fx_vec_qrels", "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, gain FROM fx_vec_qrels WHERE query_id % 20 = 0"))
+@query("judgment_splits", oracle("fx_vec_qrels", "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, gain FROM fx_vec_qrels WHERE query_id % 100 = 0"))
 def judgment_splits(spark, d):
     """Written as a BEIR-like folder, read again, and asked for ``dev``, which it calls ``test``."""
-    rows = fx(spark, d, "fx_vec_qrels").withColumn("split", F.when(F.col("query_id") % 20 == 0, "test").otherwise("final"))
+    rows = fx(spark, d, "fx_vec_qrels").withColumn("split", F.when(F.col("query_id") % 100 == 0, "test").otherwise("final"))
     path = scratch(spark, "beir")
     S.write_beir(path, fx(spark, d, "fx_corpus"), fx(spark, d, "fx_queries"), rows)
     return S.split_rows(S.read_judgments(spark, path), "dev").drop("split")
 
 
-@query("kept_splits", oracle("fx_vec_qrels", "SELECT CASE WHEN query_id % 20 = 0 THEN 'dev' ELSE 'final' END AS split, count(*) AS n FROM fx_vec_qrels WHERE query_id % 50 <> 10 OR query_id % 20 = 0 GROUP BY 1"))
+@query("kept_splits", oracle("fx_vec_qrels", "SELECT CASE WHEN query_id % 100 = 0 THEN 'dev' ELSE 'final' END AS split, count(*) AS n FROM fx_vec_qrels WHERE query_id % 200 <> 50 GROUP BY 1"))
 def kept_splits(spark, d):
-    stale = F.when(F.col("query_id") % 20 == 0, "dev").when(F.col("query_id") % 50 == 10, "old").otherwise("final")
+    stale = F.when(F.col("query_id") % 100 == 0, "dev").when(F.col("query_id") % 200 == 50, "old").otherwise("final")
     rows = S.kept_splits(fx(spark, d, "fx_vec_qrels").withColumn("split", stale), ["dev", "final"])
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -276,19 +349,36 @@ def dimension_ladders(spark, d):
     return rows.select("dim", "k", F.array_join(F.transform(dimension_ladder(asked, F.col("dim")), lambda x: x.cast("string")), " ").alias("ladder"))
 
 
-@query("run_registry", oracle("fx_runs", "SELECT CAST(run_id AS VARCHAR) AS id, config AS model, CASE WHEN seed = 0 THEN config ELSE 'seed ' || seed END AS label, round(ndcg, 6) AS ndcg FROM fx_runs WHERE run_id <> 7"))
-def run_registry(spark, d):
-    """Appended in two parts beside lines that are no records; one run is deleted."""
+REGISTRY = "id string, created_at string, model string, label string, ndcg double, seq bigint"
+
+
+def registry(spark, d):
+    """Runs appended in two parts beside lines that are no records; one run is deleted, two come after."""
     runs = fx(spark, d, "fx_runs").select(
         F.col("run_id").cast("string").alias("id"), F.col("created_at").cast("string").alias("created_at"), F.col("config").alias("model"),
-        F.when(F.col("seed") == 0, "").otherwise(F.concat(F.lit("seed "), "seed")).alias("label"), "ndcg",
+        F.when(F.col("seed") == 0, "").otherwise(F.concat(F.lit("seed "), "seed")).alias("label"), "ndcg", F.col("run_id").alias("seq"),
     )
-    path = scratch(spark, "runs")
-    S.append_runs(runs.filter("id % 2 = 0"), path)
-    S.append_runs(runs.filter("id % 2 = 1"), path)
-    runs.limit(3).select(F.lit("{not a record").alias("value")).write.mode("append").text(path)
-    out = S.load_runs(spark, path, "id string, created_at string, model string, label string, ndcg double")
-    return rounded(S.without_run(out, "7").select("id", "model", "label", "ndcg"))
+    out = S.RunRegistry(spark, scratch(spark, "runs"), REGISTRY)
+    out.append(runs.filter("id % 2 = 0"))
+    out.append(runs.filter("id % 2 = 1 AND id > 5"))
+    runs.limit(3).select(F.lit("{not a record").alias("value")).write.mode("append").text(f"{out.root}/0/1")
+    out.delete("7")
+    out.append(runs.filter("id IN (1, 3)"))
+    return out
+
+
+RUN_ROWS = """SELECT CAST(run_id AS VARCHAR) AS id, config AS model, CASE WHEN seed = 0 THEN config ELSE 'seed ' || seed END AS label, round(ndcg, 6) AS ndcg,
+ CASE WHEN run_id IN (1, 3) THEN 2 ELSE run_id % 2 END AS batch, run_id FROM fx_runs WHERE run_id NOT IN (5, 7)"""
+
+
+@query("run_registry", oracle("fx_runs", f"r AS ({RUN_ROWS}) SELECT id, model, label, ndcg, batch FROM r"))
+def run_registry(spark, d):
+    return rounded(registry(spark, d).scan().select("id", "model", "label", "ndcg", "batch"))
+
+
+@query("last_appended_runs", oracle("fx_runs", f"r AS ({RUN_ROWS}) SELECT id FROM r ORDER BY batch DESC, run_id DESC LIMIT 6"))
+def last_appended_runs(spark, d):
+    return registry(spark, d).newest().limit(6).select("id")
 
 
 def training_log(spark, d):
@@ -331,6 +421,15 @@ def dataset_overview(spark, d):
     return S.overview(rows, 10, 50)[0]
 
 
+@query("sample_corpora", oracle("fx_corpus", "SELECT name, is_sample, (SELECT count(*) FROM fx_corpus) AS docs FROM (VALUES ('documents', false), ('gold', true)) AS t(name, is_sample)"))
+def sample_corpora(spark, d):
+    """Whether the corpus, and the same with a sample's ids, look like a bundled sample."""
+    docs = fx(spark, d, "fx_corpus")
+    gold = docs.withColumn("doc_id", F.concat(F.lit("gold-"), "doc_id"))
+    flag = lambda name, df: docs.agg(F.count(F.lit(1)).alias("docs")).select(F.lit(name).alias("name"), F.lit(S.is_sample(df)).alias("is_sample"), "docs")
+    return flag("documents", docs).unionByName(flag("gold", gold))
+
+
 @query("dataset_preview", oracle("fx_pairs", "SELECT seq, query, CASE WHEN length(content) > 50 THEN substr(content, 1, 50) || '…' ELSE content END AS content FROM fx_pairs ORDER BY seq LIMIT 10"))
 def dataset_preview(spark, d):
     return S.overview(fx(spark, d, "fx_pairs").withColumn("negatives", F.array().cast("array<string>")), 10, 50)[1]
@@ -354,7 +453,7 @@ def stream_clicklog(spark, d):
 @query("stream_appended_pairs", ORACLES["appended_pairs"])
 def stream_appended_pairs(spark, d):
     rows = fx(spark, d, "fx_records").filter("content IS NOT NULL").select("seq", "query", "content")
-    return X.stream_appended(spark, stream_of(spark, d, rows.filter("seq % 2 = 0").coalesce(1)), rows.filter("seq % 10 = 1"))
+    return X.stream_appended(spark, stream_of(spark, d, rows.filter("seq % 2 = 0")), rows.filter("seq % 10 = 1"))
 
 
 @query("stream_leaderboard", oracle("fx_runs", "SELECT config, count(*) AS n, round(avg(ndcg), 6) AS mean, round(max(ndcg), 6) AS best FROM fx_runs GROUP BY config"))
@@ -365,7 +464,7 @@ def stream_leaderboard(spark, d):
 @query("stream_vectors", oracle("fx_corpus", "SELECT sha256(text) AS content, min(CAST(doc_id AS BIGINT)) AS doc_id, CAST(32 AS INTEGER) AS dim FROM fx_corpus GROUP BY text"))
 def stream_vectors(spark, d):
     docs = fx(spark, d, "documents").select("doc_id", "text")
-    return X.stream_vectors(spark, stream_of(spark, d, docs.coalesce(1))).select("content", "doc_id", F.size("embedding").alias("dim"))
+    return X.stream_vectors(spark, stream_of(spark, d, docs)).select("content", "doc_id", F.size("embedding").alias("dim"))
 
 
 @query("stream_prune_verdicts")

@@ -181,6 +181,15 @@ def rank_fusion(spark, d):
     return rounded(R.rrf([(dense(spark, d, 64), 0.7), (dense(spark, d, 16), 0.3)]))
 
 
+PAIRED = "paired AS (SELECT query_id, metric, a.value AS a, b.value AS b, b.value - a.value AS delta FROM a JOIN b USING (query_id, metric))"
+FLIPS = 2000
+PVALUES = f"""flipped AS (SELECT metric, b.range AS b, abs(sum(CASE WHEN {draw_sql("'0'", "b.range", "query_id")} % 2 = 0 THEN delta ELSE -delta END)) AS f
+ FROM paired CROSS JOIN range({FLIPS}) b WHERE delta <> 0 GROUP BY ALL),
+observed AS (SELECT metric, abs(sum(delta)) AS o FROM paired WHERE delta <> 0 GROUP BY metric),
+extreme AS (SELECT metric, count(*) FILTER (f >= o - 1e-12) AS e FROM flipped JOIN observed USING (metric) GROUP BY metric),
+p AS (SELECT metric, coalesce((e + 1) / ({FLIPS} + 1), 1.0) AS p FROM (SELECT DISTINCT metric FROM paired) LEFT JOIN extreme USING (metric))"""
+
+
 SWEEP = (
     f"{RUN_A}, {RUN_B}, {BOTH}, grid AS (SELECT range / 10 AS alpha FROM range(11)), spread AS (SELECT * FROM both_runs CROSS JOIN grid), "
     + fused_sql("fused", "(CASE WHEN is_dense THEN alpha ELSE 1 - alpha END)", "spread", by="alpha") + ", "
@@ -202,6 +211,20 @@ def fusion_sweep(spark, d):
     return rounded(by.crossJoin(top).select("alpha", "ndcg", "recall", (F.col("alpha") == F.col("top")).alias("best")))
 
 
+@query(
+    "fusion_sweep_test",
+    oracle(VEC, SWEEP + f""", w AS (SELECT alpha, round(avg(value), 9) AS mean FROM m WHERE metric = 'ndcg@10' GROUP BY alpha),
+ best AS (SELECT alpha FROM w ORDER BY mean DESC, alpha LIMIT 1),
+ paired AS (SELECT x.query_id, x.metric, x.value AS a, y.value AS b, y.value - x.value AS delta FROM m x JOIN m y USING (query_id, metric) WHERE metric = 'ndcg@10' AND x.alpha = 1 AND y.alpha = (SELECT alpha FROM best)),
+ {{PVALUES}} SELECT (SELECT alpha FROM best) AS best, count(*) AS n, round(avg(a), 6) AS dense, round(avg(b), 6) AS fused, round(avg(delta), 6) AS delta, count(*) FILTER (delta > 0) AS wins,
+ count(*) FILTER (delta < 0) AS losses, count(*) FILTER (delta = 0) AS ties, round(any_value(p), 6) AS p FROM paired JOIN p USING (metric)""".replace("{PVALUES}", PVALUES)),
+)
+def fusion_sweep_test(spark, d):
+    """The best weight of the sweep against the dense run alone."""
+    fused = R.fusion_sweep(dense(spark, d, 64), dense(spark, d, 16))
+    return rounded(M.sweep_test(M.per_query(fused, fx(spark, d, "fx_vec_qrels"), by=("alpha",)), FLIPS))
+
+
 @query("per_query_metrics", oracle(VEC, SCORES + " SELECT query_id, metric, round(value, 6) AS value FROM a"))
 def per_query_metrics(spark, d):
     return rounded(M.per_query(dense(spark, d, 64), fx(spark, d, "fx_vec_qrels")))
@@ -234,15 +257,6 @@ def bootstrap_ci(spark, d):
     return rounded(M.bootstrap(M.per_query(dense(spark, d, 64), fx(spark, d, "fx_vec_qrels"))))
 
 
-PAIRED = "paired AS (SELECT query_id, metric, a.value AS a, b.value AS b, b.value - a.value AS delta FROM a JOIN b USING (query_id, metric))"
-FLIPS = 2000
-PVALUES = f"""flipped AS (SELECT metric, b.range AS b, abs(sum(CASE WHEN {draw_sql("'0'", "b.range", "query_id")} % 2 = 0 THEN delta ELSE -delta END)) AS f
- FROM paired CROSS JOIN range({FLIPS}) b WHERE delta <> 0 GROUP BY ALL),
-observed AS (SELECT metric, abs(sum(delta)) AS o FROM paired WHERE delta <> 0 GROUP BY metric),
-extreme AS (SELECT metric, count(*) FILTER (f >= o - 1e-12) AS e FROM flipped JOIN observed USING (metric) GROUP BY metric),
-p AS (SELECT metric, coalesce((e + 1) / ({FLIPS} + 1), 1.0) AS p FROM (SELECT DISTINCT metric FROM paired) LEFT JOIN extreme USING (metric))"""
-
-
 @query("permutation_test", oracle(VEC, f"{SCORES}, {PAIRED}, {PVALUES} SELECT metric, round(p, 6) AS p FROM p"))
 def permutation_test(spark, d):
     *_, a, b = two_runs(spark, d)
@@ -318,11 +332,14 @@ def diff_details(spark, d):
 
 @query(
     "query_topics",
-    oracle("fx_vec_queries", "SELECT query_id, CASE WHEN query_id % 20 = 0 THEN CAST(label AS VARCHAR) END AS topic FROM fx_vec_queries"),
+    oracle("fx_vec_corpus", "SELECT doc_id AS query_id, CASE WHEN doc_id % 20 IN (0, 5, 7) THEN CAST(label AS VARCHAR) END AS topic FROM fx_vec_corpus"),
 )
 def query_topics(spark, d):
-    named = F.concat_ws("-", F.when(F.col("query_id") % 20 == 0, "q").otherwise("x"), F.col("label"), F.col("query_id"))
-    return fx(spark, d, "fx_vec_queries").select("query_id", T.topic(named).alias("topic"))
+    """Ids of three parts, of four and five, of two, and of another first part."""
+    n = F.col("doc_id") % 20
+    tail = F.when(n == 5, "1-2").when(n == 7, "1-2-3").when(n != 9, F.col("doc_id").cast("string"))
+    named = F.concat_ws("-", F.when(n.isin(0, 5, 7, 9), "q").otherwise("x"), F.col("label"), tail)
+    return fx(spark, d, "fx_vec_corpus").select(F.col("doc_id").alias("query_id"), T.topic(named).alias("topic"))
 
 
 PROFILED = """rows AS (SELECT query_id, text, slice, CASE WHEN CAST(query_id AS INTEGER) % 5 = 0 THEN 'my-Nemotron-qwen' WHEN CAST(query_id AS INTEGER) % 5 = 1 THEN 'Qwen/Embed' ELSE 'other' END AS model,

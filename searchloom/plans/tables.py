@@ -22,7 +22,7 @@ def canonical_urls(spark, d):
 
 @query(
     "page_links",
-    oracle("fx_pages", r"""h AS (SELECT seq, url, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''<>\s]+)', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)href\s*=\s*["'']([^"''<>\s]+)', 1), 1) - 1 AS i FROM fx_pages),
+    oracle("fx_pages", r"""h AS (SELECT seq, url, unnest(regexp_extract_all(html, '(?i)href\s*=\s*"([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '(?i)href\s*=\s*"([^"]*)"', 1), 1) - 1 AS i FROM fx_pages),
  a AS (SELECT seq, i, url, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || href ELSE href END AS t FROM h
  WHERE NOT (starts_with(href, '#') OR starts_with(href, 'javascript:') OR starts_with(href, 'mailto:') OR starts_with(href, 'tel:')))
  SELECT seq, CAST(i AS INTEGER) AS i, """ + CANON_SQL.format("t") + r""" AS target FROM a WHERE regexp_matches(t, '^https?://')
@@ -63,22 +63,22 @@ def page_extraction(spark, d):
 @query(
     "deduplicated_pages",
     oracle("fx_pages", EXTRACT + ", u AS (SELECT *, " + CANON_SQL.format("url") + """ AS c FROM texts), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY c ORDER BY seq) = 1),
- g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY content ORDER BY seq) = 1) SELECT seq, url FROM g ORDER BY seq LIMIT 200"""),
+ g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY content ORDER BY seq) = 1) SELECT seq, url FROM g ORDER BY seq LIMIT 300"""),
 )
 def deduplicated_pages(spark, d):
     pages = P.extracted(fx(spark, d, "fx_pages"), min_chars=0)
-    return P.deduplicated(pages, 200).select("seq", "url")
+    return P.deduplicated(pages, 300).select("seq", "url")
 
 
 @query(
     "finalized_pages",
     oracle("fx_pages", r"""c AS (SELECT description, count(*) AS n FROM fx_pages GROUP BY 1), t AS (SELECT count(*) AS n FROM fx_pages),
  p AS (SELECT seq, html AS body, CASE WHEN description NOT IN (SELECT description FROM c, t WHERE t.n >= 10 AND c.n > 0.1 * t.n) THEN description END AS description FROM fx_pages)
- SELECT seq, description, md5(regexp_replace(substr(CASE WHEN description <> '' AND NOT starts_with(body, substr(description, 1, 40)) THEN description || chr(10) || chr(10) || body ELSE body END, 1, 500), '\s+$', '')) AS content FROM p"""),
+ SELECT seq, description, md5(regexp_replace(substr(CASE WHEN description <> '' AND NOT starts_with(body, substr(description, 1, 40)) THEN description || chr(10) || chr(10) || body ELSE body END, 1, 2000), '\s+$', '')) AS content FROM p"""),
 )
 def finalized_pages(spark, d):
     pages = fx(spark, d, "fx_pages").select("seq", "description", F.col("html").alias("content"))
-    return P.finalized(pages, 500).select("seq", "description", F.md5("content").alias("content"))
+    return P.finalized(pages, 2000).select("seq", "description", F.md5("content").alias("content"))
 
 
 POINT = """(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', ('0x' || substr(h, 17, 1))::INT % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12))"""

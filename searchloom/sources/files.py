@@ -3,11 +3,14 @@ so any file system that Spark knows will do."""
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ingest import first_by
-from ..operators.ordering import numbered
+from ..functions.text import stripped
+from ..operators.ordering import carried, numbered, summed_before
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -62,37 +65,55 @@ def trec_run(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ranking, parsed.filter("n < 4 OR given IS NULL").select("line_no", "value")
 
 
+# How ids of a bundled sample begin.
+SAMPLE_IDS = ("distractor-", "gold-")
+
 RECORD = "query string, doc_id string, title string, content string"
 
 
+def csv_records(lines: DataFrame) -> DataFrame:
+    """``line_no, value`` of CSV records: lines (line_no, value) within quotes belong to the record
+    before, so a record has the number of its first line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    open_ = summed_before(lines, "__open", quotes.cast("bigint")).withColumn("__first", F.when(F.col("__open") % 2 == 0, F.col("line_no")))
+    held = carried(open_, "__record", F.col("__first"))
+    whole = held.groupBy(F.col("__record").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("__l"))
+    return whole.select("line_no", F.array_join(F.transform("__l", lambda x: x["value"]), "\n").alias("value"))
+
+
 def log_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, bad lines) of search records as JSON lines or CSV (line_no, value).
 
-    The first line that is not blank tells the format: ``{`` begins JSON; a CSV header names
-    ``query``, else the columns are query, doc_id, title, content, as far as there are.
+    The first line that is not blank tells the format: ``{`` begins JSON, whose records are objects
+    with any fields; a CSV header names ``query``, else the columns are query, doc_id, title,
+    content, as far as the first record goes. CSV cells lose the white space around them, may be
+    quoted and hold line ends; a record without a query is bad, one without anything is none.
     """
-    some = lines.filter(F.trim("value") != "")
-    first = some.orderBy("line_no").select("value").first()
+    some = lines.filter(stripped(F.col("value")) != "")
+    first = some.orderBy("line_no").select("line_no", "value").first()
     if first is None:
         none = lines.limit(0)
         return none.selectExpr("line_no", *[f"CAST(NULL AS string) AS {c.split()[0]}" for c in RECORD.split(", ")]), none
-    head = first[0].strip()
-    if head.startswith("{"):
+    names = [c.split()[0] for c in RECORD.split(", ")]
+    if first["value"].lstrip().startswith("{"):
         parsed = some.withColumn("r", F.from_json("value", RECORD + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-        bad = F.col("r").isNull() | F.col("r._bad").isNotNull() | (F.coalesce(F.col("r.query"), F.lit("")) == "")
-    else:
-        names = [x.strip().strip('"').lower() for x in head.split(",")]
-        header = "query" in names
-        width = len(names)
-        cols = names if header else [c.split()[0] for c in RECORD.split(", ")][:width]
-        schema = ", ".join(f"`{c}` string" for c in cols) + ", _bad string"
-        rows = some.filter(F.col("value") != first[0]) if header else some
-        parsed = rows.withColumn("c", F.from_csv("value", schema, {"columnNameOfCorruptRecord": "_bad"}))
-        fields = [F.col(f"c.{c}").alias(c) if c in cols else F.lit(None).cast("string").alias(c) for c in ("query", "doc_id", "title", "content")]
-        parsed = parsed.withColumn("r", F.struct(*fields))
-        bad = F.col("c").isNull() | F.col("c._bad").isNotNull() | (F.coalesce(F.col("r.query"), F.lit("")) == "")
-    fields = ["r.query", "r.doc_id", "r.title", "r.content"]
-    return parsed.filter(~bad).select("line_no", *fields), parsed.filter(bad).select("line_no", "value")
+        one = F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1
+        good = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.coalesce(one, F.lit(False)) & F.ltrim("value").startswith("{")
+        fields = [F.col(f"r.{c}").alias(c) for c in names]
+        return parsed.filter(good).select("line_no", *fields), parsed.filter(~good).select("line_no", "value")
+    records = csv_records(lines).filter(stripped(F.col("value")) != "")
+    head = next(csv.reader(records.orderBy("line_no").select("value").first()[0].splitlines(keepends=True)))
+    header = [x.strip().lower() for x in head]
+    titled = "query" in header
+    cols = header if titled else names[: len(head)]
+    schema = ", ".join(f"c{i} string" for i in range(len(cols)))
+    rows = records.filter(F.col("line_no") != first["line_no"]) if titled else records
+    parsed = rows.withColumn("c", F.from_csv("value", schema, {"escape": '"', "multiLine": "true"}))
+    cells = {c: stripped(F.coalesce(F.col(f"c.c{i}"), F.lit(""))) for i, c in enumerate(cols)}
+    fields = [cells.get(c, F.lit(None).cast("string")).alias(c) for c in names]
+    parsed = parsed.select("line_no", "value", *fields, F.concat_ws("", *cells.values()).alias("__all")).filter("__all <> ''")
+    bad = F.coalesce("query", F.lit("")) == ""
+    return parsed.filter(~bad).select("line_no", *names), parsed.filter(bad).select("line_no", "value")
 
 
 def write_beir(path: str, corpus_: DataFrame, queries_: DataFrame, judgments: DataFrame) -> None:
@@ -109,11 +130,11 @@ def read_judgments(spark: SparkSession, path: str) -> DataFrame:
 def split_rows(judgments: DataFrame, split: str) -> DataFrame:
     """Rows of a split. ``dev`` falls back to the older name ``test``; ``final`` never falls back, and
     a split that is missing is an error."""
-    there = {r[0] for r in judgments.select("split").distinct().limit(100).collect()}
-    name = "test" if split == "dev" and "dev" not in there and "test" in there else split
-    if name not in there:
-        raise ValueError(f"no split {split}")
-    return judgments.filter(F.col("split") == name)
+    for name in (split, "test") if split == "dev" else (split,):
+        found = judgments.filter(F.col("split") == name)
+        if not found.isEmpty():
+            return found
+    raise ValueError(f"no split {split}")
 
 
 def kept_splits(judgments: DataFrame, names: list[str]) -> DataFrame:
@@ -131,19 +152,66 @@ def load_bench(spark: SparkSession, path: str, hardware: str | None = None) -> D
     return rows if hardware is None else rows.filter(F.col("hardware_key") == hardware)
 
 
-def append_runs(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").json(path)
-
-
-def load_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Runs, the newest first; lines that are no records are skipped, a missing label is the model."""
-    rows = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = rows.filter("_bad IS NULL").drop("_bad")
-    return rows.withColumn("label", F.coalesce(F.when(F.col("label") != "", F.col("label")), F.col("model"))).orderBy(F.desc("created_at"), F.desc("id"))
+class RunRegistry:
+    """Runs as JSON lines below one folder that all executors see, the last appended first.
 
+    A generation is a numbered folder of numbered batches. Appending writes the next batch;
+    deleting writes a whole new generation. Readers take the highest generation whose first batch
+    Spark has committed, and its committed batches, so a crash leaves the registry as it was.
+    """
 
-def without_run(runs: DataFrame, run_id: str) -> DataFrame:
-    return runs.filter(~F.col("id").eqNullSafe(F.lit(run_id)))
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+
+    def _whole(self, folder: str, marker: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(path(folder)):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path(folder))]
+        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(path(f"{p}/{marker}")))
+
+    def _generation(self) -> int:
+        return max(self._whole(self.root, "0/_SUCCESS"), default=0)
+
+    def append(self, runs: DataFrame) -> None:
+        """Add runs; of one call they are in the order of ``seq`` (which is kept)."""
+        folder = f"{self.root}/{self._generation()}"
+        last = self.scan().agg(F.max("batch")).first()[0]
+        batch = 0 if last is None else last + 1
+        runs.write.mode("overwrite").json(f"{folder}/{batch}")
+
+    def scan(self) -> DataFrame:
+        """Runs with ``batch, seq``; lines that are no records are skipped, a missing label is the model."""
+        folder = f"{self.root}/{self._generation()}"
+        paths = [f"{folder}/{n}" for n in self._whole(folder, "_SUCCESS")]
+        if not paths:
+            return self.spark.createDataFrame([], f"{self.schema}, batch bigint")
+        own = F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]*$", 1).cast("bigint")
+        parsed = F.from_json("value", self.schema + ", batch bigint, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+        rows = self.spark.read.text(paths).select(own.alias("__batch"), parsed.alias("r")).filter("r IS NOT NULL AND r._bad IS NULL")
+        rows = rows.select("__batch", "r.*").withColumn("batch", F.coalesce("batch", "__batch")).drop("__batch", "_bad")
+        return rows.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), F.col("model")))
+
+    def newest(self) -> DataFrame:
+        """All runs, the last appended first."""
+        return self.scan().orderBy(F.desc("batch"), F.desc("seq"))
+
+    def get(self, run_id: str) -> DataFrame:
+        return self.scan().filter(F.col("id") == run_id)
+
+    def delete(self, run_id: str) -> int:
+        """Remove a run; returns how many remain."""
+        left = self.scan().filter(~F.col("id").eqNullSafe(F.lit(run_id)))
+        left.write.mode("overwrite").json(f"{self.root}/{self._generation() + 1}/0")
+        return self.scan().count()
+
+
+def is_sample(corpus_: DataFrame) -> bool:
+    """Whether a corpus (doc_id, seq) looks like a bundled sample: by the id of its first document."""
+    first = corpus_.orderBy("seq").select("doc_id").first()
+    return first is not None and str(first[0]).startswith(SAMPLE_IDS)
 
 
 def overview(pairs: DataFrame, limit: int, length: int) -> tuple[DataFrame, DataFrame]:
@@ -191,8 +259,7 @@ def log_outcome(lines: DataFrame) -> DataFrame:
     """One row: score before (the first of the baseline section) and after (the last of the section
     after tuning), the summary, and where the model was saved."""
     section = F.when(F.contains("value", F.lit("baseline eval")), "before").when(F.contains("value", F.lit("after fine-tuning")), "after")
-    carried = F.last(section, ignorenulls=True).over(Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.withColumn("section", carried).withColumn("ndcg", _number(NDCG))
+    rows = carried(lines, "section", section).withColumn("ndcg", _number(NDCG))
     of = lambda pattern, group, kind: F.max_by(_number(pattern, group, kind), F.when(F.col("value").rlike(pattern), F.col("line_no")))
     scored = lambda name: F.when((F.col("section") == name) & F.col("ndcg").isNotNull(), F.col("line_no"))
     return rows.agg(

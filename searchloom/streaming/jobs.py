@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..operators import clicklog, runs
-from ..operators.ingest import appended
 from ..operators.mining import embedded, hashed_encoder
 from ..session import scratch
 from ..sources.files import epoch_points
@@ -38,27 +41,48 @@ def session_labels(sessions: DataFrame) -> DataFrame:
     return clicklog.labels(spread)
 
 
+def batches(stream: DataFrame, path: str, made) -> None:
+    """Run a stream over what is there now; ``made`` of each batch is written once, by its number."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        made(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def stream_labels(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Labels of a stream of events, by sessions as they close."""
-    path = scratch(spark, "sessions")
-    finished(closed_sessions(events), path)
-    return session_labels(spark.read.parquet(path))
+    """Labels of a stream of events, written in the batch in which their session closes."""
+    path = scratch(spark, "labels")
+    batches(closed_sessions(events), path, session_labels)
+    return spark.read.parquet(path).drop("batch")
 
 
-def stream_appended(spark: SparkSession, pairs: DataFrame, existing: DataFrame) -> DataFrame:
-    """Pairs whose key is new, batch after batch; a batch is written once, by its number."""
-    path = scratch(spark, "pairs")
-    existing.withColumn("batch", F.lit(-1).cast("bigint")).write.partitionBy("batch").parquet(path)
+def first_of_each(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row of each key that a stream brings, by ``order`` within a batch; a key that has
+    been seen brings no more. The state is one flag for each key, so no history is read again."""
+    schema = StructType([StructField(c, rows.schema[c].dataType) for c in rows.columns])
 
-    def add(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        before = own.read.parquet(path).filter(F.col("batch") < number)
-        fresh = appended(before.drop("batch"), batch)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def once(_, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if not state.exists:
+            best = None
+            for part in parts:
+                own = part.sort_values(order).head(1)
+                best = own if best is None else pd.concat([best, own]).sort_values(order).head(1)
+            state.update((True,))
+            yield best
+
+    return rows.groupBy(*key).applyInPandasWithState(once, schema, "seen boolean", "append", "NoTimeout")
 
-    query = pairs.writeStream.foreachBatch(add).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(path).filter("batch >= 0").drop("batch")
+
+def stream_appended(spark: SparkSession, pairs: DataFrame, existing: DataFrame) -> DataFrame:
+    """Pairs (seq, query, content) whose key neither ``existing`` nor the stream before has."""
+    path = scratch(spark, "pairs")
+    key = lambda df: df.withColumn("__q", F.trim(F.lower("query"))).withColumn("__c", F.sha2(F.trim("content"), 256))
+    known = key(existing).select("__q", "__c").distinct()
+    fresh = key(pairs).join(known, ["__q", "__c"], "left_anti").select("seq", "query", "content", "__q", "__c")
+    finished(first_of_each(fresh, ["__q", "__c"], "seq").drop("__q", "__c"), path)
+    return spark.read.schema("seq bigint, query string, content string").parquet(path)
 
 
 def deduplicated(pairs: DataFrame, within: str = "1 day") -> DataFrame:
@@ -70,16 +94,14 @@ def stream_verdicts(spark: SparkSession, lines: DataFrame, finished_epochs: Data
     """Verdicts on live runs (run_idx, line_no, value) against the epochs of finished ones."""
     path = scratch(spark, "verdicts")
 
-    def judge(batch: DataFrame, number: int) -> None:
-        live = epoch_points(batch.withColumn("value", F.concat("value", F.lit("")))).join(
-            batch.select("line_no", "run_idx"), "line_no"
-        ).select("run_idx", "epoch", "ndcg", "eval_loss", F.lit("running").alias("status"))
+    def judged(batch: DataFrame) -> DataFrame:
+        live = epoch_points(batch).join(batch.select("line_no", "run_idx"), "line_no").select(
+            "run_idx", "epoch", "ndcg", "eval_loss", F.lit("running").alias("status")
+        )
         whole = finished_epochs.select("run_idx", "epoch", "ndcg", "eval_loss", "status").unionByName(live)
-        verdicts = runs.prune_verdicts(whole).join(live.select("run_idx", "epoch"), ["run_idx", "epoch"], "left_semi")
-        verdicts.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        return runs.prune_verdicts(whole).join(live.select("run_idx", "epoch"), ["run_idx", "epoch"], "left_semi")
 
-    query = lines.writeStream.foreachBatch(judge).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    batches(lines, path, judged)
     return spark.read.parquet(path).drop("batch")
 
 
@@ -101,17 +123,7 @@ def stream_leaderboard(spark: SparkSession, scored: DataFrame) -> DataFrame:
 def stream_vectors(spark: SparkSession, documents: DataFrame, dim: int = 32) -> DataFrame:
     """Documents (doc_id, text) embedded once for each distinct content, appended to one version."""
     path = scratch(spark, "points")
-    schema = "content string, doc_id bigint, embedding array<float>"
-    spark.createDataFrame([], schema).write.parquet(f"{path}/batch=-1")
-
-    def add(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        before = own.read.parquet(path).filter(F.col("batch") < number)
-        keyed = batch.select(F.sha2("text", 256).alias("content"), "doc_id", "text")
-        first = keyed.groupBy("content").agg(F.min(F.struct("doc_id", "text")).alias("d"))
-        fresh = first.join(before.select("content"), "content", "left_anti").select("content", "d.doc_id", "d.text")
-        embedded(fresh, lambda: hashed_encoder(dim), dim).drop("text").write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = documents.writeStream.foreachBatch(add).option("checkpointLocation", path + "-state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(path).drop("batch")
+    keyed = documents.select(F.sha2("text", 256).alias("content"), "doc_id", "text")
+    fresh = first_of_each(keyed, ["content"], "doc_id")
+    finished(embedded(fresh, lambda: hashed_encoder(dim), dim).drop("text"), path)
+    return spark.read.schema("content string, doc_id bigint, embedding array<float>").parquet(path)
