@@ -71,7 +71,9 @@ BAD = frozenset(
     "cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login form search pagination pager "
     "toolbar copyright legal disclaimer tags meta byline".split()
 )
-N_FEATURES = len(TAGS) + 24
+#: Buckets of hashed class, id and role tokens, beside the counts of the known ones above.
+TOKENS = 32
+N_FEATURES = len(TAGS) + 24 + TOKENS
 
 
 class Page:
@@ -193,7 +195,9 @@ class Page:
             hit_bad = sum(x in BAD for x in mine)
             good[i], bad[i] = good[p] + hit_good, bad[p] + hit_bad
             size, others = own[i], max(1, self.kids[p] - 1)
-            row[k:] = (
+            for x in mine:
+                row[k + 24 + zlib.crc32(x.encode()) % TOKENS] = 1
+            row[k : k + 24] = (
                 self.depth[i], math.log1p(size), link[i] / max(1, size), math.log1p(self.own[i]), stops[i] / max(1, size),
                 size / max(1, words[i]), nodes[i] / max(1, size), math.log1p(para[i]), math.log1p(items[i]), heads[i] > 0,
                 math.log1p(links[i]), min(inputs[i], 5), hit_good, hit_bad, good[p], bad[p], size / length, self.place[i] / length,
