@@ -10,7 +10,7 @@ from ..operators import vectors as V
 from ..session import prepared, scratch
 from ..sources import files as S
 from ..streaming import jobs as X
-from . import building, search
+from . import building, search, tables  # noqa: F401
 from .base import ORACLES, query, rounded
 from .fixtures import fx, oracle
 
@@ -43,16 +43,19 @@ def guarded_negatives(spark, d):
     return out.withColumn("negatives", F.array_join(F.transform("negatives", lambda x: x.cast("string")), " "))
 
 
-@query("padded_negatives")
+@query(
+    "padded_negatives",
+    oracle("fx_pairs", "SELECT seq, 'doc-' || seq AS positive, CAST(3 AS INTEGER) AS n, CAST(3 AS INTEGER) AS different, seq % 4 < 3 AS padded, false AS own FROM fx_pairs"),
+)
 def padded_negatives(spark, d):
-    """Rows-only: which documents are borrowed is a draw."""
+    """Which documents are borrowed is a draw; how many, and that none is the row's own, is not."""
     key = lambda c: F.concat(F.lit("doc-"), c.cast("string"))
     rows = fx(spark, d, "fx_pairs").select(
         "seq", key(F.col("seq")).alias("positive"),
         F.transform(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), 1, (F.col("seq") % 4).cast("int")), lambda i: key(F.col("seq") + i)).alias("negatives"),
     )
     out = N.padded(rows)
-    return out.select("seq", "positive", F.size("negatives").alias("n"), F.size(F.array_distinct("negatives")).alias("distinct"), "padded", F.array_contains("negatives", F.col("positive")).alias("own"))
+    return out.select("seq", "positive", F.size("negatives").alias("n"), F.size(F.array_distinct("negatives")).alias("different"), "padded", F.array_contains("negatives", F.col("positive")).alias("own"))
 
 
 @query(
@@ -122,11 +125,20 @@ def failed_generations(spark, d):
     return N.synthesized(fx(spark, d, "fx_corpus"), lines_of, 3, retries=1)[1]
 
 
-@query("embedded_documents")
+@query(
+    "embedded_documents",
+    oracle("fx_corpus", """b AS (SELECT doc_id, hex(encode(' ' || lower(text) || ' ')) AS x FROM fx_corpus),
+ t AS (SELECT doc_id, ('0x' || substr(x, 2 * i + 1, 6))::BIGINT * 2654435761 % 4294967296 AS h FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 2)) AS i FROM b)),
+ c AS (SELECT doc_id, (h // 256) % 64 AS slot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM t GROUP BY ALL),
+ s AS (SELECT doc_id, sqrt(sum(n * n)) AS size FROM c GROUP BY doc_id)
+ SELECT doc_id, CAST(64 AS INTEGER) AS dim, 1.0::DOUBLE AS norm, round(coalesce(sum(n) FILTER (slot = 0), 0) / any_value(size), 3) AS first, round(coalesce(sum(n) FILTER (slot = 63), 0) / any_value(size), 3) AS last
+ FROM c JOIN s USING (doc_id) GROUP BY doc_id"""),
+)
 def embedded_documents(spark, d):
-    """Rows-only: hashed trigrams of whole texts; the norm is 1 but for empty texts."""
+    """Hashed trigrams of whole texts."""
     rows = N.embedded(fx(spark, d, "fx_corpus").select("doc_id", "text"), N.hashed_encoder, 64)
-    return rounded(rows.select("doc_id", F.size("embedding").alias("dim"), V.norm(F.col("embedding")).alias("norm")), 3)
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return rounded(rows.select("doc_id", F.size("embedding").alias("dim"), V.norm(F.col("embedding")).alias("norm"), at(0).alias("first"), at(63).alias("last")), 3)
 
 
 @query("version_names", oracle("fx_runs", """SELECT DISTINCT 'site__' || lower(regexp_replace(config, '[^A-Za-z0-9]+', '-', 'g')) || '__' || (seed * 64) || 'd__' || fingerprint AS name,
@@ -153,9 +165,13 @@ def upserted_points(spark, d):
     return store.scan("v").select("seq", "label")
 
 
-@query("published_versions")
+@query(
+    "published_versions",
+    """SELECT 'site__model-' || m || '__64d__aaaa' AS name, count(*) AS points, CAST(64 AS INTEGER) AS dim, m = 'a' AS live, true AS dim_matches, m = 'a' AS model_matches, false AS written_again
+ FROM embeddings CROSS JOIN (VALUES ('a'), ('b')) AS t(m) GROUP BY m""",
+)
 def published_versions(spark, d):
-    """Rows-only: publish two versions, roll back, list the family."""
+    """Publish two versions, the second twice; roll back, list the family."""
     store, pts = V.VectorStore(spark, scratch(spark, "store")), points(spark, d)
     n = fx(spark, d, "embeddings").count()
     first, _ = store.publish("site", "Model A", 64, "aaaa", lambda: pts, n)
@@ -442,9 +458,16 @@ def stream_of(spark, d, df):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-@query("stream_clicklog")
+STREAMED = """keyed AS (SELECT f.*, e.ts, coalesce(nullif(f.session, ''), 'solo-' || f.seq) AS own FROM fx_searches f JOIN events e ON e.event_id = f.seq),
+gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY own ORDER BY ts, seq) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM keyed),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY own ORDER BY ts, seq) AS island FROM gaps),
+ended AS (SELECT own, island FROM islands GROUP BY ALL HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)),
+streamed AS (SELECT seq, own || '@' || island AS session, query FROM islands JOIN ended USING (own, island)), """
+
+
+@query("stream_clicklog", oracle(building.LOG_VIEWS, STREAMED + building.LOG.replace("FROM fx_searches", "FROM streamed") + " SELECT seq, CAST(kind AS INTEGER) AS kind, query, doc_id FROM labels"))
 def stream_clicklog(spark, d):
-    """Rows-only: sessions that the watermark closed. A test holds the stream against the batch."""
+    """Labels of the sessions that the watermark closed."""
     ts = fx(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
     rows = building.events(spark, d).join(ts, "seq").select("ts", "session", "seq", "query", "results", "clicks")
     return X.stream_labels(spark, stream_of(spark, d, rows)).select("seq", "kind", "query", "doc_id")
@@ -456,6 +479,16 @@ def stream_appended_pairs(spark, d):
     return X.stream_appended(spark, stream_of(spark, d, rows.filter("seq % 2 = 0")), rows.filter("seq % 10 = 1"))
 
 
+@query("stream_distinct_pairs", oracle("fx_records", "SELECT DISTINCT query, content FROM fx_records WHERE content IS NOT NULL"))
+def stream_distinct_pairs(spark, d):
+    """Equal pairs once within the watermark."""
+    ts = fx(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = fx(spark, d, "fx_records").filter("content IS NOT NULL").join(ts, "seq").select("ts", "query", "content")
+    path = scratch(spark, "distinct")
+    X.finished(X.deduplicated(stream_of(spark, d, rows)), path)
+    return spark.read.schema(rows.schema).parquet(path).select("query", "content")
+
+
 @query("stream_leaderboard", oracle("fx_runs", "SELECT config, count(*) AS n, round(avg(ndcg), 6) AS mean, round(max(ndcg), 6) AS best FROM fx_runs GROUP BY config"))
 def stream_leaderboard(spark, d):
     return rounded(X.stream_leaderboard(spark, stream_of(spark, d, fx(spark, d, "fx_runs").select("config", "ndcg"))))
@@ -467,9 +500,8 @@ def stream_vectors(spark, d):
     return X.stream_vectors(spark, stream_of(spark, d, docs)).select("content", "doc_id", F.size("embedding").alias("dim"))
 
 
-@query("stream_prune_verdicts")
+@query("stream_prune_verdicts", f"SELECT CAST(run_idx AS BIGINT) AS run_idx, CAST(epoch AS INTEGER) AS epoch, best, median, prune FROM ({ORACLES['prune_verdicts']}) WHERE run_idx = 7")
 def stream_prune_verdicts(spark, d):
-    """Rows-only here; a test holds it against the batch verdicts."""
     epochs = fx(spark, d, "fx_epochs")
     live = epochs.filter("status = 'running'").select(
         "run_idx", F.col("epoch").alias("line_no"),

@@ -26,9 +26,12 @@ def finished(stream: DataFrame, path: str, mode: str = "append") -> None:
 
 def closed_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Events (ts timestamp, session, seq, query, results, clicks) gathered by session window; a
-    session comes out when the watermark passes its end, events later than that are dropped."""
+    session comes out when the watermark passes its end, events later than that are dropped. An event
+    with a null or empty session is a session of its own."""
+    alone = F.concat(F.lit("\x00solo-"), F.col("seq").cast("string"))
     return (
-        events.withWatermark("ts", late)
+        events.withColumn("session", F.coalesce(F.nullif("session", F.lit("")), alone))
+        .withWatermark("ts", late)
         .groupBy("session", F.session_window("ts", gap).alias("window"))
         .agg(F.array_sort(F.collect_list(F.struct("seq", "query", "results", "clicks"))).alias("events"))
         .select(F.concat_ws("@", "session", F.col("window.start").cast("string")).alias("session"), "events")
