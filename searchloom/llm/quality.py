@@ -13,8 +13,8 @@ scored whole, where it lies, and nothing is shuffled.
 Edge cases. Null texts are empty; an empty text has one feature of its own. Labels that are null
 are not used; of several labels of a document the mean counts, half rounding up. Without labels of
 both classes every score is the share of label 1 (0.5 without labels). A null ``doc_id`` is not
-held out. Of several texts with one labelled id the first in order is learnt from; repeated rows
-are scored one by one. Words and texts may have any length. A score of exactly 0.5 is predicted 1.
+held out. Of several texts with one labelled id the one with the smallest hash is learnt from;
+repeated rows are scored one by one. Words and texts may have any length. A score of exactly 0.5 is predicted 1.
 An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -103,14 +103,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
         .limit(max_rows)
     )
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = _features(bits)
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The row with the smallest ``h`` of each document; a task meets ``max_rows`` at most."""
+        own, held = _features(bits), {}
         for batch in batches:
-            yield pd.DataFrame({"y": batch["y"], "features": [own.of(t).astype(np.int32) for t in batch["text"]]})
-
-    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
-    once = found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    return once.select("y", "text").mapInPandas(rows, "y int, features array<int>")
+            for doc, h, y, value in batch.itertuples(index=False):
+                if doc not in held or h < held[doc][0]:
+                    held[doc] = (h, y, own.of(value).astype(np.int32) if isinstance(value, str) else value)
+        yield pd.DataFrame([(doc, *x) for doc, x in held.items()], columns=["doc_id", "h", "y", "features"])
+
+    schema = "doc_id long, h long, y int, features array<int>"
+    found = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    each = found.select("doc_id", "h", "y", "text").mapInPandas(once, schema)
+    return each.repartition("doc_id").mapInPandas(once, schema).select("y", "features")
 
 
 def log_count_ratios(x: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
