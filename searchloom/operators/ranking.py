@@ -141,19 +141,43 @@ def guarded_negatives(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, n
     return top_k(found, n, by=["query_id", "own_doc"])
 
 
+def counted_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, doc_len, terms, tfs`` of lower-case texts: the terms of ``bigrams``, found as numbers
+    of two code points, with how often each occurs."""
+    for batch in batches:
+        found, counts, ends, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [0], []
+        for text in batch.column("text").to_pylist():
+            x = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+            ok = ((x >= 48) & (x <= 57)) | ((x >= 97) & (x <= 122)) | ((x >= 0xAC00) & (x <= 0xD7A3))
+            both = ok[:-1] & ok[1:]
+            alone = ok.copy()
+            alone[:-1] &= ~both
+            alone[1:] &= ~both
+            codes = np.concatenate(((x[:-1] << np.uint64(32) | x[1:])[both], (x << np.uint64(32))[alone]))
+            terms, n = np.unique(codes, return_counts=True)
+            found.append(terms)
+            counts.append(n)
+            ends.append(ends[-1] + len(terms))
+            lengths.append(len(codes))
+        distinct, at = np.unique(np.concatenate(found), return_inverse=True)
+        names = pa.array([chr(c >> 32) + (chr(c & 0xFFFFFFFF) if c & 0xFFFFFFFF else "") for c in distinct.tolist()], pa.string())
+        offsets = pa.array(ends, pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), pa.array(lengths, pa.int32()),
+                pa.ListArray.from_arrays(offsets, names.take(pa.array(at))),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(counts), pa.int32())),
+            ],
+            ["doc_id", "doc_len", "terms", "tfs"],
+        )
+
+
 def forward_index(corpus: DataFrame) -> DataFrame:
     """``doc_id, doc_len, terms, tfs`` of titled or untitled documents, a table: every text is cut
-    into terms once, whatever is asked of it later."""
-    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.col("text"))
-    terms = corpus.select("doc_id", bigrams(text).alias("terms"))
-    spread = terms.select("doc_id", F.explode("terms").alias("term"))
-    each = spread.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    lists = each.groupBy("doc_id").agg(
-        F.sum("tf").cast("int").alias("doc_len"), F.collect_list(F.struct("term", "tf")).alias("t")
-    )
-    found = lists.select("doc_id", "doc_len", F.col("t.term").alias("terms"), F.col("t.tf").alias("tfs"))
-    # documents without terms count in the mean length
-    return stored(corpus.select("doc_id").join(found, "doc_id", "left").withColumn("doc_len", F.coalesce("doc_len", F.lit(0))), "terms")
+    into terms once, where it lies, whatever is asked of it later."""
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+    schema = f"doc_id {dict(corpus.dtypes)['doc_id']}, doc_len int, terms array<string>, tfs array<int>"
+    return stored(corpus.select("doc_id", F.lower(text).alias("text")).mapInArrow(counted_terms, schema), "terms")
 
 
 def bm25_statistics(corpus: DataFrame | None, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -126,3 +126,16 @@ def test_ids(spark):
 
     row = spark.sql("SELECT 'https://a/b?c=1' AS u").select(T.uuid5(F.col("u")), T.slug(F.lit("--")), T.slug(F.lit("A/b 1")), T.topic(F.lit("q-3-1")), T.topic(F.lit("q-3")))
     assert list(row.first()) == [str(uuid.uuid5(uuid.NAMESPACE_URL, "https://a/b?c=1")), "model", "a-b-1", "3", None]
+
+
+def test_forward_index_has_the_terms_of_bigrams(spark):
+    from searchloom.functions.text import bigrams
+
+    texts = ["VPN 설치 a", "", None, "x", "ab1-한 é한국Z", "aaa  aa\U0001f600b", "İß 9", "a" * 50_000]
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").selectExpr("*", "CASE WHEN doc_id = 3 THEN 'T2' END AS title")
+    want = {}
+    whole = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
+    for r in corpus.select("doc_id", bigrams(whole).alias("terms")).collect():
+        want[r["doc_id"]] = (len(r["terms"]), {t: r["terms"].count(t) for t in set(r["terms"])})
+    got = {r["doc_id"]: (r["doc_len"], dict(zip(r["terms"], r["tfs"], strict=True))) for r in R.forward_index(corpus).collect()}
+    assert got == want
