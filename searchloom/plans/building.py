@@ -123,7 +123,7 @@ def known_negatives(spark, d):
     return I.known_negatives(rows, fx(spark, d, "fx_corpus")).select("seq", F.array_join("negatives", " ").alias("negatives"))
 
 
-TAKEN = "taken AS (SELECT CAST(event_id AS BIGINT) AS id FROM events WHERE event_id % 3 = 1 AND event_id < 3000)"
+TAKEN = "taken AS (SELECT CAST(event_id AS BIGINT) AS id FROM events WHERE event_id % 3 = 1)"
 NEWQ = f"""{TAKEN}, good AS (SELECT r.seq, trim(query) AS query, r.doc_id FROM fx_records r JOIN documents c ON r.doc_id = CAST(c.doc_id AS VARCHAR) WHERE trim(query) <> ''),
 firsts AS (SELECT min(seq) AS seq, arg_min(query, seq) AS text FROM good GROUP BY lower(query)),
 nums AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM firsts),
@@ -132,7 +132,7 @@ newq AS (SELECT concat('q-user-', id) AS query_id, text, seq FROM nums JOIN free
 
 
 def taken_ids(spark, d):
-    return fx(spark, d, "events").filter("event_id % 3 = 1 AND event_id < 3000").select(F.concat(F.lit("q-user-"), F.col("event_id")).alias("query_id"))
+    return fx(spark, d, "events").filter("event_id % 3 = 1").select(F.concat(F.lit("q-user-"), F.col("event_id")).alias("query_id"))
 
 
 @query("new_query_ids", oracle("fx_records", NEWQ + " SELECT query_id, text, seq FROM newq"))
