@@ -110,7 +110,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
             for doc, h, y, value in batch.itertuples(index=False):
                 if doc not in held or h < held[doc][0]:
                     held[doc] = (h, y, own.of(value).astype(np.int32) if isinstance(value, str) else value)
-        yield pd.DataFrame([(doc, *x) for doc, x in held.items()], columns=["doc_id", "h", "y", "features"])
+        if held:
+            yield pd.DataFrame([(doc, *x) for doc, x in held.items()], columns=["doc_id", "h", "y", "features"])
 
     schema = "doc_id long, h long, y int, features array<int>"
     found = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
