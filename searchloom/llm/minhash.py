@@ -31,14 +31,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_one, materialize, read, small_batches, text_of
+from .common import held, keep_one, materialize, read, small_batches, text_of
 from .components import connected_components
 
 SIDE, ROWS = 20, 4
@@ -97,9 +96,8 @@ class Shingler:
         return out
 
 
-@lru_cache(maxsize=2)
 def _shingler(words: int) -> Shingler:
-    return Shingler(words)
+    return held(("shingler", words), lambda: Shingler(words))
 
 
 def bands(sketch: np.ndarray) -> np.ndarray:

@@ -22,7 +22,6 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from math import isqrt
 
 import numpy as np
@@ -30,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small_batches, text_of
+from .common import held, materialize, read, small_batches, text_of
 
 CAPACITY, END_ID = 4096, 1
 #: Length classes over the capacity, and documents in a pattern at most. The plan with the fewest
@@ -132,9 +131,8 @@ class WordTokenizer:
         return [b"".join([known[w] for w in ws]) for ws in split]
 
 
-@lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return held(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:

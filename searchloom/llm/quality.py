@@ -23,14 +23,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small_batches, text_of
+from .common import held, materialize, read, small_batches, text_of
 
 #: Hashed features, labelled rows in a fit at most, words whose hashes a worker keeps.
 BITS, MAX_ROWS, CACHED = 18, 4_000, 150_000
@@ -83,9 +82,8 @@ class Features:
         return np.unique(np.concatenate(grams)).astype(np.int64)
 
 
-@lru_cache(maxsize=2)
 def _features(bits: int) -> Features:
-    return Features(bits)
+    return held(("features", bits), lambda: Features(bits))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -105,13 +103,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The row with the smallest ``h`` of each document; a task meets ``max_rows`` at most."""
-        own, held = _features(bits), {}
+        own, best = _features(bits), {}
         for batch in batches:
             for doc, h, y, value in batch.itertuples(index=False):
-                if doc not in held or h < held[doc][0]:
-                    held[doc] = (h, y, own.of(value).astype(np.int32) if isinstance(value, str) else value)
-        if held:
-            yield pd.DataFrame([(doc, *x) for doc, x in held.items()], columns=["doc_id", "h", "y", "features"])
+                if doc not in best or h < best[doc][0]:
+                    best[doc] = (h, y, own.of(value).astype(np.int32) if isinstance(value, str) else value)
+        if best:
+            yield pd.DataFrame([(doc, *x) for doc, x in best.items()], columns=["doc_id", "h", "y", "features"])
 
     schema = "doc_id long, h long, y int, features array<int>"
     found = docs.select("doc_id", F.xxhash64(text_of()).alias("h"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
