@@ -45,11 +45,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage, fixes generated ids, and leaves a table that survives the loss of
     executors.
     """
-    path = fresh_path(df.sparkSession, name)
+    return stored_at(df, fresh_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table from which all that is still needed has been written elsewhere."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _HELD: dict[tuple, Any] = {}
 
 
