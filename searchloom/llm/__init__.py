@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, conversation_repair, decontam, exact_dedup, html_text, minhash, packing, pii, quality, secret_scan, vector_codes, warc
+from . import chat, conversation_repair, decontam, exact_dedup, html_text, minhash, neighbours, packing, pii, quality, secret_scan, vector_codes, warc
 
 #: Registered queries, and SQL that gives the same rows where SQL can express them.
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_tool_call_linking": chat.op9_tool_call_linking,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_neighbours": neighbours.op11_neighbours,
     "op12_vector_codes": vector_codes.op12_vector_codes,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }

@@ -57,3 +57,11 @@ def test_odd_rows(spark, tmp_path):
         packed = corpus_pipeline.STAGES[4][1](spark, now, d)
         pieces = packed.filter("piece = 0").select("doc_id")
         assert pieces.exceptAll(now.select("doc_id")).count() == 0 and pieces.count() == now.count()
+
+
+def test_all_operators_are_registered():
+    """An import that fails inside the subpackage must not pass for its absence."""
+    import __spark_entry__
+
+    numbers = {int(n[2:].split("_")[0]) for n in __spark_entry__.queries() if n.startswith("op")}
+    assert numbers == set(range(1, 14)) and "pipeline" in __spark_entry__.queries()
