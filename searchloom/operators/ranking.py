@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,80 +27,122 @@ def top_k(scored: DataFrame, k: int | Column, by: list[str] | None = None) -> Da
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of queries in blocks of bounded size, each in its turn."""
-    rows = queries.count()
-    first = queries.select(F.size("embedding")).first()
-    blocks = max(1, -(-rows * 8 * (first[0] if first else 1) // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    for n in range(blocks):
-        own = queries.filter(block == n).select("query_id", "embedding").toPandas()
-        if len(own):
-            x = np.stack(own["embedding"].to_list()).astype(np.float64)
-            yield own["query_id"].to_numpy(), x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+def unit_rows(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of length one."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0))
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
 
 
-def _per_block(queries: DataFrame, corpus: DataFrame, rows_of, schema: str) -> DataFrame:
-    """Run ``rows_of(ids, vectors, doc ids, unit doc vectors)`` on each batch of documents, in tiles
-    of so many that a block's scores of them stay within ``TILE_BYTES``."""
-    out = None
-    for ids, vectors in _query_blocks(queries):
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
+#: Of a block of queries, their unit vectors, ids and unit vectors of documents: rows of a result.
+Kernel = Callable[[pa.Table, np.ndarray, pa.Array, np.ndarray], pa.Table]
+
+
+def _tiles(kernel: Kernel, queries: pa.Table, q: np.ndarray, docs: pa.Table | pa.RecordBatch) -> Iterator[pa.Table]:
+    """The kernel's rows, tile by tile of so many documents that the scores stay within ``TILE_BYTES``."""
+    x, ids = unit_rows(docs.column("embedding")), docs.column("doc_id")
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    step = max(1, TILE_BYTES // (8 * max(1, len(q))))
+    for at in range(0, len(x) if len(q) else 0, step):
+        yield kernel(queries, q, ids.slice(at, step), x[at : at + step])
+
 
-        def kernel(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, vectors = shared.value
+def meeting(queries: DataFrame, corpus: DataFrame, kernel: Kernel, schema: str, block: int = BLOCK_BYTES) -> DataFrame:
+    """``kernel``'s rows for every query (query_id, embedding, ...) and document (doc_id, embedding).
+
+    Queries that fit in one block are broadcast, and documents are scored where they lie. More of them
+    are dealt over a grid: each query goes to one row of cells and each document to one column, a
+    cell is a group of both in Arrow, and neither side passes through the driver. Of ``r`` query
+    blocks and ``c`` document blocks, queries are sent ``c`` times and documents ``r`` times.
+    """
+    spark = corpus.sparkSession
+    docs = corpus.select("doc_id", "embedding")
+    first = queries.select(F.size("embedding")).first()
+    width = 8 * max(1, first[0] if first else 1)
+    rows = -(-queries.count() * width // block)
+    if rows <= 1:
+        shared = spark.sparkContext.broadcast(queries.toArrow())
+
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            q = unit_rows(own.column("embedding"))
             for batch in batches:
-                if len(batch):
-                    x = np.stack(batch["embedding"].to_list()).astype(np.float64)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-                    docs, step = batch["doc_id"].to_numpy(), max(1, TILE_BYTES // (8 * len(ids)))
-                    for at in range(0, len(x), step):
-                        yield rows_of(ids, vectors, docs[at : at + step], x[at : at + step])
-
-        found = corpus.select("doc_id", "embedding").mapInPandas(kernel, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], schema)
-    return out
+                for found in _tiles(kernel, own, q, batch):
+                    yield from found.to_batches()
+
+        return docs.mapInArrow(scored, schema)
+    columns = max(1, -(-docs.count() * width // block))
 
+    def dealt(df: DataFrame, key: str, own: int, others: int, cell: Callable[[Column, Column], Column]) -> DataFrame:
+        # the running number keeps rows of one id from one block
+        place = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(own))
+        spread = df.withColumn("__own", place).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return spread.withColumn("cell", cell(F.col("__own"), F.col("__other"))).drop("__own", "__other")
 
-def _types(queries: DataFrame, corpus: DataFrame) -> str:
-    return f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(corpus.dtypes)['doc_id']}"
+    left = dealt(queries, "query_id", rows, columns, lambda own, other: own * columns + other)
+    right = dealt(docs, "doc_id", columns, rows, lambda own, other: other * columns + own)
 
+    def met(own: pa.Table, others: pa.Table) -> pa.Table:
+        found = list(_tiles(kernel, own, unit_rows(own.column("embedding")), others))
+        return pa.concat_tables(found) if found else kernel(own.slice(0, 0), np.zeros((0, 1)), others.column("doc_id").combine_chunks().slice(0, 0), np.zeros((0, 1)))
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k. Queries come in blocks of bounded size; a batch of documents keeps the
-    best ``k`` of each query before anything is shuffled."""
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(met, schema)
 
-    def best(ids, q, docs, x) -> pd.DataFrame:
+
+def _type(df: DataFrame, column: str) -> str:
+    return f"{column} {dict(df.dtypes)[column]}"
+
+
+def _above(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each row's ``k`` largest scores; ties stay for the final order."""
+    if not scores.size:
+        return np.zeros(0, int), np.zeros(0, int)
+    n = min(k, scores.shape[1])
+    floor = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+    return np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+
+
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK_BYTES) -> DataFrame:
+    """Exact cosine top-k. A batch or cell of documents keeps the best ``k`` of each query, and what is
+    kept is merged the same way: the best ``k`` of best ``k`` are those of all."""
+
+    def best(own: pa.Table, q: np.ndarray, docs: pa.Array, x: np.ndarray) -> pa.Table:
         scores = q @ x.T
-        n = min(k, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-        row, col = np.nonzero(scores >= floor[:, None])  # ties stay for the final order
-        return pd.DataFrame({"query_id": ids[row], "doc_id": docs[col], "score": scores[row, col]})
+        row, col = _above(scores, k)
+        return pa.table({"query_id": own.column("query_id").combine_chunks().take(pa.array(row)), "doc_id": docs.take(pa.array(col)), "score": scores[row, col]})
 
-    return top_k(_per_block(queries, corpus, best, _types(queries, corpus) + ", score double"), k)
+    asked = queries.select("query_id", "embedding")
+    return top_k(meeting(asked, corpus, best, f"{_type(queries, 'query_id')}, {_type(corpus, 'doc_id')}, score double", block), k)
 
 
-def own_rank(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def _with_own(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """A row for each pair: ``query_id, own_doc, own_score, embedding``."""
+    return queries.select("query_id", "embedding").join(_own_scores(pairs, queries, corpus).withColumnRenamed("doc_id", "own_doc"), "query_id")
+
+
+def _own(own: pa.Table, docs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own scores and own documents as columns, documents as a row."""
+    plain = lambda a: a.to_numpy(zero_copy_only=False)[:, None]
+    return plain(own.column("own_score").combine_chunks()), plain(own.column("own_doc").combine_chunks()), docs.to_numpy(zero_copy_only=False)[None, :]
+
+
+def own_rank(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """``query_id, doc_id, own_score, own_rank`` of each pair: one and the number of documents
     that score higher, or as high with a smaller id. A kernel counts; counts are summed."""
-    own = _own_scores(pairs, queries, corpus)
-    held = queries.join(own, "query_id").select(
-        F.struct("query_id", F.col("doc_id").alias("own_doc"), "own_score").alias("query_id"), "embedding"
-    )
 
-    def count(ids, q, docs, x) -> pd.DataFrame:
+    def count(own: pa.Table, q: np.ndarray, docs: pa.Array, x: np.ndarray) -> pa.Table:
         scores = q @ x.T
-        own = np.array([i["own_score"] for i in ids])[:, None]
-        mine = np.array([i["own_doc"] for i in ids])[:, None]
-        near = np.abs(scores - own) < 1e-12
-        ahead = ((scores > own) & ~near) | (near & (docs[None, :] < mine))
-        ahead &= docs[None, :] != mine
-        return pd.DataFrame({"query_id": [i["query_id"] for i in ids], "doc_id": mine[:, 0], "own_score": own[:, 0], "ahead": ahead.sum(axis=1)})
+        score, mine, ids = _own(own, docs)
+        near = np.abs(scores - score) < 1e-12
+        ahead = ((scores > score) & ~near) | (near & (ids < mine))
+        ahead &= ids != mine
+        return own.select(["query_id", "own_doc", "own_score"]).append_column("ahead", pa.array(ahead.sum(axis=1).astype(np.int64)))
 
-    counted = _per_block(held, corpus, count, _types(queries, corpus) + ", own_score double, ahead long")
-    return counted.groupBy("query_id", "doc_id", "own_score").agg((F.sum("ahead") + 1).alias("own_rank"))
+    schema = f"{_type(queries, 'query_id')}, own_doc {dict(corpus.dtypes)['doc_id']}, own_score double, ahead long"
+    counted = meeting(_with_own(pairs, queries, corpus), corpus, count, schema, block)
+    return counted.groupBy("query_id", F.col("own_doc").alias("doc_id"), "own_score").agg((F.sum("ahead") + 1).alias("own_rank"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -116,28 +158,22 @@ def _own_scores(pairs: DataFrame, queries: DataFrame, corpus: DataFrame) -> Data
     return both.select("query_id", "doc_id", dot(F.col("q"), F.col("d")).alias("own_score"))
 
 
-def guarded_negatives(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, n: int, margin: float = 0.05) -> DataFrame:
+def guarded_negatives(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, n: int, margin: float = 0.05, block: int = BLOCK_BYTES) -> DataFrame:
     """The ``n`` most similar other documents of each pair that stay below a share of the pair's
     own score, so that unlabelled positives are not taken for negatives."""
-    own = _own_scores(pairs, queries, corpus)
-    held = queries.join(own, "query_id").select(
-        F.struct("query_id", F.col("doc_id").alias("own_doc"), "own_score").alias("query_id"), "embedding"
-    )
 
-    def below(ids, q, docs, x) -> pd.DataFrame:
+    def below(own: pa.Table, q: np.ndarray, docs: pa.Array, x: np.ndarray) -> pa.Table:
         scores = q @ x.T
-        own = np.array([i["own_score"] for i in ids])[:, None]
-        ceiling = np.where(own > 0, own * (1 - margin), own)
-        scores = np.where((scores <= ceiling) & (docs[None, :] != np.array([i["own_doc"] for i in ids])[:, None]), scores, -np.inf)
-        m = min(n, scores.shape[1])
-        floor = np.partition(scores, scores.shape[1] - m, axis=1)[:, scores.shape[1] - m]
-        row, col = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-        return pd.DataFrame(
-            {"query_id": [ids[r]["query_id"] for r in row], "own_doc": [ids[r]["own_doc"] for r in row], "doc_id": docs[col], "score": scores[row, col]}
-        )
+        score, mine, ids = _own(own, docs)
+        ceiling = np.where(score > 0, score * (1 - margin), score)
+        row, col = _above(np.where((scores <= ceiling) & (ids != mine), scores, -np.inf), n)
+        at = pa.array(row)
+        named = [own.column(c).combine_chunks().take(at) for c in ("query_id", "own_doc")]
+        return pa.table([*named, docs.take(pa.array(col)), pa.array(scores[row, col])], ["query_id", "own_doc", "doc_id", "score"])
 
     doc = dict(corpus.dtypes)["doc_id"]
-    found = _per_block(held, corpus, below, f"query_id {dict(queries.dtypes)['query_id']}, own_doc {doc}, doc_id {doc}, score double")
+    schema = f"{_type(queries, 'query_id')}, own_doc {doc}, doc_id {doc}, score double"
+    found = meeting(_with_own(pairs, queries, corpus), corpus, below, schema, block)
     return top_k(found, n, by=["query_id", "own_doc"])
 
 

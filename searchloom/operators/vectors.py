@@ -9,22 +9,16 @@ is being written or has been left unfinished.
 from __future__ import annotations
 
 import re
-from math import isqrt
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import norm, shortened, unit
+from ..functions.text import norm, shortened
+from ..session import scratch
+from .cells import CellIndex
 from .ingest import first_by, hits_to_ids
 from .metrics import means, per_query
-from .ranking import _per_block as per_block
-from .ranking import _types as pair_types
-from .ranking import dense_top_k, dot, top_k
-
-#: Queries that a batch of documents is scored with at once, rows that cells are fitted on at most.
-QUERIES, FIT_ROWS = 1024, 100_000
+from .ranking import dense_top_k, dot
 
 
 def version_name(prefix: str, model: str, dim: int, fingerprint: str | None) -> str:
@@ -150,50 +144,10 @@ def parity(a: DataFrame, b: DataFrame, floor: float = 0.999) -> DataFrame:
     return both.select("key", cosine.alias("cosine")).withColumn("agrees", F.col("cosine") >= floor)
 
 
-def cells(vectors: DataFrame, k: int, seed: int = 1):
-    """A fitted ``KMeans`` over vectors, and a function that adds ``cell``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    prepared = lambda df: df.withColumn("__v", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cell", maxIter=10).fit(prepared(vectors))
-    return model, lambda df: model.transform(prepared(df)).drop("__v")
-
-
 def approximate_top_k(queries: DataFrame, corpus: DataFrame, k: int, n_cells: int | None = None, probed: float = 0.75) -> DataFrame:
-    """Cosine top-k within the nearest cells of each query, a share ``probed`` of them.
-
-    There are as many cells as a cell has vectors, unless ``n_cells`` says otherwise. They are fitted
-    on unit vectors, as the score is a cosine, of at most ``FIT_ROWS`` rows, those with the smallest
-    hashes; every row is assigned to its cell and searched. Queries come in blocks of bounded
-    size with the cell centres; a batch of documents meets, cell by cell, the queries that probe
-    the cell, and keeps the best ``k`` of each query before anything is shuffled. A test holds the
-    recall against ``dense_top_k``.
-    """
-    count = n_cells or max(16, isqrt(corpus.count()))
-    probes = max(1, round(probed * count))
-    some = corpus.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    model, _ = cells(some.select(unit(F.col("embedding")).alias("embedding")), count)
-    centres = np.array(model.clusterCenters())
-
-    def nearest(x: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort((centres**2).sum(axis=1) - 2 * x @ centres.T, axis=1, kind="stable")[:, :n]
-
-    def best(ids, q, docs, x) -> pd.DataFrame:
-        own, out = nearest(x, 1)[:, 0], []
-        for at in range(0, len(q), QUERIES):
-            part = q[at : at + QUERIES]
-            asked, scores = nearest(part, probes), np.full((len(part), len(x)), -np.inf)
-            for cell in np.unique(own):
-                rows, cols = np.flatnonzero((asked == cell).any(axis=1)), np.flatnonzero(own == cell)
-                scores[np.ix_(rows, cols)] = part[rows] @ x[cols].T
-            n = min(k, len(x))
-            floor = np.partition(scores, len(x) - n, axis=1)[:, len(x) - n]
-            row, col = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-            out.append(pd.DataFrame({"query_id": ids[at + row], "doc_id": docs[col], "score": scores[row, col]}))
-        return pd.concat(out)
-
-    return top_k(per_block(queries, corpus, best, pair_types(queries, corpus) + ", score double"), k)
+    """Cosine top-k within the nearest cells of each query, a share ``probed`` of them, of a corpus that
+    is indexed for this search alone. An index that serves many searches is a ``CellIndex``."""
+    return CellIndex.write(corpus, scratch(corpus.sparkSession, "cells"), n_cells).search(queries, k, probed)
 
 
 def approximation_loss(exact: DataFrame, approximate: DataFrame, qrels: DataFrame) -> DataFrame:

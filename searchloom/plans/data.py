@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 from ..functions.text import uuid5
 from ..operators import mining as N
 from ..operators import vectors as V
+from ..operators.cells import recall_by_share
 from ..session import prepared, scratch
 from ..sources import files as S
 from ..streaming import jobs as X
 from . import building, search, tables  # noqa: F401
 from .base import ORACLES, query, rounded
 from .fixtures import fx, oracle
+from .indexes import cell_index, posting_index
 
+#: Share of the cells that a search probes; these vectors have hardly any clusters (``probe_recall``).
+PROBED = 0.75
 VEC = "fx_vec_queries fx_vec_corpus fx_vec_pairs"
 SIMS = """sims AS (SELECT q.query_id, d.doc_id, list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS s FROM fx_vec_queries q CROSS JOIN fx_vec_corpus d),
 own AS (SELECT p.query_id, p.doc_id, s AS own FROM fx_vec_pairs p JOIN sims USING (query_id, doc_id))"""
@@ -191,22 +195,31 @@ def vector_parity(spark, d):
 @query("approximate_top_k")
 def approximate_top_k(spark, d):
     """Rows-only: what the cells leave out depends on their fit."""
-    return rounded(V.approximate_top_k(fx(spark, d, "fx_vec_queries"), fx(spark, d, "fx_vec_corpus"), 10))
+    return rounded(cell_index(spark, d).search(fx(spark, d, "fx_vec_queries"), 10, PROBED))
+
+
+@query("exact_by_cells", oracle(search.VEC, search.dense_sql("run", 64, 10) + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM run"))
+def exact_by_cells(spark, d):
+    """All cells of the same index."""
+    return rounded(cell_index(spark, d).search(fx(spark, d, "fx_vec_queries"), 10, 1.0))
 
 
 @query("approximation_loss")
 def approximation_loss(spark, d):
     exact = search.dense(spark, d, 64, 10)
-    near = V.approximate_top_k(fx(spark, d, "fx_vec_queries"), fx(spark, d, "fx_vec_corpus"), 10)
+    near = cell_index(spark, d).search(fx(spark, d, "fx_vec_queries"), 10, PROBED)
     return rounded(V.approximation_loss(exact, near, fx(spark, d, "fx_vec_qrels")))
 
 
+@query("probe_recall")
+def probe_recall(spark, d):
+    """What each share of the cells finds, and how many vectors it meets."""
+    return rounded(recall_by_share(cell_index(spark, d), fx(spark, d, "fx_vec_queries"), search.dense(spark, d, 64, 10), 10, (0.05, 0.1, 0.25, 0.5, PROBED, 1.0)))
+
+
 @query("judging_list", oracle("fx_queries fx_corpus", search.BM25 + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…' ELSE text END AS text FROM bm25 JOIN fx_corpus USING (doc_id)"))
 def judging_list(spark, d):
-    from ..operators.ranking import bm25_top_k
-
-    corpus = fx(spark, d, "fx_corpus")
-    return rounded(V.judging_list(bm25_top_k(fx(spark, d, "fx_queries"), corpus, 10), corpus))
+    return rounded(V.judging_list(posting_index(spark, d).search(fx(spark, d, "fx_queries"), 10), fx(spark, d, "fx_corpus")))
 
 
 @query(

@@ -11,6 +11,7 @@ from ..operators import metrics as M
 from ..operators import ranking as R
 from .base import query, rounded
 from .fixtures import fx, oracle
+from .indexes import posting_index
 
 TOKENS = """list_transform(regexp_extract_all(lower({}), '[0-9a-z가-힣]+'), lambda r: CASE WHEN length(r) < 2 THEN [r]
  ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END)"""
@@ -88,12 +89,12 @@ def bigram_tokens(spark, d):
 
 @query("bm25_statistics", oracle("fx_corpus", POSTINGS + " SELECT term, df, round(idf, 6) AS idf FROM idf"))
 def bm25_statistics(spark, d):
-    return rounded(R.bm25_statistics(fx(spark, d, "fx_corpus"))[0])
+    return rounded(posting_index(spark, d).statistics())
 
 
 @query("bm25_top_k", oracle("fx_queries fx_corpus", BM25 + " SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm25"))
 def bm25_top_k(spark, d):
-    return rounded(R.bm25_top_k(fx(spark, d, "fx_queries"), fx(spark, d, "fx_corpus"), 10))
+    return rounded(posting_index(spark, d).search(fx(spark, d, "fx_queries"), 10))
 
 
 @query(
@@ -104,7 +105,7 @@ def bm25_top_k(spark, d):
 def bm25_evaluation(spark, d):
     qrels, queries = fx(spark, d, "fx_qrels"), fx(spark, d, "fx_queries")
     judged = M.restricted(queries, qrels)
-    ranked = R.bm25_top_k(judged, fx(spark, d, "fx_corpus"), 10)
+    ranked = posting_index(spark, d).search(judged, 10)
     return rounded(M.means(M.per_query(ranked, qrels, judged)))
 
 
