@@ -10,6 +10,7 @@ from ..operators import vectors as V
 from ..operators.cells import recall_by_share
 from ..session import prepared, scratch
 from ..sources import files as S
+from ..sources.lines import refiled
 from ..streaming import jobs as X
 from . import building, search, tables  # noqa: F401
 from .base import ORACLES, query, rounded
@@ -268,7 +269,7 @@ def qrels_scan(spark, d):
     o = F.col("o_orderkey")
     gain = F.when(o % 9 == 0, "score").otherwise((o % 3).cast("string"))
     lines = fx(spark, d, "orders").select(o.alias("line_no"), F.concat_ws("\t", F.col("o_custkey") % 50, o % 20, gain).alias("value"))
-    return S.qrels(lines)
+    return S.qrels(refiled(lines))
 
 
 TREC = """l AS (SELECT o_orderkey AS n, 'q' || (o_custkey % 30) AS q, 'd' || (o_orderkey % 40) AS d, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 100 END AS g FROM orders)"""
@@ -283,7 +284,7 @@ def trec_lines(spark, d):
 
 @query("trec_ranking", oracle("", TREC + ", b AS (SELECT q, d, min(g * 1000000000 + n) AS place FROM l WHERE g IS NOT NULL GROUP BY q, d) SELECT q AS query_id, d AS doc_id, CAST(row_number() OVER (PARTITION BY q ORDER BY place) AS INTEGER) AS rank FROM b"))
 def trec_ranking(spark, d):
-    return S.trec_run(trec_lines(spark, d))[0]
+    return S.trec_run(refiled(trec_lines(spark, d)))[0]
 
 
 @query("trec_errors", oracle("", TREC + " SELECT n AS line_no FROM l WHERE g IS NULL"))
@@ -310,10 +311,13 @@ def log_errors_json(spark, d):
 
 
 def csv_lines(spark, d, head: str | None):
-    """Records as CSV: quoted cells, some over two lines, some without a query, some without anything."""
+    """Records as CSV: quoted cells, some over two lines, some with a quote inside, some without a query,
+    some without anything."""
     n, q = F.col("seq") % 13, F.coalesce(F.col("query"), F.lit(""))
     row = F.concat(F.lit('" '), q, F.lit('"" said"  , '), F.coalesce("doc_id", F.lit("")), F.lit(" "))
-    first = F.when(n == 5, " ,nothing").when(n == 6, ' ," "').when(n == 7, F.concat(F.lit('"two,'), q)).otherwise(row)
+    first = F.when(n == 5, " ,nothing").when(n == 6, ' ," "').when(n == 7, F.concat(F.lit('"two,'), q)).when(
+        n == 9, F.concat(F.lit('5" '), q, F.lit(',"d"9" ,more'))
+    ).otherwise(row)
     lines = fx(spark, d, "fx_records").select((F.col("seq") * 2).alias("line_no"), first.alias("value"))
     more = fx(spark, d, "fx_records").filter("seq % 13 = 7").select((F.col("seq") * 2 + 1).alias("line_no"), F.lit('lines",d7').alias("value"))
     lines = lines.unionByName(more)
@@ -323,8 +327,8 @@ def csv_lines(spark, d, head: str | None):
 
 
 def csv_sql(where: str) -> str:
-    return oracle("fx_records", f"""SELECT seq * 2 AS line_no, CASE WHEN seq % 13 = 7 THEN trim('two,' || query || chr(10) || 'lines') ELSE trim(' ' || query || '" said') END AS query,
- CASE WHEN seq % 13 = 7 THEN 'd7' ELSE coalesce(doc_id, '') END AS doc_id FROM fx_records WHERE {where}""")
+    return oracle("fx_records", f"""SELECT seq * 2 AS line_no, CASE WHEN seq % 13 = 7 THEN trim('two,' || query || chr(10) || 'lines') WHEN seq % 13 = 9 THEN trim('5" ' || query) ELSE trim(' ' || query || '" said') END AS query,
+ CASE WHEN seq % 13 = 7 THEN 'd7' WHEN seq % 13 = 9 THEN 'd9"' ELSE coalesce(doc_id, '') END AS doc_id FROM fx_records WHERE {where}""")
 
 
 @query("log_records_csv", csv_sql("seq % 13 NOT IN (5, 6)"))
@@ -422,7 +426,7 @@ def training_log(spark, d):
 
 @query("loss_points", oracle("", "l AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS step FROM events WHERE event_id % 5 = 0 AND event_id NOT IN (4, 400)) SELECT CAST(step AS INTEGER) AS step, round(CASE WHEN event_id % 3 = 0 THEN step ELSE event_id / 100 END, 6)::DOUBLE AS epoch, round(value, 6) AS loss FROM l"))
 def loss_points(spark, d):
-    return rounded(S.loss_points(training_log(spark, d)))
+    return rounded(S.loss_points(refiled(training_log(spark, d))))
 
 
 @query("epoch_points", "SELECT event_id AS line_no, CAST(event_id % 9 + 1 AS INTEGER) AS epoch, CAST(12 AS INTEGER) AS max_epochs, CASE WHEN event_id % 20 <> 1 THEN round(value, 6) END AS eval_loss, round(value / 500, 6) AS ndcg, CAST(3 AS INTEGER) AS best_epoch FROM events WHERE event_id % 5 = 1")
@@ -433,7 +437,7 @@ def epoch_points(spark, d):
 @query("log_outcome", oracle("", """s AS (SELECT event_id AS n, CASE WHEN event_id % 5 = 2 THEN round(value / 500, 4) ELSE value / 500 END AS ndcg FROM events WHERE event_id % 5 IN (1, 2))
  SELECT (SELECT round(arg_min(ndcg, n), 6) FROM s WHERE n > 4 AND n < 400) AS before, (SELECT round(arg_max(ndcg, n), 6) FROM s WHERE n > 400) AS after"""))
 def log_outcome(spark, d):
-    return rounded(S.log_outcome(training_log(spark, d)).select("before", "after"))
+    return rounded(S.log_outcome(refiled(training_log(spark, d))).select("before", "after"))
 
 
 @query("failure_kinds", oracle("", """t AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),

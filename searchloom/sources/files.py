@@ -3,14 +3,14 @@ so any file system that Spark knows will do."""
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ingest import first_by
 from ..functions.text import stripped
-from ..operators.ordering import carried, numbered, summed_before
+from ..operators.ordering import carried, numbered
+from ..session import stored
+from .lines import csv_cells, csv_records
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -22,12 +22,6 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, line_no, value``: numbers count within a file and follow its order."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"), "value")
-    return lines.select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("line_no"), "value")
-
-
 def corpus(records: DataFrame) -> DataFrame:
     """``doc_id, title, text`` of records (_id, title, text, seq); the last row of an id stays."""
     last = first_by(records, ["_id"], F.desc("seq"))
@@ -71,23 +65,14 @@ SAMPLE_IDS = ("distractor-", "gold-")
 RECORD = "query string, doc_id string, title string, content string"
 
 
-def csv_records(lines: DataFrame) -> DataFrame:
-    """``line_no, value`` of CSV records: lines (line_no, value) within quotes belong to the record
-    before, so a record has the number of its first line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    open_ = summed_before(lines, "__open", quotes.cast("bigint")).withColumn("__first", F.when(F.col("__open") % 2 == 0, F.col("line_no")))
-    held = carried(open_, "__record", F.col("__first"))
-    whole = held.groupBy(F.col("__record").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("__l"))
-    return whole.select("line_no", F.array_join(F.transform("__l", lambda x: x["value"]), "\n").alias("value"))
-
-
 def log_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, bad lines) of search records as JSON lines or CSV (line_no, value).
 
     The first line that is not blank tells the format: ``{`` begins JSON, whose records are objects
     with any fields; a CSV header names ``query``, else the columns are query, doc_id, title,
     content, as far as the first record goes. CSV cells lose the white space around them, may be
-    quoted and hold line ends; a record without a query is bad, one without anything is none.
+    quoted and hold line ends; a record without a query is bad, and so is one that is no CSV or
+    whose quote is not closed within a bound of characters; one without anything is none.
     """
     some = lines.filter(stripped(F.col("value")) != "")
     first = some.orderBy("line_no").select("line_no", "value").first()
@@ -101,18 +86,17 @@ def log_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         good = F.col("r").isNotNull() & F.col("r._bad").isNull() & F.coalesce(one, F.lit(False)) & F.ltrim("value").startswith("{")
         fields = [F.col(f"r.{c}").alias(c) for c in names]
         return parsed.filter(good).select("line_no", *fields), parsed.filter(~good).select("line_no", "value")
-    records = csv_records(lines).filter(stripped(F.col("value")) != "")
-    head = next(csv.reader(records.orderBy("line_no").select("value").first()[0].splitlines(keepends=True)))
+    records = stored(csv_cells(csv_records(lines).filter(stripped(F.col("value")) != "")), "cells")
+    head = records.orderBy("line_no").select("cells").first()[0] or []
     header = [x.strip().lower() for x in head]
     titled = "query" in header
     cols = header if titled else names[: len(head)]
-    schema = ", ".join(f"c{i} string" for i in range(len(cols)))
     rows = records.filter(F.col("line_no") != first["line_no"]) if titled else records
-    parsed = rows.withColumn("c", F.from_csv("value", schema, {"escape": '"', "multiLine": "true"}))
-    cells = {c: stripped(F.coalesce(F.col(f"c.c{i}"), F.lit(""))) for i, c in enumerate(cols)}
+    cells = {c: stripped(F.coalesce(F.get("cells", F.lit(i)), F.lit(""))) for i, c in enumerate(cols)}
     fields = [cells.get(c, F.lit(None).cast("string")).alias(c) for c in names]
-    parsed = parsed.select("line_no", "value", *fields, F.concat_ws("", *cells.values()).alias("__all")).filter("__all <> ''")
-    bad = F.coalesce("query", F.lit("")) == ""
+    some = F.col("cells").isNull() | F.exists("cells", lambda x: stripped(x) != "")
+    parsed = rows.filter(some).select("line_no", "value", "cells", *fields)
+    bad = F.col("cells").isNull() | (F.coalesce("query", F.lit("")) == "")
     return parsed.filter(~bad).select("line_no", *names), parsed.filter(bad).select("line_no", "value")
 
 
