@@ -1,9 +1,8 @@
 """Versioned vector tables, approximate search, parity checks.
 
-A version is a Parquet folder named after its model, dimension and corpus; a pointer names the live
-one and moves last. Both are written as numbered folders, and a reader takes the highest number that
-Spark has committed (``_SUCCESS``), so it sees a whole version and one pointer at any time, whatever
-is being written or has been left unfinished.
+A version is named after its model, dimension and corpus; a pointer names the live one and moves last.
+Both are logs of commits (``sources.commits``), so a reader sees a whole version and one pointer at any
+time, whatever is being written or has been left unfinished, and of two writers none is lost.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm, shortened
 from ..session import scratch
+from ..sources.commits import CommitLog
 from .cells import CellIndex
 from .ingest import first_by, hits_to_ids
 from .metrics import means, per_query
@@ -34,8 +34,17 @@ def parsed_names(names: DataFrame) -> DataFrame:
     return names.select("name", some(at(1)).alias("prefix"), some(at(2)).alias("model_slug"), some(at(3)).cast("int").alias("dim"), some(at(4)).alias("fingerprint"))
 
 
+#: Deltas of a version that are read beside its base before they are merged into a new one.
+DELTAS = 8
+
+
 class VectorStore:
-    """Versions and the live pointer below one folder that all executors see."""
+    """Versions and the live pointer below one folder that all executors see.
+
+    A version is a base and the deltas since. An upsert writes its own points alone, as a delta; a reader
+    takes the newest row of each id in the deltas, and the base's rows of all other ids. After
+    ``DELTAS`` of them the whole is written as a new base.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -43,6 +52,12 @@ class VectorStore:
     def _path(self, name: str) -> str:
         return f"{self.root}/versions/{name}"
 
+    def _log(self, name: str) -> CommitLog:
+        return CommitLog(self.spark, self._path(name))
+
+    def _pointers(self, prefix: str) -> CommitLog:
+        return CommitLog(self.spark, f"{self.root}/live/{prefix}")
+
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
@@ -53,45 +68,65 @@ class VectorStore:
         root = path(f"{self.root}/versions")
         return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
 
-    def _numbers(self, folder: str, whole: bool = True) -> list[int]:
-        """Numbers of what was written below ``folder``, in order; only what is committed, if ``whole``."""
-        fs, path = self._fs()
-        if not fs.exists(path(folder)):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path(folder))]
-        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and (not whole or fs.exists(path(f"{p}/_SUCCESS"))))
+    @staticmethod
+    def _current(entries: list[dict]) -> list[dict]:
+        """The last base and the deltas since."""
+        last = max((i for i, e in enumerate(entries) if e["kind"] == "base"), default=0)
+        return entries[last:]
 
-    def _next(self, folder: str) -> str:
-        return f"{folder}/{max(self._numbers(folder, whole=False), default=0) + 1}"
+    def exists(self, name: str) -> bool:
+        return bool(self._log(name).entries())
 
     def upsert(self, name: str, points: DataFrame, recreate: bool = False) -> None:
         """Add points (point_id, embedding, ...) to a version, or make it of them alone. Of equal ids
         the last written stays, of those written together the last by ``seq``."""
-        fresh = first_by(points, ["point_id"], F.desc("seq"))
-        if not recreate and self._numbers(self._path(name)):
-            fresh = self.scan(name).join(fresh.select("point_id"), "point_id", "left_anti").unionByName(fresh, True)
-        fresh.write.parquet(self._next(self._path(name)))
+        log = self._log(name)
+        path = log.fresh()
+        first_by(points, ["point_id"], F.desc("seq")).write.parquet(path)
+        log.commit(lambda entries: {"kind": "base" if recreate or not entries else "delta", "path": path})
+        if len(self._current(log.entries())) > DELTAS + 1:
+            self.compact(name)
+
+    def compact(self, name: str) -> None:
+        """Write a version's rows as a new base; again, if points are added meanwhile."""
+        log = self._log(name)
+
+        def base(entries: list[dict]) -> dict:
+            path = log.fresh()
+            self._rows(entries).write.parquet(path)
+            return {"kind": "base", "path": path}
+
+        log.commit(base)
+
+    def _rows(self, entries: list[dict]) -> DataFrame:
+        read = [self.spark.read.parquet(e["path"]) for e in self._current(entries)]
+        if len(read) == 1:
+            return read[0]
+        later = None
+        for n, delta in enumerate(read[1:]):
+            delta = delta.withColumn("__n", F.lit(n))
+            later = delta if later is None else later.unionByName(delta, True)
+        newest = first_by(later, ["point_id"], F.desc("__n")).drop("__n")
+        return read[0].join(newest.select("point_id"), "point_id", "left_anti").unionByName(newest, True)
 
     def scan(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._path(name)}/{self._numbers(self._path(name))[-1]}")
+        return self._rows(self._log(name).entries())
 
     def live(self, prefix: str) -> str | None:
-        pointers = self._numbers(f"{self.root}/live/{prefix}")
-        if not pointers:
-            return None
-        return self.spark.read.schema("name string").json(f"{self.root}/live/{prefix}/{pointers[-1]}").first()[0]
+        pointers = self._pointers(prefix).entries()
+        return pointers[-1]["name"] if pointers else None
 
     def point(self, prefix: str, name: str) -> None:
         """Make ``name`` live. A version of another family or that does not exist is an error."""
-        if not self._numbers(self._path(name)) or not name.startswith(prefix + "__"):
+        if not name.startswith(prefix + "__") or not self.exists(name):
             raise ValueError(f"no version {name} of {prefix}")
-        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.json(self._next(f"{self.root}/live/{prefix}"))
+        self._pointers(prefix).commit(lambda _: {"kind": "live", "name": name})
 
     def publish(self, prefix: str, model: str, dim: int, fingerprint: str | None, points, expected: int, recreate: bool = False) -> tuple[str, bool]:
         """Write a version unless it is there in full, then make it live; ``points()`` gives its
         rows. Returns the name and whether it was written."""
         name = version_name(prefix, model, dim, fingerprint)
-        full = not recreate and bool(self._numbers(self._path(name))) and self.scan(name).count() == expected
+        full = not recreate and self.exists(name) and self.scan(name).count() == expected
         if not full:
             self.upsert(name, points(), recreate=True)
             if self.scan(name).count() != expected:
@@ -107,11 +142,10 @@ class VectorStore:
         gone = [n for n in self.versions() if n.startswith(prefix + "__") and n != live]
         for name in gone:
             fs.delete(path(self._path(name)), True)
-        for folder in (f"{self.root}/live/{prefix}", *([self._path(live)] if live else [])):
-            last = max(self._numbers(folder), default=0)
-            for n in self._numbers(folder, whole=False):
-                if n < last:
-                    fs.delete(path(f"{folder}/{n}"), True)
+        for log in (self._pointers(prefix), *([self._log(live)] if live else [])):
+            entries = log.entries()
+            kept = entries[-1:] if log.root.endswith(f"/live/{prefix}") else self._current(entries)
+            log.forget([e for e in entries if e not in kept])
         return gone
 
     def status(self, prefix: str, dim: int, model: str) -> DataFrame:

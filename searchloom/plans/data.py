@@ -394,7 +394,7 @@ def registry(spark, d):
     out = S.RunRegistry(spark, scratch(spark, "runs"), REGISTRY)
     out.append(runs.filter("id % 2 = 0"))
     out.append(runs.filter("id % 2 = 1 AND id > 5"))
-    runs.limit(3).select(F.lit("{not a record").alias("value")).write.mode("append").text(f"{out.root}/0/1")
+    runs.limit(3).select(F.lit("{not a record").alias("value")).write.mode("append").text(out.folders()[1])
     out.delete("7")
     out.append(runs.filter("id IN (1, 3)"))
     return out

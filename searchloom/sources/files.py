@@ -10,6 +10,7 @@ from ..operators.ingest import first_by
 from ..functions.text import stripped
 from ..operators.ordering import carried, numbered
 from ..session import stored
+from .commits import CommitLog
 from .lines import csv_cells, csv_records
 
 
@@ -139,45 +140,44 @@ def load_bench(spark: SparkSession, path: str, hardware: str | None = None) -> D
 class RunRegistry:
     """Runs as JSON lines below one folder that all executors see, the last appended first.
 
-    A generation is a numbered folder of numbered batches. Appending writes the next batch;
-    deleting writes a whole new generation. Readers take the highest generation whose first batch
-    Spark has committed, and its committed batches, so a crash leaves the registry as it was.
+    Each append is a commit of its own with the next batch number; deleting commits all runs that are
+    left in place of what was before. Batch numbers go on after a deletion, also that of the last run.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
-
-    def _whole(self, folder: str, marker: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        fs = path(folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path(folder)):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path(folder))]
-        return sorted(int(p.getName()) for p in found if p.getName().isdigit() and fs.exists(path(f"{p}/{marker}")))
-
-    def _generation(self) -> int:
-        return max(self._whole(self.root, "0/_SUCCESS"), default=0)
-
-    def append(self, runs: DataFrame) -> None:
-        """Add runs; of one call they are in the order of ``seq`` (which is kept)."""
-        folder = f"{self.root}/{self._generation()}"
-        last = self.scan().agg(F.max("batch")).first()[0]
-        batch = 0 if last is None else last + 1
-        runs.write.mode("overwrite").json(f"{folder}/{batch}")
-
-    def scan(self) -> DataFrame:
-        """Runs with ``batch, seq``; lines that are no records are skipped, a missing label is the model."""
-        folder = f"{self.root}/{self._generation()}"
-        paths = [f"{folder}/{n}" for n in self._whole(folder, "_SUCCESS")]
-        if not paths:
+        self.spark, self.schema, self.log = spark, schema, CommitLog(spark, root)
+
+    @staticmethod
+    def _current(entries: list[dict]) -> list[dict]:
+        """The commits since what was last left, and that."""
+        last = max((i for i, e in enumerate(entries) if e["kind"] == "left"), default=0)
+        return entries[last:]
+
+    def append(self, runs: DataFrame) -> int:
+        """Add runs; of one call they are in the order of ``seq`` (which is kept). Returns the batch."""
+        path = self.log.fresh()
+        runs.write.json(path)
+        number = self.log.commit(lambda e: {"kind": "append", "path": path, "batch": e[-1]["batch"] + 1 if e else 0})
+        return next(e["batch"] for e in self.log.entries() if e["number"] == number)
+
+    def folders(self) -> list[str]:
+        return [e["path"] for e in self._current(self.log.entries())]
+
+    def _rows(self, entries: list[dict]) -> DataFrame:
+        current = self._current(entries)
+        if not current:
             return self.spark.createDataFrame([], f"{self.schema}, batch bigint")
-        own = F.regexp_extract("_metadata.file_path", r"/(\d+)/[^/]*$", 1).cast("bigint")
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        batch = F.create_map(*[F.lit(x) for e in current for x in (e["path"].rsplit("/", 1)[1], e["batch"])])
         parsed = F.from_json("value", self.schema + ", batch bigint, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-        rows = self.spark.read.text(paths).select(own.alias("__batch"), parsed.alias("r")).filter("r IS NOT NULL AND r._bad IS NULL")
+        rows = self.spark.read.text([e["path"] for e in current]).select(batch[folder].alias("__batch"), parsed.alias("r")).filter("r IS NOT NULL AND r._bad IS NULL")
         rows = rows.select("__batch", "r.*").withColumn("batch", F.coalesce("batch", "__batch")).drop("__batch", "_bad")
         return rows.withColumn("label", F.coalesce(F.nullif("label", F.lit("")), F.col("model")))
 
+    def scan(self) -> DataFrame:
+        """Runs with ``batch, seq``; lines that are no records are skipped, a missing label is the model."""
+        return self._rows(self.log.entries())
+
     def newest(self) -> DataFrame:
         """All runs, the last appended first."""
         return self.scan().orderBy(F.desc("batch"), F.desc("seq"))
@@ -186,9 +186,14 @@ class RunRegistry:
         return self.scan().filter(F.col("id") == run_id)
 
     def delete(self, run_id: str) -> int:
-        """Remove a run; returns how many remain."""
-        left = self.scan().filter(~F.col("id").eqNullSafe(F.lit(run_id)))
-        left.write.mode("overwrite").json(f"{self.root}/{self._generation() + 1}/0")
+        """Remove a run; returns how many remain. If runs are appended meanwhile it begins again."""
+
+        def left(entries: list[dict]) -> dict:
+            path = self.log.fresh()
+            self._rows(entries).filter(~F.col("id").eqNullSafe(F.lit(run_id))).write.json(path)
+            return {"kind": "left", "path": path, "batch": entries[-1]["batch"] if entries else -1}
+
+        self.log.commit(left)
         return self.scan().count()
 
 

@@ -205,10 +205,9 @@ def test_store_is_whole_at_any_time(spark):
     assert {(r[0], r[2][0]) for r in store.scan(name).collect()} == {("a", 1.0), ("b", 3.0), ("c", 4.0)}
     assert before.count() == 2  # a reader keeps what it began with
     other = store.publish("p", "m2", 1, "f", lambda: pts(("z", 1, [1.0])), 1)[0]
-    # a pointer that was begun and never committed does not count
-    fs, path = store._fs()
-    fs.mkdirs(path(f"{store.root}/live/p/99"))
-    fs.mkdirs(path(f"{store.root}/versions/{other}/99"))
+    # what was begun and never committed does not count
+    pts(("y", 1, [9.0])).write.parquet(store._log(other).fresh())
+    spark.createDataFrame([("{}",)], "value string").write.text(f"{store.root}/live/p/tried/x")
     assert store.live("p") == other and store.scan(other).count() == 1
     store.point("p", name)
     assert store.live("p") == name and store.prune("p") == [other] and store.live("p") == name and store.scan(name).count() == 3
@@ -225,7 +224,7 @@ def test_registry_survives_a_crash(spark):
     assert [r["id"] for r in reg.newest().collect()] == ["c", "b", "a"] and reg.get("b").count() == 1
     assert reg.delete("b") == 2 and reg.delete("nowhere") == 2
     reg.append(run("d"))
-    spark.createDataFrame([("{}",)], "value string").write.text(f"{reg.root}/50/3")  # a generation without its first batch
+    run("x").write.json(reg.log.fresh())  # never committed
     assert [r["id"] for r in reg.newest().collect()] == ["d", "c", "a"] and reg.scan().first()["label"] == "m"
 
 
