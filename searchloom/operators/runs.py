@@ -79,8 +79,9 @@ def best_so_far(epochs: DataFrame) -> DataFrame:
     return epochs.withColumn("best_ndcg", F.max("ndcg").over(so_far)).withColumn("best_loss", F.min("eval_loss").over(so_far))
 
 
-def prune_verdicts(epochs: DataFrame, metric: str = "ndcg") -> DataFrame:
-    """Whether a run at an epoch trails the median of its finished peers.
+def ranked_peers(epochs: DataFrame, metric: str = "ndcg") -> DataFrame:
+    """``run_idx, epoch, v, peers, median``: each run's best value through an epoch, and the median of
+    its finished peers.
 
     The median runs over each finished run's best value through that epoch; for runs that ended
     before, their last best counts. Each finished run has one value for each epoch, ranked within
@@ -107,10 +108,35 @@ def prune_verdicts(epochs: DataFrame, metric: str = "ndcg") -> DataFrame:
     peers = F.coalesce("n", F.lit(0)) - F.when(F.col("mine").isNotNull(), 1).otherwise(0)
     skip = lambda k: F.col("middle")[(k + F.when(F.col("mine") <= k, 1).otherwise(0)).cast("int")]
     low, high = F.floor((F.col("peers") + 1) / 2), F.floor(F.col("peers") / 2) + 1
-    rows = rows.withColumn("peers", peers).withColumn("median", F.when(F.col("peers") > 0, (skip(low) + skip(high)) / 2))
+    return rows.withColumn("peers", peers).withColumn("median", F.when(F.col("peers") > 0, (skip(low) + skip(high)) / 2))
+
+
+def _trailing(metric: str) -> Column:
     trails = F.col("v") < F.col("median") - MARGIN if metric == "ndcg" else F.col("v") > F.col("median") + MARGIN
-    verdict = (F.col("epoch") >= FIRST_EPOCH) & (F.col("peers") >= WARM_UP) & F.col("v").isNotNull() & trails
-    return rows.select("run_idx", "epoch", F.col("v").alias("best"), "median", F.coalesce(verdict, F.lit(False)).alias("prune"))
+    return F.coalesce((F.col("epoch") >= FIRST_EPOCH) & (F.col("peers") >= WARM_UP) & F.col("v").isNotNull() & trails, F.lit(False))
+
+
+def prune_verdicts(epochs: DataFrame, metric: str = "ndcg") -> DataFrame:
+    """Whether a run at an epoch trails the median of its finished peers."""
+    rows = ranked_peers(epochs, metric)
+    return rows.select("run_idx", "epoch", F.col("v").alias("best"), "median", _trailing(metric).alias("prune"))
+
+
+def peer_medians(finished: DataFrame, metric: str = "ndcg") -> DataFrame:
+    """``epoch, until, n, median`` of finished runs' best values, for runs that are none of them: from
+    an epoch that some finished run has to before the next such one (the last: null)."""
+    # one more run of each epoch, without values, meets all finished ones as a live run would
+    every = finished.select("epoch").distinct().select(F.lit(None).cast("bigint").alias("run_idx"), "epoch", F.lit(None).cast("double").alias("ndcg"), F.lit(None).cast("double").alias("eval_loss"), F.lit("running").alias("status"))
+    rows = ranked_peers(finished.select(F.col("run_idx").cast("bigint").alias("run_idx"), "epoch", "ndcg", "eval_loss", "status").unionByName(every), metric)
+    rows = rows.filter("run_idx IS NULL").select("epoch", F.col("peers").alias("n"), "median")
+    return rows.withColumn("until", F.lead("epoch").over(Window.orderBy("epoch")))
+
+
+def judged_by(live: DataFrame, peers: DataFrame, metric: str = "ndcg") -> DataFrame:
+    """Verdicts on live runs (run_idx, epoch, v: best so far) by ``peer_medians``."""
+    near = (F.col("epoch") >= F.col("since")) & (F.col("until").isNull() | (F.col("epoch") < F.col("until")))
+    rows = live.join(F.broadcast(peers.withColumnRenamed("epoch", "since")), near, "left").withColumnRenamed("n", "peers")
+    return rows.select("run_idx", "epoch", F.col("v").alias("best"), "median", _trailing(metric).alias("prune"))
 
 
 def latency_summary(samples: DataFrame, *by: str) -> DataFrame:

@@ -490,6 +490,26 @@ def stream_clicklog(spark, d):
     return X.stream_labels(spark, stream_of(spark, d, rows)).select("seq", "kind", "query", "doc_id")
 
 
+@query(
+    "stream_late_events",
+    oracle(building.LOG_VIEWS, STREAMED + building.LOG.replace("FROM fx_searches", "FROM streamed") + """ SELECT seq, CAST(kind AS INTEGER) AS kind, query, doc_id,
+ (SELECT count(*) FROM fx_searches f JOIN events e ON e.event_id = f.seq WHERE f.seq % 50 = 0 AND e.ts <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)) AS late FROM labels"""),
+)
+def stream_late_events(spark, d):
+    """The same, when some events come once more after the watermark has passed them; how many those are."""
+    ts = fx(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = building.events(spark, d).join(ts, "seq").select("ts", "session", "seq", "query", "results", "clicks")
+    newest = ts.agg(F.max("ts").alias("newest"))
+    last = rows.join(newest, F.col("ts") == F.col("newest")).limit(1).drop("newest").withColumn("session", F.lit("another"))
+    again = rows.filter("seq % 50 = 0").join(newest, F.col("ts") <= F.col("newest") - F.expr("INTERVAL 2 HOURS")).drop("newest").withColumn("session", F.lit("late"))
+    path, out, late = scratch(prepared(spark), "feed"), scratch(spark, "labels"), 0
+    for batch in (rows, last, again):  # a run each, as what is late is told by the batch before
+        batch.write.mode("append").parquet(path)
+        labels, dropped = X.stream_labels_counted(spark, spark.readStream.schema(rows.schema).parquet(path), out)
+        late += dropped
+    return labels.select("seq", "kind", "query", "doc_id").withColumn("late", F.lit(late).cast("bigint"))
+
+
 @query("stream_appended_pairs", ORACLES["appended_pairs"])
 def stream_appended_pairs(spark, d):
     rows = fx(spark, d, "fx_records").filter("content IS NOT NULL").select("seq", "query", "content")
