@@ -172,6 +172,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return sets
 
 
+#: Sets that a shingle has to be in to be counted by matrices, and shingles of a matrix.
+OFTEN, COLUMNS = 8, 1024
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets have a similarity of 0.8 or more."""
     if 100 * min(len(a), len(b)) < 80 * max(len(a), len(b)):
@@ -211,17 +215,42 @@ def first_links(found: DataFrame, sets: DataFrame) -> DataFrame:
     return verified(best.select(F.col("first").alias("a"), F.col("cid").alias("b")), sets)
 
 
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share. Shingles that few sets have are counted pair by pair
+    from the sets that have them; the others as products of matrices of ``COLUMNS`` shingles."""
+    m, size = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(m), size)
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((m, m), np.float32)
+    by = np.argsort(place, kind="stable")
+    owner, starts = owner[by], np.cumsum(count) - count
+    for n in range(2, OFTEN):
+        rows = owner[starts[count == n][:, None] + np.arange(n)[None, :]]
+        for i in range(n):
+            for j in range(i + 1, n):
+                np.add.at(out, (rows[:, i], rows[:, j]), 1)
+                np.add.at(out, (rows[:, j], rows[:, i]), 1)
+    often = np.flatnonzero(count >= OFTEN)
+    for at in range(0, len(often), COLUMNS):
+        some = often[at : at + COLUMNS]
+        has = np.zeros((m, len(some)), np.float32)
+        has[np.concatenate([owner[s : s + c] for s, c in zip(starts[some], count[some], strict=True)]), np.repeat(np.arange(len(some)), count[some])] = 1
+        out += has @ has.T
+    return out
+
+
 def cell_links(cell: pd.DataFrame) -> pd.DataFrame:
-    """Links of a cell that join components: the members of one or two chunks."""
+    """Links of a cell that join components: the members of one or two chunks. All counts of shared
+    shingles come at once, so look-alikes that are not linked cost no comparison each."""
     cell = cell.drop_duplicates("cid").sort_values(["chunk", "cid"], ignore_index=True)
-    m = len(cell)
-    sets, sketch = list(cell["set"]), np.stack(cell["sketch"].to_list())
-    band = np.stack([bands(s.view(np.uint32)) for s in sketch])
+    sets = list(cell["set"])
     size = cell["set"].map(len).to_numpy()
     parent = {c: c for c in set(cell["component"])}
-    component = cell["component"].to_numpy()
-    chunk = cell["chunk"].to_numpy()
-    two = chunk[0] != chunk[-1]
+    component, chunk, cid = (cell[c].to_numpy() for c in ("component", "chunk", "cid"))
+    ok = 180 * shared_counts(sets).astype(np.float64) >= 80 * (size[:, None] + size[None, :])
+    ok &= np.triu(component[:, None] != component[None, :], 1)
+    if chunk[0] != chunk[-1]:
+        ok &= chunk[:, None] != chunk[None, :]
 
     def root(c: int) -> int:
         while parent[c] != c:
@@ -230,24 +259,11 @@ def cell_links(cell: pd.DataFrame) -> pd.DataFrame:
         return c
 
     links = []
-    for i in range(m):
-        later = slice(i + 1, m)
-        ok = (component[later] != component[i]) & (100 * np.minimum(size[later], size[i]) >= 80 * np.maximum(size[later], size[i]))
-        if two:
-            ok &= chunk[later] != chunk[i]
-        near = np.flatnonzero(ok) + i + 1
-        if not len(near):
-            continue
-        same = band[near] == band[i]
-        near = near[same[:, :SIDE].any(axis=1) & same[:, SIDE:].any(axis=1)]
-        if not len(near):
-            continue
-        alike = (sketch[near] == sketch[i]).mean(axis=1)
-        for j in near[np.argsort(-alike, kind="stable")]:
-            a, b = root(component[i]), root(component[j])
-            if a != b and linked(sets[i], sets[j]):
-                parent[max(a, b)] = min(a, b)
-                links.append((cell["cid"][i], cell["cid"][j]))
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        a, b = root(component[i]), root(component[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            links.append((cid[i], cid[j]))
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
@@ -286,7 +302,7 @@ def remaining_links(found: DataFrame, labels: DataFrame, sets: DataFrame, sizes:
     cells = meet.join(other, "key").filter("chunk <= chunk2").select("chunk", "chunk2").distinct()
     cells = materialize(cells.withColumn("cell", F.xxhash64("chunk", "chunk2")), "cells")
     sides = cells.select("cell", F.explode(F.array_distinct(F.array("chunk", "chunk2"))).alias("chunk"))
-    loaded = sides.join(dealt, "chunk").join(sets, "cid")
+    loaded = sides.join(dealt, "chunk").join(sets.select("cid", "set"), "cid")
     return loaded.groupBy("cell").applyInPandas(cell_links, "a long, b long")
 
 

@@ -156,3 +156,35 @@ def test_long_texts_and_a_hot_class(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 5, chunk=20_000).collect()}
     assert got == {i: c for i, (_, c) in brute(rows, 5).items()}
+
+
+def test_look_alikes_below_the_threshold_are_cheap():
+    """Templated texts: three quarters in common, all in one chain of buckets, none linked; and links among
+    them are found all the same."""
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    from searchloom.llm import minhash as M
+
+    rng = np.random.default_rng(1)
+    template = rng.integers(0, 2**63, 340).astype(np.uint64)
+
+    def cell(n, linked):
+        sets = [np.sort(np.concatenate((template, rng.integers(0, 2**63, 60).astype(np.uint64)))) for _ in range(n)]
+        for i in range(linked):
+            sets[n - 1 - i] = np.sort(np.concatenate((sets[i][5:], rng.integers(0, 2**63, 5).astype(np.uint64))))
+        return pd.DataFrame({"cid": range(n), "set": [s.view(np.int64) for s in sets], "component": range(n), "chunk": 1})
+
+    took = []
+    for n in (500, 2000):
+        began = time.perf_counter()
+        links = M.cell_links(cell(n, 20))
+        took.append(time.perf_counter() - began)
+        assert {tuple(sorted(r)) for r in links.itertuples(index=False)} == {(i, n - 1 - i) for i in range(20)}
+    print(took)
+    assert took[1] < 5
+    some = [np.unique(rng.integers(0, 60, rng.integers(1, 50))) for _ in range(40)]
+    count = M.shared_counts(some)
+    assert all(count[i, j] == len(set(a) & set(b)) for i, a in enumerate(some) for j, b in enumerate(some) if i != j)
