@@ -27,6 +27,8 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +41,10 @@ from .common import materialize, read, small_batches
 #: Pages in a fit at most, renderings of each, trees, their depth.
 MAX_PAGES, RENDERINGS, TREES, DEPTH = 200, 4, 12, 4
 
-UNSEEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1\s*>|\Z)|<(noscript|template|svg|iframe|object|select)\b.*?</\2\s*>",
-    re.S | re.I,
-)
+#: What hides text: comments, elements that run to the end of the page if it must be, others.
+HIDING = re.compile(r"<!--|<(?:(script|style|textarea|title)|(noscript|template|svg|iframe|object|select))\b", re.I)
+HIDDEN_END = re.compile(r"</(noscript|template|svg|iframe|object|select)\s*>", re.I)
+RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "textarea", "title")}
 TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>""")
 NAMED = re.compile(r"""(?:class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 MARK = re.compile(r'data-y="([01])"')
@@ -76,6 +78,35 @@ TOKENS = 32
 N_FEATURES = len(TAGS) + 24 + TOKENS
 
 
+def without_hidden(source: str) -> str:
+    """The page without comments and elements that show no text. Where such elements end is found once for
+    the page, so many of them without an end cost no more than others."""
+    ends: dict[str, list[tuple[int, int]]] | None = None
+    out, at, found = [], 0, HIDING.search(source)
+    while found:
+        if found[0] == "<!--":
+            end = source.find("-->", found.end()) + 3
+            end = end if end >= 3 else len(source)
+        elif found[1]:
+            shut = RAW_END[found[1].lower()].search(source, found.end())
+            end = shut.end() if shut else len(source)
+        else:
+            if ends is None:
+                ends = {}
+                for m in HIDDEN_END.finditer(source):
+                    ends.setdefault(m[1].lower(), []).append(m.span())
+            spans = ends.get(found[2].lower(), [])
+            n = bisect_left(spans, (found.end(), 0))
+            if n == len(spans):
+                found = HIDING.search(source, found.end())
+                continue
+            end = spans[n][1]
+        out.append(source[at : found.start()])
+        at = end
+        found = HIDING.search(source, end)
+    return "".join([*out, source[at:]])
+
+
 class Page:
     """Block nodes of a page in document order, and runs of text, each in one node."""
 
@@ -84,7 +115,7 @@ class Page:
         self.own, self.link, self.stops, self.words, self.inputs, self.links = [0], [0], [0], [0], [0], [0]
         self.place, self.kids = [0], [0]
         self.runs: list[tuple[int, str]] = []
-        self._parse(UNSEEN.sub("", source or ""))
+        self._parse(without_hidden(source or ""))
 
     def _node(self, name: str, attributes: str, parent: int, place: int) -> int:
         self.tag.append(name)
@@ -105,6 +136,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, place = [0], 0, 0
+        open_ = Counter()
         held: list[str] = []
         in_link = False
 
@@ -146,17 +178,19 @@ class Page:
                 continue
             flush()
             if m[1]:
-                for n in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[n]] == name:
-                        del stack[n:]
+                while open_[name]:  # with all that was opened within
+                    last = self.tag[stack.pop()]
+                    open_[last] -= 1
+                    if last == name:
                         break
                 continue
             shut = CLOSED_BY.get(name, PARAGRAPH)
             while len(stack) > 1 and self.tag[stack[-1]] in shut:
-                stack.pop()
+                open_[self.tag[stack.pop()]] -= 1
             node = self._node(name, m[3], stack[-1], place)
             if name not in VOID and not m[3].endswith("/"):
                 stack.append(node)
+                open_[name] += 1
         if at < len(source):
             add(source[at:])
         flush()
@@ -290,7 +324,7 @@ def rendered(source: str, seed: int) -> str | None:
     if not seed:
         return f'{before}<article{m[1]} data-y="1">{inside}</article>{after}'
     rng = random.Random(zlib.crc32(source.encode()) * 31 + seed)
-    words = re.sub(r"<[^>]*>", " ", UNSEEN.sub("", source)).split() or ["word"]
+    words = re.sub(r"<[^>]*>", " ", without_hidden(source)).split() or ["word"]
     say = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
     name = lambda *x: rng.choice(x)
 

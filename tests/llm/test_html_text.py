@@ -130,3 +130,18 @@ def test_unseen_without_an_end(spark, trees):
     long = "<article><p>" + "word " * 300_000 + "</p></article>"
     pages = spark.createDataFrame([(1, None, long), (1, None, long)], "page_id long, url string, html string")
     assert [r["n_chars"] for r in html_text.extract(pages, trees).collect()] == [1_499_999] * 2
+
+
+def test_unclosed_elements_cost_no_more():
+    import time
+
+    from searchloom.llm import html_text as H
+
+    for piece in ("<noscript><p>x</p>", "<svg></div>", "<div></template>", "<!-- <p>", "<p>a</li>", "<object></svg >"):
+        page, began = piece * (1_000_000 // len(piece)), time.perf_counter()
+        H.Page(page)
+        took = time.perf_counter() - began
+        print(piece, round(took, 2))
+        assert took < 4
+    one = "<p>a</p><noscript>b</noscript><SVG x>c</svg ><template>d<p>e<!-- f --><script>g</SCRIPT><iframe>h</iframe><title>i"
+    assert H.without_hidden(one) == "<p>a</p><template>d<p>e"
