@@ -40,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh_path, materialize, read, shared_dir, stored_at
+from .common import discard, fresh_path, materialize, read, shared_dir, small_batches, stored_at
 from .vector_codes import usable
 
 NEIGHBOURS, REVERSE, PASSES, BLOCK, ROUNDS = 32, 32, 4, 1024, 4
 BEAM, STEP, STEPS, ENTRIES, RESCORED, WANTED = 320, 40, 12, 16, 64, 20
 SEED = 11
+#: Rows of an Arrow batch at most; one of the stored graph holds its neighbours' vectors too.
+ROWS = 4000
 
 
 def encoded(x: np.ndarray, longest: float) -> list[bytes]:
@@ -384,4 +386,5 @@ def nearest(vectors: DataFrame, k: int = WANTED, every: int = 20, beam: int = BE
 
 
 def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, ROWS)
     return nearest(read(spark, sf_dir, "embeddings"))
