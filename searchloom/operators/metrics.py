@@ -3,6 +3,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,20 +101,42 @@ def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.join(two, ["query_id", "metric"]).withColumn("delta", F.col("b") - F.col("a"))
 
 
+def flipped_sums(changed: DataFrame, flips: int, seed: int) -> DataFrame:
+    """``metric, b, flipped``: for each flip, the absolute sum of differences (metric, query_id, delta)
+    whose signs are drawn by ``draw(seed, b, query_id)``.
+
+    A task adds up its differences in one vector of ``flips`` numbers for each metric, so that what is
+    shuffled is those vectors alone. A query's signs are drawn once for all of its metrics in a batch.
+    """
+    names = [f"{seed}|{b}|".encode() for b in range(flips)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            queries = batch.column("query").dictionary_encode()
+            metrics, deltas = batch.column("metric").to_pylist(), batch.column("delta").to_numpy()
+            order = np.argsort(at := queries.indices.to_numpy(), kind="stable")
+            last, signs = -1, None
+            for i in order:
+                if at[i] != last:
+                    last, own = at[i], queries.dictionary[int(at[i])].as_py().encode()
+                    signs = 1 - 2 * (np.frombuffer(b"".join(md5(n + own).digest()[3:4] for n in names), np.uint8) & 1).astype(np.float64)
+                sums[metrics[i]] = sums.get(metrics[i], 0.0) + deltas[i] * signs
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()])], ["metric", "sums"])
+
+    rows = changed.select("metric", F.col("query_id").cast("string").alias("query"), "delta")
+    vectors = rows.mapInArrow(run, "metric string, sums array<double>")
+    return vectors.select("metric", F.posexplode("sums").alias("b", "own")).groupBy("metric", "b").agg(F.abs(F.sum("own")).alias("flipped"))
+
+
 def permutation_test(pairs: DataFrame, flips: int = 10_000, seed: int = 0) -> DataFrame:
     """Two-sided p of the mean difference by flipping signs of paired differences.
 
-    Differences of zero change no sum and are dropped before the rows are multiplied; the number
-    of flips is the small side. A metric without differences has p = 1.
+    Differences of zero change no sum and are dropped first. A metric without differences has p = 1.
     """
     changed = pairs.filter("delta <> 0")
-    sign = F.when(draw(seed, F.col("b"), F.col("query_id")) % 2 == 0, 1).otherwise(-1)
-    sums = (
-        changed.select("metric", "query_id", "delta")
-        .crossJoin(F.broadcast(pairs.sparkSession.range(flips).withColumnRenamed("id", "b")))
-        .groupBy("metric", "b")
-        .agg(F.abs(F.sum(sign * F.col("delta"))).alias("flipped"))
-    )
+    sums = flipped_sums(changed, flips, seed)
     observed = changed.groupBy("metric").agg(F.abs(F.sum("delta")).alias("observed"))
     extreme = sums.join(observed, "metric").groupBy("metric").agg(
         F.count_if(F.col("flipped") >= F.col("observed") - 1e-12).alias("extreme")

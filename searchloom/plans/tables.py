@@ -163,6 +163,19 @@ def latency_by_hardware(spark, d):
     return G.latency_summary(fx(spark, d, "fx_latency"), "hardware_key", "phase")
 
 
+@query("latency_by_sketch", oracle("fx_latency", "SELECT hardware_key, count(*) AS n, true AS p50_near, true AS p95_near, true AS p99_near FROM fx_latency WHERE ms IS NOT NULL GROUP BY hardware_key"))
+def latency_by_sketch(spark, d):
+    """Sketches of each phase merged to those of the hardware, and whether their percentiles have the
+    ranks that they should."""
+    rows = fx(spark, d, "fx_latency").filter("ms IS NOT NULL")
+    found = G.latency_quantiles(G.merged_sketches(G.latency_sketches(rows, "hardware_key", "phase"), "hardware_key"), "hardware_key")
+    near = []
+    for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        below, upto = F.avg((F.col("ms") < F.col(name)).cast("double")), F.avg((F.col("ms") <= F.col(name)).cast("double"))
+        near.append(((below - G.rank_error(800) <= q) & (upto + G.rank_error(800) >= q)).alias(f"{name}_near"))
+    return rows.join(found, "hardware_key").groupBy("hardware_key").agg(F.count(F.lit(1)).alias("n"), *near)
+
+
 @query(
     "hardware_keys",
     oracle("fx_latency", f"s AS (SELECT DISTINCT hardware_key, phase, sha1(unhex('{T.NAMESPACE_OID}') || encode(hardware_key || '|' || phase || '|linux|none')) AS h FROM fx_latency) "

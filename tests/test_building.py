@@ -352,3 +352,27 @@ def test_containing(spark, monkeypatch):
         monkeypatch.setattr(I, "NEEDLES", size)
         found = [tuple(r) for r in I.containing(df, corpus).collect()]
         assert set(found) == want and len(found) == len(want)
+
+
+def test_sketches_merge(spark):
+    rows = spark.range(1_000_000).select((F.col("id") % 24).alias("hour"), F.xxhash64("id").cast("double").alias("ms"))
+    hours = G.latency_sketches(rows, "hour")
+    day = G.latency_quantiles(G.merged_sketches(hours)).first()
+    assert day["n"] == 1_000_000 and hours.agg(F.max(F.length("sketch"))).first()[0] < 40_000
+    for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        below = rows.filter(F.col("ms") < day[name]).count() / 1_000_000
+        assert abs(below - q) <= G.rank_error(800)
+
+
+def test_flips_are_vectors(spark):
+    """Each task gives one vector for each metric; sums are those of all rows times all flips."""
+    from searchloom.functions.draws import draw
+    from searchloom.operators import metrics as M
+
+    rows = spark.createDataFrame([(m, f"q{i % 23}", (i * 7 % 11) / 10 - 0.5) for i in range(60) for m in ("a", "b")], "metric string, query_id string, delta double").repartition(3)
+    got = {(r["metric"], r["b"]): r["flipped"] for r in M.flipped_sums(rows, 50, 3).collect()}
+    sign = F.when(draw(3, F.col("b"), F.col("query_id")) % 2 == 0, 1).otherwise(-1)
+    plain = rows.crossJoin(spark.range(50).withColumnRenamed("id", "b")).groupBy("metric", "b").agg(F.abs(F.sum(sign * F.col("delta"))).alias("s"))
+    want = {(r["metric"], r["b"]): r["s"] for r in plain.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "BroadcastNestedLoopJoin" not in M.permutation_test(rows, 50)._jdf.queryExecution().toString()
