@@ -1,18 +1,19 @@
 """Secret scan: fixed patterns, and dictionary-primed zstandard novelty.
 
-Novelty. A candidate is an unbroken string of 12 characters or more after a word that names
-something secret. A raw zstandard dictionary is made of common identifiers and of the code around
-the candidate. What the candidate adds to the compressed size, over its own length, tells how new
-it is: identifiers, paths, words and repeated values compress well against what surrounds them;
-keys do not. A compressor has little to go by in a short string, and in one of letters alone a new
-word is as new as a key. So a candidate of under ``LONG`` characters, or without a digit or without
-a letter, must also have a share of ``STRANGE`` trigrams that occur neither in the dictionary, nor in
-common words, nor around it. Candidates at or above ``NOVELTY`` that no fixed pattern covers are
-spans of the kind ``novel``.
+Novelty. A candidate is an unbroken string of 12 characters or more, at most ``NAMED_WITHIN`` characters
+behind a word that names something secret. A raw zstandard dictionary is made of common identifiers and
+of the code around the candidate. What the candidate adds to the compressed size, over its own length,
+tells how new it is: identifiers, paths, words and repeated values compress well against what surrounds
+them; keys do not. A compressor has little to go by in a string of a few dozen bytes, though: a block
+costs some bytes however well it compresses, and a word that no dictionary has is as new as a key. So
+a candidate, of whatever length, must also have a share of ``STRANGE`` trigrams that occur neither in the
+dictionary, nor in common words, nor around it. Trigrams are those of the candidate's words, which end at
+separators and capitals; a candidate that hardly has any, being broken up everywhere, is strange. Of
+candidates at or above ``NOVELTY`` those that no fixed pattern covers are spans of the kind ``novel``.
 
 Texts are scanned whole, in Arrow batches, where they lie: nothing is shuffled.
 
-Edge cases. A null text is empty and gives a row without spans. Ids may be null or repeated. An
+Edge cases. A text without spaces and a candidate of any length are one candidate each. A null text is empty and gives a row without spans. Ids may be null or repeated. An
 empty table gives an empty result. Extra columns are not read.
 """
 
@@ -42,10 +43,12 @@ SENSITIVE = re.compile(
     r"pass(?:word|wd|phrase)|secret|token|api[_-]?key|auth|bearer|credential|private|signature|access[_-]?key", re.I | re.A
 )
 #: Characters before a candidate that may name it, and around it that prime the compressor.
-NAMED_WITHIN, AROUND = 40, 1024
+NAMED_WITHIN, AROUND = 100, 1024
 NOVELTY = 0.7
-#: Characters from which a string of letters and digits needs no more; share of unknown trigrams.
-LONG, STRANGE = 20, 0.7
+#: Share of unknown trigrams.
+STRANGE = 0.7
+#: Where words of an identifier end.
+BREAK = re.compile(r"[-_/=+.]|(?<=[a-z])(?=[A-Z])")
 
 #: Words that identifiers and paths are made of.
 IDENTIFIERS = (
@@ -111,10 +114,11 @@ def novelty(candidate: str, before: str, after: str) -> float:
 
 
 def strange(candidate: str, before: str, after: str) -> float:
-    """Share of the candidate's trigrams that are not known and not around it."""
+    """Share of the trigrams of the candidate's words that are not known and not around it; 1, if there
+    are fewer than a third as many as characters."""
     around = KNOWN.union(trigrams(before), trigrams(after))
-    own = trigrams(candidate)
-    return sum(t not in around for t in own) / max(1, len(own))
+    own = [t for word in BREAK.split(candidate) for t in trigrams(word)]
+    return sum(t not in around for t in own) / len(own) if 3 * len(own) >= len(candidate) else 1.0
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -128,10 +132,7 @@ def novel_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
         if reach > s or not SENSITIVE.search(text, max(0, s - NAMED_WITHIN), s):
             continue
         word, before, after = m[0], text[max(0, s - AROUND) : s], text[e : e + AROUND]
-        plain = len(word) >= LONG and any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
-        if not plain and strange(word, before, after) < STRANGE:
-            continue
-        if novelty(word, before, after) >= NOVELTY:
+        if strange(word, before, after) >= STRANGE and novelty(word, before, after) >= NOVELTY:
             out.append((s, len(KINDS), f"novel:{s}:{e}"))
     return out
 
