@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,6 +195,22 @@ def eval_set(pairs: DataFrame, corpus: DataFrame) -> DataFrame:
 NEEDLES = 16 << 20
 
 
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
+
+def automaton(name: str, words: Broadcast) -> ahocorasick.Automaton:
+    """The automaton of a block of strings, built once by a Python worker and kept until it is given
+    another block."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        built = ahocorasick.Automaton()
+        for word in words.value:
+            built.add_word(word, word)
+        built.make_automaton()
+        _BUILT[name] = built
+    return _BUILT[name]
+
+
 def containing(needles: DataFrame, corpus: DataFrame) -> DataFrame:
     """(needle, doc_id) where a text of ``corpus`` (doc_id, text) holds a string of ``needles`` (needle).
 
@@ -199,8 +218,6 @@ def containing(needles: DataFrame, corpus: DataFrame) -> DataFrame:
     block, by an automaton, so the work is that of the texts and the finds, not their product. An
     empty string is nowhere.
     """
-    import ahocorasick
-
     some = stored(needles.filter("needle <> ''").select("needle").distinct(), "needles")
     blocks = max(1, -(-(some.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) // NEEDLES))
     schema = f"needle string, doc_id {dict(corpus.dtypes)['doc_id']}"
@@ -210,11 +227,8 @@ def containing(needles: DataFrame, corpus: DataFrame) -> DataFrame:
             [r[0] for r in some.filter(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == n).collect()]
         )
 
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            machine = ahocorasick.Automaton()
-            for needle in shared.value:
-                machine.add_word(needle, needle)
-            machine.make_automaton()
+        def find(batches: Iterator[pd.DataFrame], shared=shared, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            machine = automaton(name, shared)
             for batch in batches:
                 found = [(x, doc) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) if text for x in {y for _, y in machine.iter(text)}] if shared.value else []
                 yield pd.DataFrame(found, columns=["needle", "doc_id"]).astype({"doc_id": batch["doc_id"].dtype})
