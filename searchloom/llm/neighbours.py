@@ -287,8 +287,8 @@ class Graph:
             if not self.lists.filter(F.exists("fresh", lambda f: f)).limit(1).count():
                 break
 
-    def bucketed(self) -> str:
-        """The name of a table of each node's members and their vectors, bucketed by node."""
+    def bucketed(self) -> tuple[str, str]:
+        """Name and folder of a table of each node's members and their vectors, bucketed by node."""
 
         def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
             node, data = batch.column("node").to_numpy(), _bytes(batch.column("vec"))
@@ -303,8 +303,9 @@ class Graph:
 
         rows = _grouped(_members(self.lists), "node", packed, "node bigint, ids array<bigint>, vecs binary")
         name, n = f"graph_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
-        return name
+        path = f"{shared_dir(self.spark)}/{name}"
+        rows.repartition(n, "node").write.bucketBy(n, "node").sortBy("node").option("path", path).saveAsTable(name)
+        return name, path
 
     def search(self, asked: DataFrame, beam: int = BEAM) -> DataFrame:
         """``node, id`` (a node) for the nodes of ``asked`` (node): themselves and the best found."""
@@ -338,7 +339,8 @@ class Graph:
                     best = _best(a, b, s, np.zeros(len(a), bool), beam)
                     yield pa.RecordBatch.from_arrays([pa.array(a[best]), pa.array(b[best]), pa.array(s[best].astype(np.float32))], ["node", "id", "sim"])
 
-        graph = spark.table(self.bucketed())
+        name, folder = self.bucketed()
+        graph = spark.table(name)
         state = self.nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", "embedding").mapInArrow(begun, GRAPH)
         path = fresh_path(spark, "beams")
         state = stored_at(_merged(state, spark.createDataFrame([], OFFERS), beam, False, STEP), path)
@@ -351,6 +353,8 @@ class Graph:
             discard(spark, before)
             if not state.filter(F.size("asked") > 0).limit(1).count():
                 break
+        spark.sql(f"DROP TABLE {name}")
+        discard(spark, folder)
         return state.select("node", F.explode(F.slice("ids", 1, RESCORED)).alias("id"))
 
 
