@@ -15,6 +15,8 @@ from ..functions.draws import draw
 from .ordering import numbered
 
 CUTOFFS = (1, 3, 5, 10)
+#: Bytes of scores that every task of a bootstrap may be given.
+SCORE_BYTES = 32 << 20
 
 
 def restricted(queries: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -69,15 +71,39 @@ def means_with_slices(scores: DataFrame, slices: DataFrame) -> DataFrame:
     return both.crossJoin(kinds).filter(keep & F.col("metric").isNotNull()).select("metric", "slice", "mean", "n")
 
 
-def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """95 % intervals of means by resampling queries; all metrics share a resample.
+def _drawn_in_blocks(scores: DataFrame, placed: DataFrame, n: int, names: list[str], resamples: int, seed: int) -> DataFrame:
+    """``metric, b, mean`` of each resample. The scores are a matrix of known size that every task has; a
+    task draws for a block of places and adds up, for each resample and metric, what it drew."""
+    spark = scores.sparkSession
+    rows = placed.select(F.col("at"), "query_id").join(scores, "query_id").select("at", "metric", "value").toArrow()
+    values = np.full((n, len(names)), np.nan)
+    at = {m: i for i, m in enumerate(names)}
+    values[rows["at"].to_numpy(), [at[m] for m in rows["metric"].to_pylist()]] = rows["value"].to_numpy()
+    shared = spark.sparkContext.broadcast(values)
+    heads = [f"{seed}|{b}|".encode() for b in range(resamples)]
 
-    Draws are rows: draw (b, j) names the j-th query's stand-in, so counts of how often a query is
-    drawn in a resample meet the scores in one join and partial sums go ahead of the shuffle.
-    """
-    ids = scores.select("query_id").distinct()
-    placed = numbered(ids, "at", "query_id").withColumn("at", F.col("at") - 1)
-    total = ids.agg(F.count(F.lit(1)).alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = ~np.isnan(shared.value)
+        filled = np.where(there, shared.value, 0.0)
+        sums, times = np.zeros((resamples, len(names))), np.zeros((resamples, len(names)), np.int64)
+        for batch in batches:
+            tails = [str(j).encode() for j in batch.column("id").to_pylist()]
+            for b, head in enumerate(heads):
+                own = np.frombuffer(b"".join(md5(head + t).digest()[:4] for t in tails), ">u4") % len(filled)
+                sums[b] += filled[own].sum(axis=0)
+                times[b] += there[own].sum(axis=0)
+        for i, name in enumerate(names):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sums[:, i].tolist()]), pa.array([times[:, i].tolist()])], ["metric", "sums", "times"])
+
+    vectors = spark.range(n).mapInArrow(run, "metric string, sums array<double>, times array<bigint>")
+    each = vectors.select("metric", F.posexplode(F.arrays_zip("sums", "times")).alias("b", "own"))
+    both = each.groupBy("metric", "b").agg(F.sum("own.sums").alias("total"), F.sum("own.times").alias("times")).filter("times > 0")
+    return both.select("metric", "b", (F.col("total") / F.col("times")).alias("mean"))
+
+
+def _drawn_as_rows(scores: DataFrame, placed: DataFrame, total: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """The same for scores of any number: draws are rows, draw (b, j) names the j-th query's stand-in, so
+    counts of how often a query is drawn in a resample meet the scores in one join."""
     draws = (
         placed.select(F.col("at").alias("j"))
         .crossJoin(scores.sparkSession.range(resamples).withColumnRenamed("id", "b"))
@@ -87,7 +113,19 @@ def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 0) -> DataFr
         .agg(F.count(F.lit(1)).alias("times"))
     )
     drawn = draws.join(placed, "at").join(scores, "query_id")
-    averages = drawn.groupBy("metric", "b").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean"))
+    return drawn.groupBy("metric", "b").agg((F.sum(F.col("value") * F.col("times")) / F.sum("times")).alias("mean"))
+
+
+def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 0, block: int = SCORE_BYTES) -> DataFrame:
+    """95 % intervals of means by resampling queries; all metrics share a resample. Scores of up to
+    ``block`` bytes are given to every task, more of them are joined."""
+    ids = scores.select("query_id").distinct()
+    placed = numbered(ids, "at", "query_id").withColumn("at", F.col("at") - 1)
+    n, names = ids.count(), [r[0] for r in scores.select("metric").distinct().orderBy("metric").limit(1000).collect()]
+    if n * len(names) * 8 <= block and len(names) < 1000:
+        averages = _drawn_in_blocks(scores, placed, n, names, resamples, seed)
+    else:
+        averages = _drawn_as_rows(scores, placed, ids.agg(F.count(F.lit(1)).alias("n")), resamples, seed)
     bounds = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     return averages.groupBy("metric").agg(bounds.alias("c")).select(
         "metric", F.col("c")[0].alias("lo"), F.col("c")[1].alias("hi")

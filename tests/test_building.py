@@ -376,3 +376,14 @@ def test_flips_are_vectors(spark):
     want = {(r["metric"], r["b"]): r["s"] for r in plain.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert "BroadcastNestedLoopJoin" not in M.permutation_test(rows, 50)._jdf.queryExecution().toString()
+
+
+def test_bootstrap_in_blocks_is_that_in_rows(spark):
+    from searchloom.operators import metrics as M
+
+    rows = [(f"q{i}", m, ((i * 37 + k) % 11) / 10) for i in range(60) for k, m in enumerate(("a", "b", "c")) if not (m == "c" and i % 4)]
+    scores = spark.createDataFrame(rows, "query_id string, metric string, value double").repartition(3)
+    found = [{r["metric"]: (r["lo"], r["hi"]) for r in M.bootstrap(scores, 200, 3, block).collect()} for block in (1 << 20, 0)]
+    assert found[0].keys() == found[1].keys() == {"a", "b", "c"}
+    assert all(abs(x - y) < 1e-9 for m in found[0] for x, y in zip(found[0][m], found[1][m], strict=True))
+    assert M.bootstrap(scores.limit(0), 10).collect() == []

@@ -2,11 +2,13 @@
 
 import time
 from datetime import timedelta
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from searchloom.operators import runs as G
 from searchloom.session import scratch
+from searchloom.sources import commits
 from searchloom.streaming import jobs as X
 
 EVENT = "ts timestamp, session string, seq bigint, query string, results array<string>, clicks array<struct<doc_id:string,rank:int,dwell_sec:double>>"
@@ -34,17 +36,18 @@ def test_late_events_are_counted(spark):
     assert late == 2 and sorted(r["seq"] for r in labels.collect()) == [1, 2, 3, 6, 8]
 
 
-def test_state_ends_and_nothing_comes_twice(spark):
+def test_state_ends_and_nothing_comes_twice(spark, monkeypatch):
     path, root = scratch(spark, "feed"), scratch(spark, "store")
     none = spark.createDataFrame([], PAIR)
     feed(spark, path, [(i, f"q{i}", "t") for i in range(40)], PAIR)
-    ttl = timedelta(seconds=6)
+    ttl = timedelta(hours=1)
     store = X.BatchStore(spark, root)
     rows = lambda: stream(spark, path, PAIR)
     store.run(rows(), store.keep_first(["query"], "seq", ttl))
     assert store.scan(PAIR).count() == 40 and len(store.recent(ttl)) == 1
-    time.sleep(6)
+    monkeypatch.setattr(X, "time", SimpleNamespace(time=lambda: time.time() + 4000))
     assert store.recent(ttl) == []  # its keys are read no more
+    monkeypatch.setattr(commits, "time", X.time)
     feed(spark, path, [(100, "q1", "t"), (101, "new", "t"), (99, "new", "t")], PAIR)
     store.run(rows(), store.keep_first(["query"], "seq", ttl))
     feed(spark, path, [(200, "new", "t")], PAIR)
