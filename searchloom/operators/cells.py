@@ -67,7 +67,7 @@ class CellIndex:
                     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *batch.columns], ["cell", "doc_id", "embedding"])
 
         def paged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:  # sorted by cell; a batch has no more rows than a page
+            for batch in batches:  # sorted by cell; a batch ends the page it is in
                 cell = batch.column("cell").to_numpy()
                 for a, b in zip(at := np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), np.append(at[1:], len(cell)), strict=True):
                     for start in range(a, b, PAGE):
