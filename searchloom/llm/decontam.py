@@ -3,14 +3,15 @@
 1. Whole texts become words, written as one 32-bit hash each. Document frequencies of hashed words
    are counted over all of them; partial counts of each task are summed, and as many numbers as
    there are features reach the driver.
-2. A randomised SVD of TF-IDF passages gives a latent space. The passages are those of at most
-   ``FIT_DOCS`` documents, with the smallest hashes, and the benchmark. Each power iteration is a
-   Spark job that sums what its passages add to a matrix of fixed size. Its dimensions are scaled
-   to equal spread, else the language of a passage would outweigh its content.
+2. A randomised SVD of TF-IDF passages gives a latent space. The passages are all words of all
+   documents and of the benchmark, each in one passage. Each power iteration is a Spark job that
+   sums what its passages add to a matrix of fixed size. Its dimensions are scaled to equal spread,
+   else the language of a passage would outweigh its content.
 3. Every whole text is cut into overlapping passages of three lengths. A passage's latent vector is
    a sum over its words, so it is built from sums over blocks of words. Benchmark items are its
    query set, in blocks of bounded size; an item much longer than a passage is cut into pieces of
-   about a passage's length. Passages with a high cosine to an item or a piece of it are candidates.
+   about a passage's length. Passages with a high cosine to an item or a piece of it are candidates;
+   how high is measured for each piece on damaged copies of it in that space.
    So are places where ``SHORT`` words of an item stand in a row (the whole item, if it is
    shorter), so verbatim copies of any length are candidates whatever surrounds them.
 4. A candidate counts if the longest common subsequence of the item's words and of the words
@@ -41,14 +42,21 @@ from .common import drop_rows, held, materialize, read, small_batches, text_of
 
 #: Hashed words, latent dimensions (and more that are drawn), power iterations.
 BITS, RANK, EXTRA, POWERS = 14, 64, 8, 2
-#: Documents whose passages the space is fitted on at most, passages of each, items in a block.
-FIT_DOCS, FIT_PASSAGES, ITEMS = 1_000, 20, 5_000
+#: Items in a block.
+ITEMS = 5_000
 #: Words of a block; blocks of a passage, blocks between two, and words of an item at most that it
 #: is compared with. Items beyond the last passage's words are compared in pieces of about as many.
 BLOCK, SHAPES = 8, ((2, 1, 22), (3, 1, 36), (5, 2, 1 << 30))
 #: Blocks without words after each text, so that no passage has words of two; words of a round.
 GAP, ROUND = max(s[0] for s in SHAPES) - 1, 50_000
 COSINE, COMMON, ANSWER, SHORT = 0.55, 0.75, 0.6, 8
+#: Damaged copies of an item that its own threshold is measured on, their share that may be missed,
+#: and the least threshold.
+COPIES, MISSED, LEAST = 64, 0.02, 0.4
+#: Words of a passage that the space is fitted on; words that a task multiplies at once; rows of a
+#: product's block and blocks at once; parts of the table in a task at most.
+SPAN = BLOCK * SHAPES[-1][0]
+FIT_WORDS, SUMMED, BLOCKS, PARTS = 25_000 * SPAN, 32, 512, 8
 #: Words that a worker keeps, cosines that are computed at once.
 CACHED, TILE = 250_000, 1 << 20
 #: Of numbers of words in a row: a factor, and bits of the table that most others fail.
@@ -126,24 +134,68 @@ def inverse_frequencies(words: DataFrame) -> np.ndarray:
 
 
 def fitted_passages(words: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Passages to fit on: ``words binary``; at most ``FIT_PASSAGES`` of each of ``FIT_DOCS`` different
-    rows (repeated rows weigh as often as they occur), and all items. They stay in a table."""
-    span = BLOCK * SHAPES[-1][0]
-    keys = [F.xxhash64("doc_id", "digest").alias("h"), "digest"]
-    ids = words.select(*keys).distinct().orderBy("h", "digest").limit(FIT_DOCS)
-    some = words.select(*keys, "words").join(F.broadcast(ids), ["h", "digest"])
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for data in batch["words"]:
-                own = unpacked(data)
-                parts = [own[at : at + span].tobytes() for at in range(0, len(own), span)]
-                out += parts[:: max(1, -(-len(parts) // FIT_PASSAGES))]
-            yield pd.DataFrame({"words": out})
-
+    """Texts to fit on, all rows and all items: ``words binary``, each ``SPAN`` of them a passage.
+    Repeated rows weigh as often as they occur."""
     items = worded(benchmark.select(F.col("item_id").alias("doc_id"), "text")).select("words")
-    return materialize(some.select("words").unionByName(items).mapInPandas(cut, "words binary"), "passages")
+    return words.select("words").unionByName(items)
+
+
+def row_sums(table: np.ndarray, rows: np.ndarray, counts: np.ndarray, block: int) -> np.ndarray:
+    """Sums of ``table[rows]`` over groups of ``counts`` rows; groups are filled up to whole blocks, so
+    that a product with ones adds a block."""
+    blocks = -(-counts // block)
+    first = np.cumsum(blocks) - blocks
+    at = np.full(int(blocks.sum()) * block, len(table), np.intp)
+    at[np.arange(len(rows)) + np.repeat(first * block - (np.cumsum(counts) - counts), counts)] = rows
+    table = np.vstack([table, np.zeros((1, table.shape[1]), table.dtype)])
+    ones = np.ones((1, block), table.dtype)
+    sums = np.empty((len(at) // block, 1, table.shape[1]), table.dtype)
+    held = np.empty((BLOCKS * block, table.shape[1]), table.dtype)
+    for n in range(0, len(sums), BLOCKS):
+        some = at[n * block : (n + BLOCKS) * block]
+        part = np.take(table, some, axis=0, out=held[: len(some)], mode="clip")
+        np.matmul(ones, part.reshape(-1, block, table.shape[1]), out=sums[n : n + BLOCKS])
+    out = np.zeros((len(counts), table.shape[1]), table.dtype)
+    some = np.flatnonzero(counts)
+    if len(some):
+        out[some] = sums[:, 0] if len(sums) == len(some) else np.add.reduceat(sums[:, 0], first[some], axis=0)
+    return out
+
+
+def added(texts: list[np.ndarray], q: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """What the passages of some texts add to A^T A q, before it is multiplied by ``idf``; the rows of
+    ``q`` are multiplied by it already."""
+    f = hashed(np.concatenate(texts))
+    lengths = np.array([len(words) for words in texts])
+    passages = -(-lengths // SPAN)
+    counts = np.full(int(passages.sum()), SPAN)
+    counts[np.cumsum(passages) - 1] = lengths - (passages - 1) * SPAN
+    of = np.repeat(np.arange(len(counts)), counts)
+    keys = np.sort((of << BITS | f).astype(np.uint32))  # there are fewer than 2^18 passages
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    keys, times = keys[starts], np.diff(np.append(starts, len(keys)))
+    weights = times * idf[keys & (1 << BITS) - 1]
+    norms = np.bincount(keys >> BITS, weights * weights)
+    near = row_sums(q, f, counts, SPAN) / norms[:, None].astype(np.float32)
+    order = np.argsort(f.astype(np.uint16), kind="stable")
+    return row_sums(near, of[order], np.bincount(f, minlength=1 << BITS), SUMMED)
+
+
+def in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[np.ndarray]]:
+    """Texts in lists of passages for about ``FIT_WORDS`` words, twice that at most; longer texts are
+    cut between passages."""
+    held, size = [], 0
+    for batch in batches:
+        for data in batch["words"]:
+            own = unpacked(data)
+            for at in range(0, len(own), FIT_WORDS):
+                held.append(own[at : at + FIT_WORDS])
+                size += -(-len(held[-1]) // SPAN) * SPAN
+                if size >= FIT_WORDS:
+                    yield held
+                    held, size = [], 0
+    if held:
+        yield held
 
 
 def randomised_svd(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
@@ -151,6 +203,9 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng(11)
     q = rng.standard_normal((1 << BITS, RANK + EXTRA)).astype(np.float32)
     rows_of = 256
+    # each task hands on a matrix, so it takes several parts of a large table
+    parts = max(passages.sparkSession.sparkContext.defaultParallelism, -(-passages.rdd.getNumPartitions() // PARTS))
+    passages = passages.coalesce(parts)
 
     def through(q: np.ndarray) -> np.ndarray:
         """A^T A q, summed over tasks in slices of rows."""
@@ -158,14 +213,10 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray) -> np.ndarray:
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q, idf = shared.value
-            out = np.zeros(q.shape, np.float64)
-            for batch in batches:
-                for data in batch["words"]:
-                    f, n = np.unique(hashed(unpacked(data)), return_counts=True)
-                    if len(f):
-                        v = n * idf[f]
-                        v /= np.sqrt(v @ v)
-                        out[f] += v[:, None] * (v @ q[f])
+            out, q = np.zeros(q.shape, np.float64), q * idf[:, None].astype(np.float32)
+            for texts in in_chunks(batches):
+                out += added(texts, q, idf)
+            out *= idf[:, None]
             for at in range(0, len(out), rows_of):
                 part = out[at : at + rows_of]
                 if part.any():
@@ -258,7 +309,9 @@ class Search:
                 self.items[next(n for n, s in enumerate(SHAPES) if len(x.words) <= s[2])].append(x)
         pieces = [[(x, part) for x in own for part in self._pieces(x)] for own in self.items]
         self.items = [[x for x, _ in own] for own in pieces]  # of each piece
-        self.queries = [self._queries([part for _, part in own]) for own in pieces]
+        queries = [self._queries([part for _, part in own]) for own in pieces]
+        self.floors = [self._floors([p for _, p in own], q, s) for own, q, s in zip(pieces, queries, SHAPES, strict=True)]
+        self.queries = [q / floors[:, None] for q, floors in zip(queries, self.floors, strict=True)]
         self.rows = self._rows(items)
 
     def _pieces(self, item: Item) -> list[np.ndarray]:
@@ -271,6 +324,24 @@ class Search:
             out[n] = self.vectors[hashed(words)].sum(axis=0)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
+    def _floors(self, pieces: list[np.ndarray], queries: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
+        """The cosine that a passage needs for each piece: ``COSINE``, or less, down to ``LEAST``, where
+        damaged copies of the piece would be missed in this space. A copy has as many words replaced
+        as an item may miss, and lies in its passage as far off as steps let it."""
+        length, reach = shape[0] * BLOCK, shape[1] * BLOCK // 2
+        out = np.empty(len(pieces), np.float32)
+        for n, words in enumerate(pieces):
+            own, rng = hashed(words), np.random.default_rng(len(words))  # as in any other block of items
+            copies = rng.integers(0, 1 << BITS, (COPIES, len(own) + 2 * length))
+            kept = np.argsort(rng.random((COPIES, len(own))), axis=1) >= int((1 - COMMON) * len(own))
+            middle = copies[:, length : length + len(own)]
+            middle[kept] = np.broadcast_to(own, kept.shape)[kept]
+            first = length + (len(own) - length) // 2 + rng.integers(-reach, reach + 1, COPIES)
+            passages = self.vectors[np.take_along_axis(copies, first[:, None] + np.arange(length), axis=1)].sum(axis=1)
+            cosines = passages @ queries[n] / np.maximum(np.linalg.norm(passages, axis=1), 1e-12)
+            out[n] = np.clip(np.quantile(cosines, MISSED), min(LEAST, COSINE), COSINE)
+        return out
+
     def _rows(self, items: list[Item]) -> list[tuple[int, np.ndarray, dict[int, list[Item]]]]:
         """For each number of words in a row that is looked for: which numbers may be one of them
         by their first bits, and whose they are."""
@@ -323,7 +394,7 @@ class Search:
         starts = np.concatenate(([0], np.cumsum(blocks)[:-1]))
         n = int(blocks.sum())
         sums = self._sums(texts, starts, n)
-        for (size, step, _), items, queries in zip(SHAPES, self.items, self.queries, strict=True):
+        for (size, step, _), items, queries, floors in zip(SHAPES, self.items, self.queries, self.floors, strict=True):
             if not items:
                 continue
             own = np.arange(0, n - size + 1, step)
@@ -331,7 +402,7 @@ class Search:
             for i in range(1, size):
                 passages += sums[i : n - size + 1 + i : step]
             norm = np.sqrt(np.einsum("ij,ij->i", passages, passages))
-            floor = COSINE * np.maximum(norm, 1e-12)
+            floor = np.maximum(norm, 1e-12)  # queries are over their own
             many = max(1, TILE // len(queries))
             for part in range(0, len(own), many):
                 near = passages[part : part + many] @ queries.T
@@ -340,7 +411,7 @@ class Search:
                     w = own[part + rows]
                     text = np.searchsorted(starts, w + size - 1, side="right") - 1
                     a = (w - starts[text]) * BLOCK
-                    for k, item, first, cosine in zip(text.tolist(), cols.tolist(), a.tolist(), (near[rows, cols] / np.maximum(norm[part + rows], 1e-12)).tolist(), strict=True):
+                    for k, item, first, cosine in zip(text.tolist(), cols.tolist(), a.tolist(), (near[rows, cols] * floors[cols] / floor[part + rows]).tolist(), strict=True):
                         yield k, items[item], max(0, first), min(first + size * BLOCK, len(texts[k])), cosine
 
     def _round(self, texts: list[np.ndarray]) -> list[list[tuple[int | None, float, float, float]]]:

@@ -38,6 +38,42 @@ def test_whole_table(spark):
     assert want <= got and len(got - want) <= 2
 
 
+def test_space_is_fitted_on_all_passages(spark):
+    """A matrix with right singular vectors over singular values has orthonormal columns, if they are its own."""
+    rng = random.Random(7)
+    pool = [f"w{n}" for n in range(3_000)]
+    rows = [(n, " ".join(rng.choices(pool, k=rng.choice([1, 39, 40, 41, 90])))) for n in range(1_500)]
+    rows += [(1_500, " ".join(rng.choices(pool, k=4_000))), (1_500, rows[0][1]), (None, None), (1_501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    benchmark = spark.createDataFrame([(n, " ".join(rng.choices(pool, k=50))) for n in range(20)], "item_id long, text string")
+    words = decontam.worded(docs)
+    idf = decontam.inverse_frequencies(words)
+    vectors = decontam.randomised_svd(decontam.fitted_passages(words, benchmark), idf).astype(float)
+    gram = np.zeros((vectors.shape[1],) * 2)
+    for text in [t for _, t in rows if t] + [r["text"] for r in benchmark.collect()]:
+        own = decontam.Words().of(text)
+        for at in range(0, len(own), 40):
+            f, n = np.unique(decontam.hashed(own[at : at + 40]), return_counts=True)
+            v = n * idf[f]
+            v = v / np.sqrt(v @ v) @ vectors[f]
+            gram += np.outer(v, v)
+    print(np.abs(gram - np.eye(len(gram))).max())
+    assert np.abs(gram - np.eye(len(gram))).max() < 1e-3
+
+
+def test_fit_does_not_depend_on_chunks(spark, monkeypatch):
+    """Chunks of one passage to several, texts cut between passages, tasks of one part or several."""
+    d = "/root/testdata/sf0.001"
+    words = decontam.worded(spark.read.parquet(f"{d}/documents.parquet").repartition(30))
+    idf, benchmark = decontam.inverse_frequencies(words), spark.read.parquet(f"{d}/benchmark.parquet")
+    once = decontam.randomised_svd(decontam.fitted_passages(words, benchmark), idf)
+    monkeypatch.setattr(decontam, "FIT_WORDS", 3 * decontam.SPAN)
+    monkeypatch.setattr(decontam, "PARTS", 1)
+    again = decontam.randomised_svd(decontam.fitted_passages(words, benchmark), idf)
+    # the space, whatever the signs and order of its dimensions
+    assert np.allclose(once @ once[:200].T, again @ again[:200].T, rtol=1e-2, atol=1e-3 * np.abs(once @ once[:200].T).max())
+
+
 def test_paraphrases_and_edges(spark):
     base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     benchmark = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
