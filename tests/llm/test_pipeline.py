@@ -1,11 +1,12 @@
 """The pipeline's stages against brute force on a small table."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from searchloom.llm import quality
+from searchloom.llm import decontam, quality
 
 from .test_dedup import brute
 
@@ -59,6 +60,26 @@ def test_odd_rows(spark, tmp_path):
         assert pieces.exceptAll(now.select("doc_id")).count() == 0 and pieces.count() == now.count()
 
 
+def test_decontamination_is_fitted_on_all_words(spark, tmp_path, monkeypatch):
+    """Of more than a thousand documents, and of long ones, every word reaches the fit of the stage."""
+    rng = random.Random(2)
+    pool = [f"w{n}" for n in range(500)]
+    rows = [(n, " ".join(rng.choices(pool, k=30))) for n in range(1_200)] + [(1_200, " ".join(rng.choices(pool, k=5_000))), (1_201, None)]
+    items = [(n, " ".join(rng.choices(pool, k=50))) for n in range(10)] + [(10, rows[7][1])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fit, fitted = decontam.randomised_svd, []
+
+    def counting(passages, idf):
+        fitted.append(passages.agg(F.sum(F.octet_length("words") / 4)).first()[0])
+        return fit(passages, idf)
+
+    monkeypatch.setattr(decontam, "randomised_svd", counting)
+    out = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in out.collect()} == {n for n, _ in rows} - {7}
+    assert fitted == [sum(len(t.split()) for _, t in rows + items if t)]
+
+
 def test_all_operators_are_registered():
     """An import that fails inside the subpackage must not pass for its absence."""
     import __spark_entry__
