@@ -1,6 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Whole texts become words, written as one 32-bit hash each. Document frequencies of hashed words
+1. Whole texts become words, written as one 32-bit hash each; those of a batch are hashed together,
+   a byte of all of them at a time. Document frequencies of hashed words
    are counted over all of them; partial counts of each task are summed, and as many numbers as
    there are features reach the driver.
 2. A randomised SVD of TF-IDF passages gives a latent space. The passages are all words of all
@@ -14,6 +15,7 @@
    how high is measured for each piece on damaged copies of it in that space.
    So are places where ``SHORT`` words of an item stand in a row (the whole item, if it is
    shorter), so verbatim copies of any length are candidates whatever surrounds them.
+   A candidate around which more of the item's words are missing than may be is left out.
 4. A candidate counts if the longest common subsequence of the item's words and of the words
    around the passage holds most of the item, and most of its answer (its last sentence).
 
@@ -35,10 +37,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_rows, held, materialize, read, small_batches, text_of
+from .common import drop_rows, materialize, read, small_batches, text_of
 
 #: Hashed words, latent dimensions (and more that are drawn), power iterations.
 BITS, RANK, EXTRA, POWERS = 14, 64, 8, 2
@@ -54,41 +58,100 @@ COSINE, COMMON, ANSWER, SHORT = 0.55, 0.75, 0.6, 8
 #: and the least threshold.
 COPIES, MISSED, LEAST = 64, 0.02, 0.4
 #: Words of a passage that the space is fitted on; words that a task multiplies at once; rows of a
-#: product's block and blocks at once; parts of the table in a task at most.
+#: product's block and of blocks at once; parts of the table in a task at most.
 SPAN = BLOCK * SHAPES[-1][0]
-FIT_WORDS, SUMMED, BLOCKS, PARTS = 25_000 * SPAN, 32, 512, 8
-#: Words that a worker keeps, cosines that are computed at once.
-CACHED, TILE = 250_000, 1 << 20
+FIT_WORDS, SUMMED, ROWS, PARTS = 25_000 * SPAN, 16, 1280, 8
+#: Words that are hashed at once, bytes of a word of which each byte is looked at with those of other words.
+HASHED, LONG = 1 << 19, 64
+#: Cosines that are computed at once, words of candidates' surroundings that are looked up at once.
+TILE, LOOKED = 1 << 18, 1 << 18
 #: Of numbers of words in a row: a factor, and bits of the table that most others fail.
 MIX, SIEVE = np.uint64(0x9E3779B97F4A7C15), 20
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: Kinds of bytes: letters and digits, punctuation, and those whose words Python takes apart.
+PLAIN, MARK, OTHER = 0, 1, 2
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[33:127] = [MARK if chr(b) in PUNCTUATION else PLAIN for b in range(33, 127)]
+_CRC = np.array([zlib.crc32(bytes([b]), 0xFFFFFFFF) ^ 0xFFFFFFFF for b in range(256)], np.uint32)
+
+
+def word_hash(word: str) -> int:
+    """32-bit hash of a word in lower case and without punctuation around it; 0 if nothing is left."""
+    bare = word.strip(PUNCTUATION)
+    if not bare.isalnum():
+        bare = _EDGE.sub("", bare)
+    return zlib.crc32(bare.lower().encode("utf-8", "surrogatepass")) or 1 if bare else 0
 
 
 class Words:
-    """32-bit hashes of a text's words, in lower case and without punctuation around them."""
+    """Hashes of a text's words."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
 
     def of(self, text: str) -> np.ndarray:
         words = text.split()
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) > CACHED:
-                self.known.clear()
-                new = set(words)
-            for word in new:
-                bare = word.strip(PUNCTUATION)
-                if not bare.isalnum():
-                    bare = _EDGE.sub("", bare)
-                self.known[word] = zlib.crc32(bare.lower().encode("utf-8", "surrogatepass")) or 1 if bare else 0
+        self.known |= {word: word_hash(word) for word in set(words).difference(self.known)}
         out = np.array(list(map(self.known.__getitem__, words)), np.uint32)
         return out[out != 0]
 
 
-def _words() -> Words:
-    return held(("words",), Words)
+def crcs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 of runs of at most ``LONG`` bytes: of all of them byte by byte, short ones drop out."""
+    order = np.argsort(sizes.astype(np.uint8), kind="stable")
+    at, sizes = starts[order], sizes[order]
+    crc = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    for first in np.searchsorted(sizes, np.arange(sizes[-1] if len(sizes) else 0), side="right").tolist():
+        own, places = crc[first:], at[first:]
+        low = own.astype(np.uint8) ^ data[places]
+        own >>= np.uint32(8)
+        own ^= _CRC[low]
+        places += 1
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    return out
+
+
+def word_hashes(words: pa.StringArray) -> np.ndarray:
+    """``word_hash`` of each of some words, which have no upper-case A-Z."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].copy()
+    places = offsets.astype(np.intp) - offsets[0]
+    starts, ends, kind = places[:-1].copy(), places[1:].copy(), _KIND[data]
+    # letters À to ÿ are two bytes; × and ÷ between them are none
+    lead = np.flatnonzero(data == 0xC3)
+    second = data[lead + 1]
+    letters = lead[(second != 0x97) & (second != 0xB7)]
+    kind[letters] = kind[letters + 1] = PLAIN
+    data[lead[(second <= 0x9E) & (second != 0x97)] + 1] += 0x20
+    others = np.append(0, np.cumsum(kind == OTHER, dtype=np.int32))[places]
+    other = np.flatnonzero((others[1:] > others[:-1]) | (ends - starts > LONG))
+    ends[other] = starts[other]
+    for edge, before, step in ((starts, 0, 1), (ends, 1, -1)):
+        left = np.flatnonzero(ends > starts)
+        while len(left):
+            left = left[kind[edge[left] - before] == MARK]
+            edge[left] += step
+            left = left[ends[left] > starts[left]]
+    sizes = ends - starts
+    out = crcs(data, starts, sizes)
+    out[out == 0] = 1
+    out[sizes == 0] = 0
+    if len(other):
+        rest = words.take(pa.array(other)).dictionary_encode()
+        out[other] = np.array([word_hash(w) for w in rest.dictionary.to_pylist()], np.uint32)[rest.indices.to_numpy()]
+    return out
+
+
+def packed_words(texts: pa.Array) -> pa.Array:
+    """The hashes of each text's words, as ``Words.of`` has them, as bytes. Arrow's white space is Python's."""
+    split = pc.utf8_split_whitespace(pc.ascii_lower(texts))
+    words, ends = split.flatten().cast(pa.string()), np.append(0, np.cumsum(pc.list_value_length(split).to_numpy()))
+    parts = [word_hashes(words.slice(at, HASHED)) for at in range(0, len(words), HASHED)]
+    out = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    kept = np.append(0, np.cumsum(out != 0))[ends] * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(kept), pa.py_buffer(out[out != 0])]).cast(pa.binary())
 
 
 def hashed(words: np.ndarray) -> np.ndarray:
@@ -103,13 +166,12 @@ def unpacked(data: bytes) -> np.ndarray:
 def worded(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, words`` of each row: its words' hashes as bytes."""
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [_words().of(t).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "digest": batch["digest"], "words": words})
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], packed_words(batch[2])], ["doc_id", "digest", "words"])
 
-    rows = docs.select("doc_id", F.xxhash64(text_of()).alias("digest"), text_of().alias("text"))
-    return materialize(rows.mapInPandas(split, "doc_id long, digest long, words binary"), "worded")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("digest"), text_of().alias("text"))
+    return materialize(rows.mapInArrow(split, "doc_id long, digest long, words binary"), "worded")
 
 
 def inverse_frequencies(words: DataFrame) -> np.ndarray:
@@ -119,8 +181,11 @@ def inverse_frequencies(words: DataFrame) -> np.ndarray:
         counts, n = np.zeros(1 << BITS, np.int64), 0
         for batch in batches:
             n += len(batch)
-            for data in batch["words"]:
-                counts[np.unique(hashed(unpacked(data)))] += 1
+            texts = [unpacked(data) for data in batch["words"]]
+            of = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(own) for own in texts])
+            keys = np.sort(of << np.uint64(BITS) | hashed(np.concatenate([*texts, np.zeros(0, np.uint32)])).astype(np.uint64))
+            first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+            counts += np.bincount(keys[first].astype(np.int64) & (1 << BITS) - 1, minlength=1 << BITS)
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"word": np.append(at, -1), "n": np.append(counts[at], n)})
 
@@ -140,42 +205,47 @@ def fitted_passages(words: DataFrame, benchmark: DataFrame) -> DataFrame:
     return words.select("words").unionByName(items)
 
 
+def summed(table: np.ndarray, rows: np.ndarray, block: int) -> np.ndarray:
+    """Sums of each ``block`` of ``table[rows]``: a product with ones adds a block, some blocks at a time."""
+    out = np.empty((len(rows) // block, 1, table.shape[1]), table.dtype)
+    ones, many = np.ones((1, block), table.dtype), max(1, ROWS // block)
+    held = np.empty((many * block, table.shape[1]), table.dtype)
+    for n in range(0, len(out), many):
+        some = rows[n * block : (n + many) * block]
+        part = np.take(table, some, axis=0, out=held[: len(some)], mode="clip")
+        np.matmul(ones, part.reshape(-1, block, table.shape[1]), out=out[n : n + many])
+    return out[:, 0]
+
+
 def row_sums(table: np.ndarray, rows: np.ndarray, counts: np.ndarray, block: int) -> np.ndarray:
-    """Sums of ``table[rows]`` over groups of ``counts`` rows; groups are filled up to whole blocks, so
-    that a product with ones adds a block."""
+    """Sums of ``table[rows]`` over groups of ``counts`` rows; groups are filled up to whole blocks,
+    whose sums are added likewise."""
     blocks = -(-counts // block)
     first = np.cumsum(blocks) - blocks
     at = np.full(int(blocks.sum()) * block, len(table), np.intp)
     at[np.arange(len(rows)) + np.repeat(first * block - (np.cumsum(counts) - counts), counts)] = rows
-    table = np.vstack([table, np.zeros((1, table.shape[1]), table.dtype)])
-    ones = np.ones((1, block), table.dtype)
-    sums = np.empty((len(at) // block, 1, table.shape[1]), table.dtype)
-    held = np.empty((BLOCKS * block, table.shape[1]), table.dtype)
-    for n in range(0, len(sums), BLOCKS):
-        some = at[n * block : (n + BLOCKS) * block]
-        part = np.take(table, some, axis=0, out=held[: len(some)], mode="clip")
-        np.matmul(ones, part.reshape(-1, block, table.shape[1]), out=sums[n : n + BLOCKS])
+    sums = summed(np.vstack([table, np.zeros((1, table.shape[1]), table.dtype)]), at, block)
+    if len(blocks) and blocks.max() > 1:
+        return row_sums(sums, np.arange(len(sums)), blocks, block)
     out = np.zeros((len(counts), table.shape[1]), table.dtype)
-    some = np.flatnonzero(counts)
-    if len(some):
-        out[some] = sums[:, 0] if len(sums) == len(some) else np.add.reduceat(sums[:, 0], first[some], axis=0)
+    out[counts > 0] = sums
     return out
 
 
 def added(texts: list[np.ndarray], q: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """What the passages of some texts add to A^T A q, before it is multiplied by ``idf``; the rows of
     ``q`` are multiplied by it already."""
-    f = hashed(np.concatenate(texts))
+    f = hashed(np.concatenate(texts)).astype(np.uint32)
     lengths = np.array([len(words) for words in texts])
     passages = -(-lengths // SPAN)
     counts = np.full(int(passages.sum()), SPAN)
     counts[np.cumsum(passages) - 1] = lengths - (passages - 1) * SPAN
-    of = np.repeat(np.arange(len(counts)), counts)
-    keys = np.sort((of << BITS | f).astype(np.uint32))  # there are fewer than 2^18 passages
+    of = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
+    keys = np.sort(of << np.uint32(BITS) | f)  # there are fewer than 2^18 passages
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     keys, times = keys[starts], np.diff(np.append(starts, len(keys)))
-    weights = times * idf[keys & (1 << BITS) - 1]
-    norms = np.bincount(keys >> BITS, weights * weights)
+    weights = times * idf[keys & np.uint32((1 << BITS) - 1)]
+    norms = np.bincount(keys >> np.uint32(BITS), weights * weights)
     near = row_sums(q, f, counts, SPAN) / norms[:, None].astype(np.float32)
     order = np.argsort(f.astype(np.uint16), kind="stable")
     return row_sums(near, of[order], np.bincount(f, minlength=1 << BITS), SUMMED)
@@ -313,6 +383,7 @@ class Search:
         self.floors = [self._floors([p for _, p in own], q, s) for own, q, s in zip(pieces, queries, SHAPES, strict=True)]
         self.queries = [q / floors[:, None] for q, floors in zip(queries, self.floors, strict=True)]
         self.rows = self._rows(items)
+        self.bits = self._bits()
 
     def _pieces(self, item: Item) -> list[np.ndarray]:
         words, length = np.array(item.words, np.uint32), SHAPES[-1][0] * BLOCK
@@ -360,6 +431,42 @@ class Search:
             out.append((n, some, held))
         return out
 
+    def _bits(self) -> np.ndarray:
+        """A bit for each of an item's first 64 different words, in a table by item and word. Items that may
+        miss as many are not in it. Entries that meet have the bits of both."""
+        words = [[sorted(x.set)[:64] for x in own] for own in self.items]
+        self.sought = [np.array([len(w) for w in own]) for own in words]
+        self.spared = [np.array([x.missing for x in own]) for own in self.items]
+        self.salts = [np.array([zlib.crc32(repr(x.words).encode()) for x in own], np.uint32) for own in self.items]
+        size = 8 * sum(int(n.sum()) for n in self.sought)
+        self.shift = np.uint32(32 - max(10, size.bit_length()))
+        out = np.zeros(1 << 32 - int(self.shift), np.uint64)
+        for own, salts in zip(words, self.salts, strict=True):
+            for w, salt in zip(own, salts, strict=True):
+                np.bitwise_or.at(out, self._places(np.array(w, np.uint32), salt), np.uint64(1) << np.arange(len(w), dtype=np.uint64))
+        return out
+
+    def _places(self, words: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        return ((words ^ salts) * np.uint32(2654435769)) >> self.shift
+
+    def _possible(self, words: np.ndarray, n: int, items: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Which candidates for the ``n``-th shape's items may be found: the others' surroundings,
+        ``words[first:last]``, lack more different words than the item may miss."""
+        sought, spared = self.sought[n][items], self.spared[n][items]
+        out = spared >= sought
+        asked = np.flatnonzero(~out & (last > first))
+        ends = np.cumsum((last - first)[asked])
+        cuts = np.searchsorted(ends, np.arange(LOOKED, ends[-1], LOOKED)) if len(asked) else []
+        for some in np.split(asked, np.unique(cuts)) if len(asked) else []:
+            if len(some):
+                sizes = (last - first)[some]
+                starts = np.cumsum(sizes) - sizes
+                at = np.arange(int(sizes.sum())) + np.repeat(first[some] - starts, sizes)
+                bits = self.bits[self._places(words[at], np.repeat(self.salts[n][items[some]], sizes))]
+                found = np.bitwise_count(np.bitwise_or.reduceat(bits, starts))
+                out[some] = sought[some] - found.astype(np.int64) <= spared[some]
+        return out
+
     def verbatim(self, texts: list[np.ndarray]) -> Iterator[tuple[int, Item, int, int, float]]:
         """Candidates where words of an item stand in a row."""
         if not texts:
@@ -377,26 +484,26 @@ class Search:
                         for item in held[key]:
                             yield text, item, first, first + n, 1.0
 
-    def _sums(self, texts: list[np.ndarray], starts: np.ndarray, n: int) -> np.ndarray:
-        """Sums of vectors over blocks of words; ``starts`` are the texts' first blocks of ``n``."""
-        features = np.full(n * BLOCK, len(self.vectors) - 1, np.int64)
-        for start, words in zip(starts * BLOCK, texts, strict=True):
-            features[start : start + len(words)] = hashed(words)
-        out = np.empty((n, self.vectors.shape[1]), np.float32)
-        for at in range(0, n, 1024):
-            part = features[at * BLOCK : (at + 1024) * BLOCK]
-            self.vectors[part].reshape(-1, BLOCK, out.shape[1]).sum(axis=1, out=out[at : at + 1024])
+    def _laid_out(self, texts: list[np.ndarray], starts: np.ndarray, n: int) -> np.ndarray:
+        """The words of all texts in ``n`` blocks, 0 where there is none; ``starts`` are the texts' first blocks."""
+        out = np.zeros(n * BLOCK, np.uint32)
+        for start, words in zip((starts * BLOCK).tolist(), texts, strict=True):
+            out[start : start + len(words)] = words
         return out
 
     def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, Item, int, int, float]]:
-        """(text, item, first word, last word, cosine) of passages at or above the threshold."""
-        blocks = np.array([-(-len(w) // BLOCK) + GAP for w in texts])
+        """(text, item, first word, last word, cosine) of passages at or above the threshold that have
+        enough of the item's words around them."""
+        lengths = np.array([len(w) for w in texts])
+        blocks = -(-lengths // BLOCK) + GAP
         starts = np.concatenate(([0], np.cumsum(blocks)[:-1]))
         n = int(blocks.sum())
-        sums = self._sums(texts, starts, n)
-        for (size, step, _), items, queries, floors in zip(SHAPES, self.items, self.queries, self.floors, strict=True):
+        words = self._laid_out(texts, starts, n)
+        sums = summed(self.vectors, np.where(words == 0, len(self.vectors) - 1, hashed(words)), BLOCK)
+        for shape, ((size, step, _), items, queries, floors) in enumerate(zip(SHAPES, self.items, self.queries, self.floors, strict=True)):
             if not items:
                 continue
+            reaches = np.array([len(x.words) for x in items]) + BLOCK
             own = np.arange(0, n - size + 1, step)
             passages = sums[0 : n - size + 1 : step].copy()
             for i in range(1, size):
@@ -406,13 +513,20 @@ class Search:
             many = max(1, TILE // len(queries))
             for part in range(0, len(own), many):
                 near = passages[part : part + many] @ queries.T
-                rows, cols = np.nonzero(near >= floor[part : part + many, None])
-                if len(rows):
-                    w = own[part + rows]
-                    text = np.searchsorted(starts, w + size - 1, side="right") - 1
-                    a = (w - starts[text]) * BLOCK
-                    for k, item, first, cosine in zip(text.tolist(), cols.tolist(), a.tolist(), (near[rows, cols] * floors[cols] / floor[part + rows]).tolist(), strict=True):
-                        yield k, items[item], max(0, first), min(first + size * BLOCK, len(texts[k])), cosine
+                over = np.flatnonzero(near >= floor[part : part + many, None])
+                rows, cols = np.divmod(over, len(queries))
+                w = own[part + rows]
+                text = np.searchsorted(starts, w + size - 1, side="right") - 1
+                a = (w - starts[text]) * BLOCK
+                b = np.minimum(a + size * BLOCK, lengths[text])
+                a = np.maximum(a, 0)
+                lo, hi = np.maximum(b - reaches[cols], 0), np.minimum(a + reaches[cols], lengths[text])
+                at = starts[text] * BLOCK
+                may = np.flatnonzero(self._possible(words, shape, cols, at + lo, at + hi))
+                rows, cols, text = rows[may], cols[may], text[may]
+                cosines = near.ravel()[over[may]] * floors[cols] / floor[part + rows]
+                for k, item, first, last, cosine in zip(text.tolist(), cols.tolist(), a[may].tolist(), b[may].tolist(), cosines.tolist(), strict=True):
+                    yield k, items[item], first, last, cosine
 
     def _round(self, texts: list[np.ndarray]) -> list[list[tuple[int | None, float, float, float]]]:
         best: list[dict[int, tuple]] = [{} for _ in texts]

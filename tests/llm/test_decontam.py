@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 
 from searchloom.llm import decontam
 
@@ -134,3 +135,41 @@ def test_many_partitions(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_packed_words_are_those_of_single_texts(monkeypatch):
+    """White space, punctuation, case and letters of any script; words of any length; blocks of words."""
+    rng = random.Random(3)
+    alphabet = list("abzAZ019") * 3 + list(".,;!?'\"()-_=") + ["\x00", "\x1f", "\x7f", "é", "É", "ß", "×", "÷", "ÿ", "Ÿ", "İ", "Σ", "ς", "µ", "¿", "«", "“", "字", "😀", "̈", "ﬁ", "­", "¼"]
+    spaces = [" ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", " ", " ", "　", "\r\n"]
+    texts = ["", " ", "...", "-" * 500, "a" * 63, "a" * 64, "a" * 65 + ".", "'" * 70 + "a", "ΟΔΥΣΣΕΥΣ ΑΣ. Σ", "É", "Über-ÄÖÜ!"]
+    texts += ["".join("".join(rng.choices(alphabet, k=rng.randint(0, 12))) + rng.choice(spaces) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    want = [decontam.Words().of(t).tobytes() for t in texts]
+    assert decontam.packed_words(pa.array(texts)).to_pylist() == want
+    assert decontam.packed_words(pa.array(texts, pa.large_string()).slice(5)).to_pylist() == want[5:]
+    monkeypatch.setattr(decontam, "HASHED", 7)
+    assert decontam.packed_words(pa.array(texts)).to_pylist() == want
+    assert decontam.packed_words(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_few_candidates_are_compared(spark, monkeypatch):
+    """Most are left out by the words around them, and none that would have been found."""
+    d = "/root/testdata/sf0.01"
+    docs, benchmark = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    texts = [decontam.Words().of(r["text"] or "") for r in docs.collect()]
+    items = [decontam.Item(r["item_id"], r["text"]) for r in benchmark.collect()]
+    items += [decontam.Item(-n, " ".join(f"w{i}" for i in range(n))) for n in (3, 70, 300, 900)]
+    texts += [np.array(x.words, np.uint32) for x in items]
+    vectors = np.random.default_rng(5).standard_normal((1 << decontam.BITS, decontam.RANK)).astype(np.float32)
+    calls, found = [], decontam.Item.found
+    monkeypatch.setattr(decontam.Item, "found", lambda self, words: calls.append(1) or found(self, words))
+    monkeypatch.setattr(decontam, "COSINE", 0.2)
+    monkeypatch.setattr(decontam, "LEAST", 0.2)
+    monkeypatch.setattr(decontam, "LOOKED", 5_000)
+    search = decontam.Search(items, vectors)
+    hits, few = search.hits(texts), len(calls)
+    monkeypatch.setattr(search, "_possible", lambda words, n, items, first, last: np.ones(len(items), bool))
+    calls.clear()
+    assert search.hits(texts) == hits and sum(map(len, hits)) >= len(items)
+    print(few, len(calls))
+    assert few < 0.1 * len(calls)
