@@ -3,8 +3,9 @@
 Vectors are assigned to the nearest of a number of fitted centres and written by cell: the cell is
 the partition column, and a row is a page of up to ``PAGE`` ids and vectors, so that a cell of any size is
 many rows of bounded size. The centres are a small table beside them. A search ranks the centres for each
-query, joins pages on the cells that are probed, and reads no others: the cells pass to the scan as a
-filter on its partitions while it runs. A row of the join is one page and one block of queries.
+query, joins pages on the cells that are probed, and reads no others: the cells' numbers pass to the scan
+as a filter on its partitions while it runs, and are all that is broadcast. Pages and blocks of queries
+meet by a shuffle; a row of that join is one page and one block.
 """
 
 from __future__ import annotations
@@ -31,7 +32,13 @@ def fitted_centres(vectors: DataFrame, count: int, seed: int = 1) -> np.ndarray:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    some = vectors.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
+    some = vectors
+    if vectors.count() > FIT_ROWS:
+        # only hashes and ids are sorted, and as many tasks as there are cores fit the rows
+        place = F.struct(F.xxhash64("doc_id"), "doc_id")
+        last = vectors.select(place.alias("__place")).orderBy("__place").limit(FIT_ROWS).agg(F.max("__place").alias("__last"))
+        some = vectors.crossJoin(F.broadcast(last)).filter(place <= F.col("__last"))
+    some = some.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "doc_id")
     held = stored(some.select(array_to_vector(unit(F.col("embedding")).cast("array<double>")).alias("v")), "fit")
     model = KMeans(k=count, seed=seed, featuresCol="v", maxIter=10).fit(held)
     return np.array(model.clusterCenters())
@@ -110,9 +117,12 @@ class CellIndex:
     def search(self, queries: DataFrame, k: int, share: float = 0.1) -> DataFrame:
         """Cosine top-k within the nearest cells of each query; with a share of 1 it is exact."""
         pages = self.spark.read.parquet(f"{self.path}/pages")
-        probes = stored(self.probes(queries, share), "probes")
+        probes = stored(self.probes(queries, share), "probes").filter(F.col("place") >= 0)
+        pages = pages.join(F.broadcast(probes.select("cell").distinct()), "cell")
         block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // ASKED))))
-        asked = probes.filter(F.col("place") >= 0).groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked"))
+        # a query's vector is there for each of its cells, in files a small part of its size in memory, by
+        # which Spark would broadcast it: with all cells, as many vectors as queries times cells
+        asked = probes.groupBy("cell", block.alias("block")).agg(F.collect_list(F.struct("query_id", "embedding")).alias("asked")).hint("merge")
         schema = f"{_type(queries, 'query_id')}, doc_id {dict(pages.dtypes)['ids'][6:-1]}, score double"
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

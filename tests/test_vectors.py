@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from searchloom.operators import cells
 from searchloom.operators import ranking as R
 from searchloom.operators import vectors as V
 from searchloom.operators.cells import CellIndex
@@ -34,6 +35,26 @@ def scanned_bytes(df):
     return total
 
 
+def broadcast(df):
+    """The columns of each broadcast of a plan, after it ran."""
+    df.collect()
+    found = []
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(plan.plan())
+        if name == "BroadcastExchangeExec":
+            found.append([x.split("#")[0] for x in plan.output().mkString(" ").split()])
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
 @pytest.mark.parametrize("table, k", [("sf0.01", 10), ("sf0.1", 10), ("sf0.1", 50)])
 def test_recall(spark, table, k):
     d = f"/root/testdata/{table}"
@@ -72,6 +93,31 @@ def test_cells_are_an_index(spark):
     assert pages.agg(F.max(F.size("ids"))).first()[0] <= 1024 and pages.agg(F.sum(F.size("ids"))).first()[0] == 6000
 
 
+def test_numbers_of_cells_are_all_that_is_broadcast(spark):
+    """With all cells, a query's vector is there once for each: that grows faster than the table."""
+    queries, corpus = planted(spark)
+    index = CellIndex.write(corpus, scratch(spark, "cells"), 40)
+    for share in (0.1, 1.0):
+        assert broadcast(index.search(queries, 10, share)) == [["cell"]]
+
+
+def test_cells_are_fitted_by_many_tasks(spark, monkeypatch):
+    _, corpus = planted(spark, 900)
+    held, kept = [], cells.stored
+    monkeypatch.setattr(cells, "stored", lambda df, name: held.append((df, kept(df, name))) or held[-1][1])
+    for most in (100, 900):
+        monkeypatch.setattr(cells, "FIT_ROWS", most)
+        assert cells.fitted_centres(corpus, 4).shape == (4, 16)
+        made, read = held.pop()
+        assert read.count() == most and made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(cells, "FIT_ROWS", 100)
+    first = {tuple(r["embedding"]) for r in corpus.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect()}
+    cells.fitted_centres(corpus, 4)
+    lengths = [np.linalg.norm(x) for x in first]
+    want = sorted(tuple(np.round(np.array(x) / n, 4)) for x, n in zip(first, lengths, strict=True))
+    assert sorted(tuple(np.round(r["v"].toArray(), 4)) for r in held[-1][1].collect()) == want
+
+
 @pytest.mark.parametrize("block", [300, 2000])
 def test_grid(spark, block):
     """Many blocks of either side give what one block gives, and no query passes through the driver."""
