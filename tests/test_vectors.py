@@ -101,6 +101,21 @@ def test_numbers_of_cells_are_all_that_is_broadcast(spark):
         assert broadcast(index.search(queries, 10, share)) == [["cell"]]
 
 
+def test_shares_are_met_one_after_the_other(spark, monkeypatch):
+    """Counts and recall of each share, each in a job of its own that broadcasts no vectors."""
+    queries, corpus = planted(spark)
+    index = CellIndex.write(corpus, scratch(spark, "cells"), 40)
+    made, kept = [], cells.stored
+    monkeypatch.setattr(cells, "stored", lambda df, name: made.append((name, df)) or kept(df, name))
+    found = {r["share"]: r for r in cells.recall_by_share(index, queries, R.dense_top_k(queries, corpus, 10), 10, (0.1, 1.0)).collect()}
+    assert [name for name, _ in made] == ["exact", "probes", "recall", "probes", "recall"]
+    assert all({"asked", "embedding"}.isdisjoint(sum(broadcast(df), [])) for name, df in made if name == "recall")
+    n = queries.count()
+    held = spark.read.parquet(f"{index.path}/pages").select("cell").distinct().count()
+    assert (found[1.0]["cells"], found[1.0]["vectors"], found[1.0]["recall"]) == (n * held, n * 6000, 1.0)
+    assert found[0.1]["cells"] <= 4 * n and found[0.1]["vectors"] < n * 6000 and 0.9 <= found[0.1]["recall"] <= 1
+
+
 def test_cells_are_fitted_by_many_tasks(spark, monkeypatch):
     _, corpus = planted(spark, 900)
     held, kept = [], cells.stored
