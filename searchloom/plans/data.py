@@ -8,7 +8,7 @@ from ..functions.text import uuid5
 from ..operators import mining as N
 from ..operators import vectors as V
 from ..operators.cells import recall_by_share
-from ..session import prepared, scratch
+from ..session import prepared, scratch, stored
 from ..sources import files as S
 from ..sources.lines import refiled
 from ..streaming import jobs as X
@@ -539,7 +539,7 @@ def stream_vectors(spark, d):
 
 @query("stream_prune_verdicts", f"SELECT CAST(run_idx AS BIGINT) AS run_idx, CAST(epoch AS INTEGER) AS epoch, best, median, prune FROM ({ORACLES['prune_verdicts']}) WHERE run_idx = 7")
 def stream_prune_verdicts(spark, d):
-    epochs = fx(spark, d, "fx_epochs")
+    epochs = stored(fx(spark, d, "fx_epochs"), "epochs")
     live = epochs.filter("status = 'running'").select(
         "run_idx", F.col("epoch").alias("line_no"),
         F.concat(F.lit("[epoch] "), "epoch", F.lit("/12 eval_loss="), "eval_loss", F.lit(" ndcg@10="), "ndcg", F.lit(" best=1")).alias("value"),

@@ -236,10 +236,11 @@ def loss_points(lines: DataFrame) -> DataFrame:
     return numbered(found, "step", "line_no").select(F.col("step").cast("int").alias("step"), F.coalesce("epoch", F.col("step").cast("double")).alias("epoch"), "loss")
 
 
-def epoch_points(lines: DataFrame) -> DataFrame:
+def epoch_points(lines: DataFrame, *also: str) -> DataFrame:
+    """The epochs of log lines (line_no, value), with the lines' columns ``also``."""
     found = lines.filter(F.col("value").rlike(EPOCH_LINE))
     return found.select(
-        "line_no", _number(EPOCH_LINE, 1, "int").alias("epoch"), _number(EPOCH_LINE, 2, "int").alias("max_epochs"),
+        *also, "line_no", _number(EPOCH_LINE, 1, "int").alias("epoch"), _number(EPOCH_LINE, 2, "int").alias("max_epochs"),
         _number(EPOCH_LINE, 3).alias("eval_loss"), _number(EPOCH_LINE, 4).alias("ndcg"), _number(EPOCH_LINE, 5, "int").alias("best_epoch"),
     )
 
