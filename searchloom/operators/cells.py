@@ -114,11 +114,10 @@ class CellIndex:
         asked = queries.select("query_id", "embedding")
         return asked.mapInArrow(near, f"{_type(asked, 'query_id')}, {_type(asked, 'embedding')}, cell int, place int")
 
-    def search(self, queries: DataFrame, k: int, share: float = 0.1, probes: DataFrame | None = None) -> DataFrame:
-        """Cosine top-k within the nearest cells of each query; with a share of 1 it is exact. ``probes``
-        of these queries and this share, stored, are found anew unless given."""
+    def search(self, queries: DataFrame, k: int, share: float = 0.1) -> DataFrame:
+        """Cosine top-k within the nearest cells of each query; with a share of 1 it is exact."""
         pages = self.spark.read.parquet(f"{self.path}/pages")
-        probes = (stored(self.probes(queries, share), "probes") if probes is None else probes).filter(F.col("place") >= 0)
+        probes = stored(self.probes(queries, share), "probes").filter(F.col("place") >= 0)
         pages = pages.join(F.broadcast(probes.select("cell").distinct()), "cell")
         block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // ASKED))))
         # a query's vector is there for each of its cells, in files a small part of its size in memory, by
@@ -143,16 +142,20 @@ class CellIndex:
 
 def recall_by_share(index: CellIndex, queries: DataFrame, exact: DataFrame, k: int, shares: tuple[float, ...]) -> DataFrame:
     """``share, cells, vectors, recall``: for each share of the cells, how many (query, cell) and (query,
-    vector) pairs are met, and how much of the exact ranking is found."""
-    sizes = index.spark.read.parquet(f"{index.path}/pages").groupBy("cell").agg(F.sum(F.size("ids")).alias("size"))
-    rows, want = None, stored(exact.filter(F.col("rank") <= k).select("query_id", "doc_id"), "exact")
-    for share in shares:
-        probes, total = stored(index.probes(queries, share), "probes"), lambda c: F.coalesce(F.sum(c), F.lit(0))
-        times = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("times")).join(sizes, "cell")
-        met = times.agg(total("times").alias("cells"), total(F.col("times") * F.col("size")).alias("vectors"))
-        same = index.search(queries, k, share, probes).join(want, ["query_id", "doc_id"], "left_semi").agg(F.count(F.lit(1)).alias("same"))
-        all_ = want.agg(F.count(F.lit(1)).alias("all"))
-        one = met.crossJoin(same).crossJoin(all_).select(F.lit(share).alias("share"), "cells", "vectors", (F.col("same") / F.col("all")).alias("recall"))
-        one = stored(one, "recall")  # a share at a time: the driver holds one search's plan
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    vector) pairs are met, and how much of the exact ranking a search finds.
+
+    It finds a vector of the exact ranking just if that one's cell is probed, as no more vectors come
+    before it there than among all. So the places at which a query probes the cells tell all shares.
+    """
+    pages, n = index.spark.read.parquet(f"{index.path}/pages"), len(index.centres())
+    probes = stored(index.probes(queries, max(shares)).select("query_id", "cell", "place"), "probes")
+    want = stored(exact.filter(F.col("rank") <= k).select("query_id", "doc_id"), "exact")
+    sizes = pages.groupBy("cell").agg(F.sum(F.size("ids")).alias("size"))
+    met = probes.groupBy("place", "cell").agg(F.count(F.lit(1)).alias("times")).join(sizes, "cell")
+    met = met.groupBy("place").agg(F.sum("times").alias("cells"), F.sum(F.col("times") * F.col("size")).alias("vectors"))
+    own = pages.select("cell", F.explode("ids").alias("doc_id")).distinct()
+    same = want.join(own, "doc_id").join(probes, ["query_id", "cell"]).groupBy("place").agg(F.count(F.lit(1)).alias("same"))
+    upto = index.spark.createDataFrame([(s, max(1, round(s * n))) for s in shares], "share double, upto int")
+    rows = upto.join(met.join(same, "place", "left"), F.col("place") < F.col("upto"), "left").groupBy("share")
+    sums = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("cells", "vectors", "same")])
+    return sums.crossJoin(want.agg(F.count(F.lit(1)).alias("all"))).select("share", "cells", "vectors", F.try_divide("same", "all").alias("recall"))

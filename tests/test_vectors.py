@@ -101,19 +101,27 @@ def test_numbers_of_cells_are_all_that_is_broadcast(spark):
         assert broadcast(index.search(queries, 10, share)) == [["cell"]]
 
 
-def test_shares_are_met_one_after_the_other(spark, monkeypatch):
-    """Counts and recall of each share, each in a job of its own that broadcasts no vectors."""
+def test_recall_of_shares_is_that_of_searches(spark, monkeypatch):
+    """Counts and recall of each share, from places of cells: no vector is stored for a cell or broadcast."""
     queries, corpus = planted(spark)
-    index = CellIndex.write(corpus, scratch(spark, "cells"), 40)
+    index, shares = CellIndex.write(corpus, scratch(spark, "cells"), 40), (0.03, 0.1, 1.0)
+    pairs = lambda df: {(r["query_id"], r["doc_id"]) for r in df.collect()}
+    exact = R.dense_top_k(queries, corpus, 30)
+    want = pairs(exact.filter("rank <= 10"))
+    found = {s: len(want & pairs(index.search(queries, 10, s))) / len(want) for s in shares}
     made, kept = [], cells.stored
-    monkeypatch.setattr(cells, "stored", lambda df, name: made.append((name, df)) or kept(df, name))
-    found = {r["share"]: r for r in cells.recall_by_share(index, queries, R.dense_top_k(queries, corpus, 10), 10, (0.1, 1.0)).collect()}
-    assert [name for name, _ in made] == ["exact", "probes", "recall", "probes", "recall"]
-    assert all({"asked", "embedding"}.isdisjoint(sum(broadcast(df), [])) for name, df in made if name == "recall")
-    n = queries.count()
-    held = spark.read.parquet(f"{index.path}/pages").select("cell").distinct().count()
-    assert (found[1.0]["cells"], found[1.0]["vectors"], found[1.0]["recall"]) == (n * held, n * 6000, 1.0)
-    assert found[0.1]["cells"] <= 4 * n and found[0.1]["vectors"] < n * 6000 and 0.9 <= found[0.1]["recall"] <= 1
+    monkeypatch.setattr(cells, "stored", lambda df, name: made.append(df.columns) or kept(df, name))
+    table = cells.recall_by_share(index, queries, exact, 10, shares)
+    got = {r["share"]: r for r in table.collect()}
+    assert made == [["query_id", "cell", "place"], ["query_id", "doc_id"]]
+    assert {"asked", "embedding"}.isdisjoint(sum(broadcast(table), []))
+    assert {s: r["recall"] for s, r in got.items()} == found and found[0.03] < found[1.0] == 1
+    sizes = {r["cell"]: r["n"] for r in spark.read.parquet(f"{index.path}/pages").groupBy("cell").agg(F.sum(F.size("ids")).alias("n")).collect()}
+    for s in shares:
+        probed = [r["cell"] for r in index.probes(queries, s).collect() if r["cell"] in sizes]
+        assert (got[s]["cells"], got[s]["vectors"]) == (len(probed), sum(sizes[c] for c in probed))
+    none = cells.recall_by_share(index, queries.limit(0), exact.limit(0), 10, (0.1,)).collect()
+    assert [tuple(r) for r in none] == [(0.1, 0, 0, None)]
 
 
 def test_cells_are_fitted_by_many_tasks(spark, monkeypatch):
