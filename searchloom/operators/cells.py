@@ -38,7 +38,8 @@ def fitted_centres(vectors: DataFrame, count: int, seed: int = 1) -> np.ndarray:
         place = F.struct(F.xxhash64("doc_id"), "doc_id")
         last = vectors.select(place.alias("__place")).orderBy("__place").limit(FIT_ROWS).agg(F.max("__place").alias("__last"))
         some = vectors.crossJoin(F.broadcast(last)).filter(place <= F.col("__last"))
-    some = some.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "doc_id")
+    # in order, as the fit's first centres are drawn by rows' places
+    some = some.repartition(vectors.sparkSession.sparkContext.defaultParallelism, "doc_id").sortWithinPartitions("doc_id")
     held = stored(some.select(array_to_vector(unit(F.col("embedding")).cast("array<double>")).alias("v")), "fit")
     model = KMeans(k=count, seed=seed, featuresCol="v", maxIter=10).fit(held)
     return np.array(model.clusterCenters())

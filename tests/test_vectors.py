@@ -134,6 +134,7 @@ def test_cells_are_fitted_by_many_tasks(spark, monkeypatch):
         made, read = held.pop()
         assert read.count() == most and made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(cells, "FIT_ROWS", 100)
+    assert np.allclose(cells.fitted_centres(corpus, 4), cells.fitted_centres(corpus.repartition(7), 4))  # whatever the rows' order
     first = {tuple(r["embedding"]) for r in corpus.orderBy(F.xxhash64("doc_id"), "doc_id").limit(100).collect()}
     cells.fitted_centres(corpus, 4)
     lengths = [np.linalg.norm(x) for x in first]
